@@ -9,7 +9,6 @@ partitioning, so a recomputed task gives the same answer.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -40,44 +39,52 @@ def sliced_rank(df: DataFrame, keys: list[str], slice_col: str, order: list[str]
 
 
 def distribution(df: DataFrame, value: str, sums: dict[str, Column] | None = None,
-                 slices: int = 256) -> DataFrame:
+                 keys: list[str] | None = None, slices: int = 128) -> DataFrame:
     """Distinct values with their counts and cumulative counts, exactly and without a global sort.
 
-    Returns ``value, cnt, cum_cnt, total_cnt`` and, for each extra sum ``s``, ``s, cum_s,
-    total_s``. Equal values are counted before the shuffle. The distinct values are
-    cut at approximate quantiles (a bounded sketch), so every slice is of like size
-    whatever the shape of the distribution."""
+    Returns ``keys, value, cnt, cum_cnt, total_cnt`` and, for each extra sum ``s``, ``s, cum_s,
+    total_s``. Equal values are counted before the shuffle. The distinct values of a key are cut at
+    approximate quantiles (a bounded sketch), so every slice is of like size whatever the shape of
+    the distribution; a wrong cut costs balance, never correctness."""
+    keys = keys or []
     sums = {"cnt": F.lit(1), **(sums or {})}
     counts = (
         df.where(F.col(value).isNotNull())
-        .groupBy(F.col(value).cast("double").alias(value))
+        .groupBy(*keys, F.col(value).cast("double").alias(value))
         .agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     )
-    cuts = counts.approxQuantile(value, [i / slices for i in range(1, slices)], 1.0 / (4 * slices))
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) < 3:
-        sliced = counts.withColumn("__slice", F.lit(0.0))
+    facts = counts.groupBy(*keys).agg(
+        F.percentile_approx(value, [i / slices for i in range(1, slices)], 16 * slices).alias("__cuts"),
+        *[F.sum(n).alias(f"total_{n}") for n in sums])
+    if keys:
+        joined = counts.join(facts, keys)
     else:
-        sliced = Bucketizer(splits=splits, inputCol=value, outputCol="__slice").transform(counts)
-    ranked = sliced_running_sum(sliced, [], "__slice", [value], {f"cum_{n}": n for n in sums})
-    totals = counts.agg(*[F.sum(n).alias(n) for n in sums])
-    return ranked.drop("__slice").select(
-        "*", *[totals.select(n).scalar().alias(f"total_{n}") for n in sums])
+        names = ["__cuts", *[f"total_{n}" for n in sums]]
+        joined = counts.withColumn("__f", facts.select(F.struct(*names)).scalar()).select("*", "__f.*").drop("__f")
+    sliced = joined.withColumn(
+        "__slice", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    return sliced_running_sum(
+        sliced, keys, "__slice", [value], {f"cum_{n}": n for n in sums}).drop("__slice")
 
 
-def exact_percentiles(df: DataFrame, value: str, probs: list[float], slices: int = 256) -> DataFrame:
-    """Percentiles by linear interpolation between order statistics: rows ``p, value``."""
-    ranked = distribution(df, value, slices=slices)
+def exact_percentiles(df: DataFrame, value: str, probs: list[float], keys: list[str] | None = None,
+                      slices: int = 128) -> DataFrame:
+    """Percentiles by linear interpolation between order statistics: rows ``keys, p, value``."""
+    keys = keys or []
+    ranked = distribution(df, value, keys=keys, slices=slices)
     points = F.array(*[F.struct(F.lit(float(p)).alias("p"),
                                 (F.lit(float(p)) * (F.col("total_cnt") - 1)).alias("pos")) for p in probs])
-    # A value covers the ranks [cum - cnt, cum - 1]; it counts for p if it holds the rank
-    # below or the rank above the position.
-    hits = F.filter(points, lambda q: (
-        ((F.floor(q.pos) >= F.col("cum_cnt") - F.col("cnt")) & (F.floor(q.pos) < F.col("cum_cnt")))
-        | ((F.ceil(q.pos) >= F.col("cum_cnt") - F.col("cnt")) & (F.ceil(q.pos) < F.col("cum_cnt")))))
+    first, end = F.col("cum_cnt") - F.col("cnt"), F.col("cum_cnt")
+
+    # A value covers the ranks [first, end); it counts for p if it holds the rank below or above.
+    def held(rank: Column) -> Column:
+        return (rank >= first) & (rank < end)
+
+    hits = F.filter(points, lambda q: held(F.floor(q["pos"])) | held(F.ceil(q["pos"])))
     return (
-        ranked.select(F.explode(hits).alias("q"), F.col(value).alias("v"))
-        .groupBy(F.col("q.p").alias("p"), F.col("q.pos").alias("pos"))
+        ranked.select(*keys, F.explode(hits).alias("q"), F.col(value).alias("v"))
+        .groupBy(*keys, F.col("q.p").alias("p"), F.col("q.pos").alias("pos"))
         .agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .select("p", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos"))).alias("value"))
+        .select(*keys, "p",
+                (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos"))).alias("value"))
     )

@@ -45,7 +45,7 @@ def flow_features(flows: DataFrame) -> DataFrame:
 
     return prepared.select(
         "flow_key", "flow_seq", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
-        "first_seen_ms", "last_seen_ms", "end_reason",
+        "first_seen_ms", "last_seen_ms", "end_reason", "first_packet_id",
         n.alias("packet_count"),
         "bytes",
         span.alias("duration_ms"),

@@ -96,9 +96,15 @@ def f1_by_threshold(df: DataFrame, label: str, score: str, steps: int = 200, inc
         .agg(F.sum("cnt").alias("cnt"), F.sum("pos").alias("pos"), F.max("total_pos").alias("total_pos"))
     )
     # At most ``steps`` + 10 rows from here on.
-    rows = candidates.select("thr", F.row_number().over(Window.orderBy("thr")).alias("i"))
-    judged = rows.join(gaps, F.col("gap") >= F.col("i"), "left").groupBy("thr").agg(
-        F.coalesce(F.sum("cnt"), F.lit(0)).alias("flagged"), F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"))
+    rows = candidates.select(
+        F.row_number().over(Window.orderBy("thr")).alias("gap"), "thr",
+        F.lit(0).cast("long").alias("cnt"), F.lit(0).cast("long").alias("pos"))
+    above = Window.orderBy(F.col("gap").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    judged = (
+        rows.unionByName(gaps.select("gap", F.lit(None).cast("double").alias("thr"), "cnt", "pos"))
+        .select("thr", F.sum("cnt").over(above).alias("flagged"), F.sum("pos").over(above).alias("tp"))
+        .where(F.col("thr").isNotNull())
+    )
     total = gaps.agg(F.max("total_pos")).scalar()
     fp, fn = F.col("flagged") - F.col("tp"), F.col("total_pos") - F.col("tp")
     return judged.withColumn("total_pos", total).select(

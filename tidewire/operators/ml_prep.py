@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewire.operators.ordered import exact_percentiles, sliced_rank
+from tidewire.operators.ordered import exact_percentiles, sliced_rank, sliced_running_sum
 
 # The model's base and derived features.
 BASE_FEATURES = [
@@ -108,8 +108,18 @@ def stratified_split(df: DataFrame, ids: list[str], label: str, share: float = 0
 
 
 def bounded_sample(df: DataFrame, ids: list[str], k: int, seed: int = 42) -> DataFrame:
-    """At most ``k`` rows without replacement: those with the smallest id hash (a distributed top-k)."""
-    return df.withColumn("__h", order_hash(*ids, seed=seed)).orderBy("__h", *ids).limit(k).drop("__h")
+    """At most ``k`` rows without replacement: those with the smallest id hash.
+
+    Rows are first counted by their leading hash digits; only rows up to the digits that reach ``k``
+    are sorted, so the sort sees little more than ``k`` rows however large the table is."""
+    hashed = df.withColumn("__h", order_hash(*ids, seed=seed)).withColumn("__p", F.left("__h", F.lit(5)))
+    counts = hashed.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).withColumn("__s", F.left("__p", F.lit(2)))
+    reached = sliced_running_sum(counts, [], "__s", ["__p"], {"c": "n"})
+    last = reached.where(F.col("c") >= k).agg(F.min("__p")).scalar()
+    return (
+        hashed.where(F.col("__p") <= F.coalesce(last, F.lit("g")))
+        .orderBy("__h", *ids).limit(k).drop("__h", "__p")
+    )
 
 
 @dataclass(frozen=True)

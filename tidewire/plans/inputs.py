@@ -8,7 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewire.functions.keys import flow_key_bilateral
+from tidewire.functions.risk import max_severity, risk_labels
+from tidewire.operators.features import flows_with_features
+from tidewire.operators.ml_prep import label_by_ip
 from tidewire.operators.sessionize import FlowRules
+from tidewire.session import materialize
 
 HOUR_MS = 3_600_000
 
@@ -75,3 +79,137 @@ def packets_from_events(events: DataFrame) -> DataFrame:
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets_from_events(table(spark, sf_dir, "events"))
+
+
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of closed flows with their features, written once per session and input.
+
+    Rollups, comparisons and models read stored flows; they do not rebuild them."""
+    files = table(spark, sf_dir, "events").select("_metadata.file_path", "_metadata.file_size",
+                                                  "_metadata.file_modification_time").distinct()
+    # One row in all, however many files there are.
+    stamp = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("*"))).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *stamp)
+    if key not in _STORED:
+        _STORED[key] = materialize(flows_with_features(packets(spark, sf_dir), EVENT_RULES), "flows")
+    return _STORED[key]
+
+
+# Fixed values of the fixture: small reference tables.
+RISKS = {
+    0: ("Known proto on non-std port", "Medium"), 1: ("TLS suspicious", "High"), 3: ("Malformed packet", "Low"),
+    4: ("Clear-text credentials", "High"), 5: ("Unlisted", "Unknown severity"),
+}
+GEO = [("8.8.8.0", "8.8.8.255", "United States"), ("1.1.1.0", "1.1.1.255", "Australia"),
+       ("93.184.216.0", "93.184.216.255", "United States"), ("172.40.0.0", "172.40.255.255", "Canada")]
+ASN = [("8.8.8.0", "8.8.8.255", "ORG-A"), ("1.1.1.0", "1.1.1.255", "ORG-B"),
+       ("93.184.216.0", "93.184.216.255", "ORG-C"), ("172.40.0.0", "172.40.255.255", "ORG-D")]
+RDNS = [("8.8.8.8", "dns.a.example"), ("1.1.1.1", "one.b.example")]
+WHOIS = [("8.8.8.8", "NetRange: x\nOrgName: Org A Inc\n"), ("1.1.1.1", "% nothing"),
+         ("93.184.216.34", "  Organization: Org C: Labs")]
+COORDS = [("United States", 38.0, -97.0), ("Australia", -27.0, 133.0), ("Canada", 60.0, -95.0)]
+
+
+def reference_tables(spark: SparkSession) -> dict[str, DataFrame]:
+    return {
+        "geo": spark.createDataFrame(GEO, "start_ip string, end_ip string, country string"),
+        "asn": spark.createDataFrame(ASN, "start_ip string, end_ip string, org string"),
+        "rdns": spark.createDataFrame(RDNS, "ip string, host string"),
+        "whois": spark.createDataFrame(WHOIS, "ip string, raw string"),
+        "coords": spark.createDataFrame(COORDS, "country string, lat double, lon double"),
+    }
+
+
+def risky_flows(flows: DataFrame) -> DataFrame:
+    mask = (F.col("packet_count") % 4).bitwiseOR(F.shiftleft(F.col("bytes") % 8, 3))
+    out = flows.withColumn("risk_mask", mask)
+    return out.withColumns({"risk_label": risk_labels("risk_mask", RISKS),
+                            "risk_severity": max_severity("risk_mask", RISKS)})
+
+
+def labelled_flows(flows: DataFrame) -> DataFrame:
+    """Flows with a text ``label``, the number ``y`` and a ``score`` in [0, 1)."""
+    default = F.when(F.col("flow_seq") % 5 == 0, "MALICIOUS").otherwise("BENIGN")
+    return label_by_ip(flows, ATTACKERS, default).withColumns({
+        "y": F.when(F.col("label") == "MALICIOUS", 1).otherwise(0),
+        "score": ((F.col("bytes") * 31 + F.col("packet_count") * 17) % 1000) / 1000.0,
+    })
+
+
+def second_tool(flows: DataFrame) -> DataFrame:
+    """Another tool's flows: some missing, some with one byte more, some equal within tolerance."""
+    pid = F.col("first_packet_id")
+    mean = F.col("mean_packet_length")
+    return flows.where(pid % 17 != 0).withColumns({
+        "bytes": F.col("bytes") + F.when(pid % 11 == 0, 1).otherwise(0),
+        "mean_packet_length": F.when(pid % 13 == 0, mean * (1 + 1e-9)).otherwise(mean),
+    })
+
+
+def metric_samples(events: DataFrame) -> DataFrame:
+    kind = (F.when(F.col("event_type").isin("click", "view"), "FLOW_AGGREGATION_RATE")
+            .when(F.col("event_type") == "error", "SYSTEM_CPU").when(F.col("event_type") == "signup", "SYSTEM_RAM")
+            .otherwise("OTHER"))
+    return events.select(kind.alias("type"), "value", F.col("ts").cast("timestamp").alias("ts"))
+
+
+def _hex(value: Column, digits: int) -> Column:
+    return F.lpad(F.hex(value.cast("long")), digits, "0")
+
+
+def _ip_hex(ip: str) -> Column:
+    parts = F.split(F.col(ip), r"\.")
+    return F.concat(*[_hex(parts[i], 2) for i in range(4)])
+
+
+# Fixed values of the fixture: MAC addresses of all built frames.
+DST_MAC, SRC_MAC = "020000000001", "020000000002"
+
+
+def frames(rows: DataFrame, kind: Column | None = None) -> DataFrame:
+    """Packets with the Ethernet ``frame`` they stand for.
+
+    ``kind`` is IPv4 (default), IPv6, VLAN, ARP, odd (EtherType 88CC) or short (10 bytes). IPv6
+    addresses carry the IPv4 ones in their last four bytes."""
+    kind = F.lit("IPv4") if kind is None else kind
+    ihl = F.col("length")
+    tcp, udp = F.col("protocol") == "TCP", F.col("protocol") == "UDP"
+    ports = F.concat(_hex(F.coalesce("src_port", F.lit(0)), 4), _hex(F.coalesce("dst_port", F.lit(0)), 4))
+    bits = sum((F.col(f).cast("int") * b for f, b in
+                (("fin", 1), ("syn", 2), ("rst", 4), ("psh", 8), ("ack", 16))), F.lit(0))
+    zero32 = F.lit("00000000")
+    l4 = (F.when(tcp, F.concat(ports, zero32, zero32, F.lit("50"), _hex(bits, 2), zero32, F.lit("0000")))
+          .when(udp, F.concat(ports, zero32)).otherwise(F.concat(F.lit("0800"), F.lit("000000000000"))))
+    number4 = F.when(tcp, "06").when(udp, "11").otherwise("01")
+    number6 = F.when(tcp, "06").when(udp, "11").otherwise("3A")
+    macs = F.lit(DST_MAC + SRC_MAC)
+    ipv4 = F.concat(F.lit("4500"), _hex(ihl - 14, 4), F.lit("00000000"), F.lit("40"), number4, F.lit("0000"),
+                    _ip_hex("src_ip"), _ip_hex("dst_ip"), l4)
+    prefix = F.lit("20010DB8" + "0" * 16)
+    ipv6 = F.concat(F.lit("60000000"), _hex(ihl, 4), number6, F.lit("40"),
+                    prefix, _ip_hex("src_ip"), prefix, _ip_hex("dst_ip"), l4)
+    whole = (
+        F.when(kind == "IPv6", F.concat(macs, F.lit("86DD"), ipv6))
+        .when(kind == "VLAN", F.concat(macs, F.lit("810000640800"), ipv4))
+        .when(kind == "ARP", F.concat(macs, F.lit("0806"), F.lit("0001080006040001")))
+        .when(kind == "odd", F.concat(macs, F.lit("88CC")))
+        .when(kind == "short", F.lit("02000000000102000000"))
+        .otherwise(F.concat(macs, F.lit("0800"), ipv4)))
+    # Zero bytes up to the packet length, never below what the headers need.
+    size = F.when(kind == "short", 10).when(kind == "IPv6", F.col("length") + 20).otherwise(F.col("length"))
+    return rows.withColumn("frame", F.unhex(F.rpad(whole, (size * 2).cast("int"), F.lit("0"))))
+
+
+def mixed_kind() -> Column:
+    slot = F.col("packet_id") % 16
+    return (F.when(slot == 0, "ARP").when(slot == 1, "IPv6").when(slot == 2, "VLAN").when(slot == 3, "odd")
+            .when(slot == 4, "short").otherwise("IPv4"))
+
+
+def raw_frames(spark: SparkSession, sf_dir: str, mixed: bool = True) -> DataFrame:
+    """What a capture holds: ``packet_id, ts_ms, frame``."""
+    rows = packets(spark, sf_dir)
+    return frames(rows, mixed_kind() if mixed else None).select("packet_id", "ts_ms", "frame")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewire.functions.keys import flow_key_bilateral
 from tidewire.functions.protocols import protocol_name
+from tidewire.session import settle
 
 # EtherTypes by class.
 ETHER_CLASSES = {0x0800: "IPv4", 0x86DD: "IPv6", 0x0806: "ARP", 0x8100: "VLAN"}
@@ -59,8 +60,6 @@ def decode_frames(df: DataFrame, vlan: str = "decode") -> DataFrame:
     step = df.withColumn("__h", F.hex(F.substr(F.col("frame"), F.lit(1), F.lit(HEAD_BYTES))))
     step = step.withColumns({
         "length": F.octet_length("frame").cast("int"),
-        "dst_mac": F.when(F.octet_length("frame") >= 14, _mac(h, 0)),
-        "src_mac": F.when(F.octet_length("frame") >= 14, _mac(h, 6)),
         "__outer": _uint(h, 12, 2),
     })
     tagged = F.col("__outer") == 0x8100
@@ -81,8 +80,6 @@ def decode_frames(df: DataFrame, vlan: str = "decode") -> DataFrame:
     is4, is6 = F.col("__v4"), F.col("__v6")
     step = step.withColumns({
         "ip_proto": F.when(is4, _uint(h, l3 + 9, 1)).when(is6, _uint(h, l3 + 6, 1)).cast("int"),
-        "src_ip": F.when(is4, _ipv4_text(h, l3 + 12)).when(is6, _ipv6_text(h, l3 + 8)),
-        "dst_ip": F.when(is4, _ipv4_text(h, l3 + 16)).when(is6, _ipv6_text(h, l3 + 24)),
         "__l4": F.when(is4, l3 + F.col("__b0").bitwiseAND(15).cast("int") * 4).when(is6, l3 + 40),
         "__fragment": F.coalesce(is4 & (_uint(h, l3 + 6, 2).bitwiseAND(0x3FFF) != 0), F.lit(False)),
     })
@@ -109,12 +106,21 @@ def decode_frames(df: DataFrame, vlan: str = "decode") -> DataFrame:
         "__tcp": F.coalesce(tcp, F.lit(False)), "__udp": F.coalesce(udp, F.lit(False)),
         "__flags": F.when(tcp, _uint(h, at + 13, 1)),
     })
+    deep_at = F.col("__deep.at")
+    step = settle(step.withColumn("__at", deep_at).drop("__deep"), [
+        "__h", "length", "vlan_tagged", "ether_type", "frame_class", "ip_proto", "__l3", "__l4", "__at",
+        "__v4", "__v6", "__tcp", "__udp", "__flags"])
+    at = F.col("__at")
     direct = (F.col("__tcp") | F.col("__udp")) & F.col("ip_proto").isin(TCP, UDP)
 
     def flag(bit: int) -> Column:
         return F.coalesce(F.col("__flags").bitwiseAND(bit) != 0, F.lit(False))
 
     step = step.withColumns({
+        "dst_mac": F.when(F.col("length") >= 14, _mac(h, 0)),
+        "src_mac": F.when(F.col("length") >= 14, _mac(h, 6)),
+        "src_ip": F.when(is4, _ipv4_text(h, l3 + 12)).when(is6, _ipv6_text(h, l3 + 8)),
+        "dst_ip": F.when(is4, _ipv4_text(h, l3 + 16)).when(is6, _ipv6_text(h, l3 + 24)),
         "protocol": F.when(is4 | is6, protocol_name("ip_proto", "decoder")),
         "src_port": F.when(direct, _uint(h, F.col("__l4"), 2)).cast("int"),
         "dst_port": F.when(direct, _uint(h, F.col("__l4") + 2, 2)).cast("int"),

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewire.operators.ordered import exact_percentiles, sliced_rank, sliced_running_sum
+from tidewire.session import settle
 
 # The model's base and derived features.
 BASE_FEATURES = [
@@ -47,7 +48,8 @@ def label_by_ip(flows: DataFrame, attackers: list[str] | DataFrame, default: Col
 
 
 def _finite(c: Column) -> Column:
-    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(c)
+    # Zero times a number is zero, times NaN or an infinity it is NaN.
+    return F.when(c * 0 == 0, c).otherwise(0.0)
 
 
 def clean_features(df: DataFrame, columns: list[str] | None = None, final: bool = True) -> DataFrame:
@@ -55,8 +57,7 @@ def clean_features(df: DataFrame, columns: list[str] | None = None, final: bool
     out = {}
     for c in columns or BASE_FEATURES:
         value = F.col(c).try_cast("double") if c in df.columns else F.lit(0.0)
-        value = F.coalesce(F.when(F.isnan(value), 0.0).otherwise(value), F.lit(0.0))
-        value = F.greatest(value, F.lit(0.0))
+        value = F.greatest(F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
         out[c] = _finite(value) if final else value
     return df.withColumns(out)
 
@@ -83,8 +84,9 @@ def log_clip(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def prepare(flows: DataFrame) -> DataFrame:
     """Published flow features to model features, one shared list for fitting and scoring."""
     named = flows.withColumn("flow_duration_ms", F.col("duration_ms"))
-    ready = derived_features(clean_features(named, final=False))
-    return ready.withColumns({c: _finite(F.col(c)) for c in MODEL_FEATURES})
+    clean = settle(clean_features(named, final=False), BASE_FEATURES)
+    ready = settle(derived_features(clean), MODEL_FEATURES)
+    return settle(ready.withColumns({c: _finite(F.col(c)) for c in MODEL_FEATURES}), MODEL_FEATURES)
 
 
 def order_hash(*columns: str, seed: int) -> Column:

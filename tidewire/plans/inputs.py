@@ -199,7 +199,8 @@ def frames(rows: DataFrame, kind: Column | None = None) -> DataFrame:
         .when(kind == "short", F.lit("02000000000102000000"))
         .otherwise(F.concat(macs, F.lit("0800"), ipv4)))
     # Zero bytes up to the packet length, never below what the headers need.
-    size = F.when(kind == "short", 10).when(kind == "IPv6", F.col("length") + 20).otherwise(F.col("length"))
+    size = F.when(kind == "short", 10).when(kind == "IPv6", F.col("length") + 20).when(
+        kind == "VLAN", F.col("length") + 4).otherwise(F.col("length"))
     return rows.withColumn("frame", F.unhex(F.rpad(whole, (size * 2).cast("int"), F.lit("0"))))
 
 

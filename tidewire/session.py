@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -56,3 +56,13 @@ def materialize(df: DataFrame, purpose: str, partition_by: str | None = None) ->
     schema = df.schema
     back = df.sparkSession.read.schema(schema).parquet(path)
     return back.select(*schema.names)
+
+
+def settle(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Compute ``columns`` once per row.
+
+    Catalyst pushes filters below projections by copying the expressions of the columns they use.
+    Columns that build on each other in many steps would grow without end; a generator over a single
+    row is a step it does not copy through."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*columns))))

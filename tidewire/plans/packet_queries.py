@@ -152,13 +152,13 @@ def _(spark, sf):
         "syn", "fin", "rst", "ack", "psh")
 
 
-def _v6(ip: str) -> str:
+def v6_sql(ip: str) -> str:
     return (f"'2001:db8:0:0:0:0:' || printf('%x', split_part({ip}, '.', 1)::INT * 256 + split_part({ip}, '.', 2)::INT)"
             f" || ':' || printf('%x', split_part({ip}, '.', 3)::INT * 256 + split_part({ip}, '.', 4)::INT)")
 
 
 @query("decode_frames_ipv6", sql("packets", f"""
-SELECT packet_id, length + 20 AS length, {_v6('src_ip')} AS src_ip, {_v6('dst_ip')} AS dst_ip,
+SELECT packet_id, length + 20 AS length, {v6_sql('src_ip')} AS src_ip, {v6_sql('dst_ip')} AS dst_ip,
   coalesce(src_port::VARCHAR, 'none') AS src_port, coalesce(dst_port::VARCHAR, 'none') AS dst_port,
   CASE protocol WHEN 'ICMPv4' THEN 'ICMPv6' ELSE protocol END AS protocol, syn, fin, rst, ack, psh FROM packets"""))
 def _(spark, sf):

@@ -8,49 +8,56 @@ from tidewire.operators.ml_models import flow_verdict
 from tidewire.plans.checks import sql
 from tidewire.plans.flow_queries import _ENRICHED, FLOW_ID
 from tidewire.plans.inputs import (
-    EVENT_RULES, metric_samples, packets, packets_from_events, reference_tables, stored_flows, table)
+    EVENT_RULES, metric_samples, packets, reference_tables, stored_flows, table)
 from tidewire.plans.io_queries import _METRICS_SQL, record_folder
 from tidewire.plans.registry import query, r6
-from tidewire.session import shared_folder
+from tidewire.session import materialize, shared_folder
 from tidewire.sources import readers
 from tidewire.streaming import jobs, sessions
 
 SETTINGS = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PARTS = 5
+STEPS = 3
 
 
-def packet_files(spark, sf) -> str:
-    """The packets as a folder of files in time order: what a capture agent would drop."""
-    path = shared_folder(spark, "arrivals")
-    rows = packets(spark, sf).repartitionByRange(PARTS, "ts_ms").sortWithinPartitions("ts_ms", "packet_id")
-    rows.write.parquet(path)
+def file_folder(rows, files: int) -> str:
+    path = shared_folder(rows.sparkSession, "arrivals")
+    rows.repartition(files).write.parquet(path)
     return path
 
 
-def arriving(spark, path, per_trigger=1):
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+def arriving(spark, path, per_trigger=None):
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if per_trigger:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    return reader.parquet(path)
 
 
-def run_sessions(spark, path, out, checkpoint, lateness_ms=0, per_trigger=1):
+def run_sessions(spark, sf, out, checkpoint, lateness_ms=0):
+    """Packets arrive in time steps; after each step the stream resumes from its checkpoint."""
     spark.conf.set(SETTINGS, ROCKSDB)
-    closed = sessions.stream_sessionize(arriving(spark, path, per_trigger), EVENT_RULES, lateness_ms)
-    jobs.run_available(closed, out, checkpoint)
+    rows = packets(spark, sf)
+    ends = rows.agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi")).first()
+    step = F.floor((F.col("ts_ms") - ends["lo"]) * STEPS / (ends["hi"] - ends["lo"] + 1)).cast("int")
+    stepped = materialize(rows.withColumn("step", step), "steps", "step")
+    path = shared_folder(spark, "arrivals")
+    for i in range(STEPS):
+        stepped.where(F.col("step") == i).drop("step").write.mode("append").parquet(path)
+        closed = sessions.stream_sessionize(arriving(spark, path), EVENT_RULES, lateness_ms)
+        jobs.run_available(closed, out, checkpoint)
 
 
-def _sessionized(spark, sf):
-    path, out, cp = packet_files(spark, sf), shared_folder(spark, "closed"), shared_folder(spark, "cp")
-    run_sessions(spark, path, out, cp)
+def _sessionized(spark, sf, lateness_ms=0):
+    out, cp = shared_folder(spark, "closed"), shared_folder(spark, "cp")
+    run_sessions(spark, sf, out, cp, lateness_ms)
     return jobs.read_batches(spark, out).drop("batch_id"), sessions.live_flows(spark, cp)
 
 
-# At the end of the stream the clock is the last packet of all: flows whose limit has passed by then are closed
-# by it, the others by the end of input.
+# At the end of the stream the clock is the last packet of all: flows whose idle limit has passed by then are
+# closed by it, the others by the end of input.
 _STREAMED = """streamed AS (SELECT flows.*, CASE WHEN end_reason <> 'PCAP_DONE' THEN end_reason
-    WHEN least(last_seen_ms + idle, first_seen_ms + age) > (SELECT max(ts_ms) FROM packets) THEN 'PCAP_DONE'
-    WHEN last_seen_ms + idle <= first_seen_ms + age THEN 'Inactivity Timeout' ELSE 'Max Age Exceeded' END AS reason
-  FROM flows JOIN (SELECT DISTINCT protocol, idle, age FROM p) USING (protocol))"""
+    WHEN last_seen_ms + idle > (SELECT max(ts_ms) FROM packets) THEN 'PCAP_DONE' ELSE 'Inactivity Timeout' END AS reason
+  FROM flows JOIN (SELECT DISTINCT protocol, idle FROM p) USING (protocol))"""
 _STREAM_SHOWN = """flow_key, flow_seq, src_ip, first_seen_ms, last_seen_ms, packet_count, bytes, total_bytes_upstream,
   round(stddev_packet_length, 6) AS stddev_packet_length, round(inter_arrival_time_stddev, 4) AS inter_arrival_time_stddev,
   inter_arrival_time_max, ack_count"""
@@ -89,9 +96,8 @@ SELECT reason, protocol, count(*) AS flows, sum(packet_count)::BIGINT AS packets
 WHERE reason IN ('Inactivity Timeout', 'Max Age Exceeded') GROUP BY ALL""", _STREAMED))
 def _(spark, sf):
     # Packets wait in the state until the watermark passes them, so late ones are counted in order.
-    path, out, cp = packet_files(spark, sf), shared_folder(spark, "closed"), shared_folder(spark, "cp")
-    run_sessions(spark, path, out, cp, lateness_ms=1)
-    rows = sessions.state_to_flows(jobs.read_batches(spark, out)).where(
+    closed, _live = _sessionized(spark, sf, lateness_ms=1)
+    rows = sessions.state_to_flows(closed).where(
         F.col("end_reason").isin("Inactivity Timeout", "Max Age Exceeded"))
     return rows.groupBy(F.col("end_reason").alias("reason"), "protocol").agg(
         F.count(F.lit(1)).alias("flows"), F.sum("packet_count").alias("packets"))
@@ -153,7 +159,7 @@ def _(spark, sf):
 
 @query("at_least_once_sink", sql("packets", "SELECT packet_id, ts_ms, length FROM packets"))
 def _(spark, sf):
-    source = packet_files(spark, sf)
+    source = file_folder(packets(spark, sf), 4)
     out, cp = shared_folder(spark, "sink"), shared_folder(spark, "cp")
     # The sink fails once after its write: the batch is replayed and replaces what it left behind.
     failed = []
@@ -175,6 +181,6 @@ def _(spark, sf):
 @query("rate_limit", sql("packets", "SELECT 5::BIGINT AS batches, count(*) AS packets FROM packets"))
 def _(spark, sf):
     out, cp = shared_folder(spark, "limited"), shared_folder(spark, "cp")
-    jobs.run_available(arriving(spark, packet_files(spark, sf), 1).select("packet_id"), out, cp)
+    jobs.run_available(arriving(spark, file_folder(packets(spark, sf), 5), 1).select("packet_id"), out, cp)
     return jobs.read_batches(spark, out).agg(
         F.countDistinct("batch_id").alias("batches"), F.count(F.lit(1)).alias("packets"))

@@ -5,9 +5,13 @@ The state of a key is the sums of its live flow, whatever the number of packets;
 ones are put in order before they are counted. A flow ends
 
 * when the key's next packet breaks it (idle limit, age limit, TCP close), or
-* when the watermark passes its limit: an event-time timer closes it, so the cost
+* when the watermark passes its idle limit: an event-time timer closes it, so the cost
   does not depend on the number of live flows.
 
+A flow that is over age but silent is judged like in batch: by its own next packet, or by
+the idle limit, whichever is first. So flows and reasons do not depend on other keys' packets
+or on how the input is cut into micro-batches.
+
 Event time is packet time. No packet is dropped for being late: it joins the live
 flow, as far back as it may lie. What is still live at the end is read from the state.
 """
@@ -178,14 +182,12 @@ class FlowProcessor(StatefulProcessor):
         if rows is not None and len(rows):
             flow, seq, closed = self._fold(key, flow, rows, seq)
         if flow is not None:
-            idle, age = self._limits(key)
-            idle_at, age_at = flow["last_ms"] + idle, flow["first_ms"] + age
-            if min(idle_at, age_at) <= watermark:
-                closed.append({"flow_key": key, **flow, "live": False,
-                               "end_reason": IDLE if idle_at <= age_at else AGE})
+            idle_at = flow["last_ms"] + self._limits(key)[0]
+            if idle_at <= watermark:
+                closed.append({"flow_key": key, **flow, "live": False, "end_reason": IDLE})
                 flow = None
             else:
-                self.handle.registerTimer(min(idle_at, age_at))
+                self.handle.registerTimer(idle_at)
         if flow is None and seq:
             flow = {**_new_flow(seq - 1), "live": False}
         if flow is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from tidewire.functions.addresses import is_private_ip, is_valid_ip, normalize_ip
 from tidewire.functions.decode import (
@@ -19,6 +19,9 @@ from tidewire.plans.checks import sql
 from tidewire.plans.inputs import (
     DST_MAC, SRC_MAC, frames, metric_samples, mixed_kind, packets, raw_frames, table)
 from tidewire.plans.registry import query, r6, text
+from tidewire.session import shared_folder
+from tidewire.sources.readers import read_packet_csv
+from tidewire.sources.sinks import export_packet_csv
 
 
 @query("flow_key_directed", sql("keyed", "SELECT packet_id, directed FROM keyed"))
@@ -364,8 +367,6 @@ def _(spark, sf):
 SELECT row_number() OVER (ORDER BY ts_ms, packet_id) AS frame_no, src_ip, dst_ip, coalesce(src_port, 0)::VARCHAR AS src_port,
   coalesce(dst_port, 0)::VARCHAR AS dst_port, length FROM packets"""))
 def _(spark, sf):
-    from tidewire.sources.sinks import export_packet_csv, read_packet_csv
-    from tidewire.session import shared_folder
     path = shared_folder(spark, "packet-csv")
     export_packet_csv(packets(spark, sf), path, slice_ms=86_400_000)
     return read_packet_csv(spark, path)

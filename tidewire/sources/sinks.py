@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewire import schemas
 from tidewire.functions.keys import packet_label
 from tidewire.functions.text import format_ts_ms
+from tidewire.operators.features import flow_lists
 from tidewire.operators.ordered import sliced_rank, sliced_running_sum
+from tidewire.operators.sessionize import FlowRules
 
 NUMBERS = [c for c, n in schemas.PUBLISHED.items() if schemas.flow_json_type(n) != "string"
            and c not in ("first_seen_ms", "last_seen_ms", "duration_ms")]
@@ -29,6 +31,7 @@ def flow_defaults(flows: DataFrame, now_ms: Column) -> DataFrame:
         "flow_key": F.coalesce(field("flow_key").cast("string"), F.lit("N/A")),
         "end_reason": F.coalesce(field("end_reason").cast("string"), F.lit("N/A")),
         "duration_ms": F.coalesce(field("duration_ms").cast("long"), last - first),
+        "src_port": field("src_port").cast("int"), "dst_port": field("dst_port").cast("int"),
         **{c: F.coalesce(field(c).cast("string"), F.lit("N/A")) for c in NAMES},
         **{c: F.coalesce(field(c).cast("string").try_cast("double"), F.lit(0.0)).cast(
             "long" if schemas.flow_json_type(schemas.PUBLISHED[c]) == "long" else "double")
@@ -71,8 +74,16 @@ def stored_flow_rows(flows: DataFrame, now_ms: Column | None = None) -> DataFram
         *[F.timestamp_millis(c).alias(n) if c in ("first_seen_ms", "last_seen_ms")
           else F.col(c).cast("string").alias(n) if c in ("src_port", "dst_port")
           else F.col(c).alias("packets" if n == "packetCount" else n) for c, n in schemas.PUBLISHED.items()],
-        F.col("duration_ms").alias("durationMs"),
-        *[F.col(c) for c in ("packetSummaries", "treatmentDelay") if c in flows.columns])
+        F.col("duration_ms").alias("durationMs"))
+
+
+def stored_flow_lists(packets: DataFrame, rules: FlowRules, processed_at_ms: Column) -> DataFrame:
+    """Packet ids and delays of each flow in arrival order: ``flow_key, flow_seq, part, packetSummaries,
+    treatmentDelay``. They are stored beside the flows, in parts, because a flood's list has no bound."""
+    delay = processed_at_ms - (F.coalesce("ingested_at_ms", F.lit(0)) if "ingested_at_ms" in packets.columns else F.lit(0))
+    both = flow_lists(packets, rules, F.struct(packet_label().alias("id"), delay.cast("long").alias("delay")), "item")
+    return both.select("flow_key", "flow_seq", "part", F.col("item.id").alias("packetSummaries"),
+                       F.col("item.delay").alias("treatmentDelay"))
 
 
 def write_flows(flows: DataFrame, path: str, mode: str = "append", now_ms: Column | None = None) -> None:
@@ -115,12 +126,6 @@ def export_packet_csv(packets: DataFrame, path: str, limit: int | None = None, s
     rows.orderBy("frame_no").write.csv(path)
 
 
-def read_packet_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Packet CSV without a header; empty cells read "0"."""
-    rows = spark.read.schema(schemas.PACKET_CSV).csv(path)
-    return rows.fillna("0", ["src_ip", "dst_ip", "src_port", "dst_port"])
-
-
 def flow_csv_rows(flows: DataFrame) -> DataFrame:
     """The 29 columns of the feature CSV."""
     def cell(name: str, c: str) -> Column:

@@ -1,6 +1,7 @@
 """Ethernet, IP and TCP/UDP header fields as column expressions on the frame bytes.
 
-The head of the frame is turned into hex text once; every field is a slice of it."""
+The head of the frame is read as Latin-1 text once, one character per byte; every field is
+a slice of it."""
 
 from __future__ import annotations
 
@@ -21,13 +22,20 @@ MAX_EXTENSIONS = 6
 
 def _uint(h: Column, at: Column | int, size: int) -> Column:
     """Unsigned number of ``size`` bytes at byte ``at``; null past the end of the head."""
-    start = (F.lit(at) if isinstance(at, int) else at) * 2 + 1
-    text = F.substr(h, start.cast("int"), F.lit(size * 2))
-    return F.when(F.length(text) == size * 2, F.conv(text, 16, 10).cast("long"))
+    first = (F.lit(at) if isinstance(at, int) else at) + 1
+    number = None
+    for i in range(size):
+        byte = F.ascii(F.substr(h, (first + i).cast("int"), F.lit(1))).cast("long")
+        number = byte if number is None else number * 256 + byte
+    return F.when(F.length(h) >= first + (size - 1), number)
+
+
+def _hex_of(number: Column, digits: int) -> Column:
+    return F.lpad(F.lower(F.hex(number)), digits, "0")
 
 
 def _mac(h: Column, at: int) -> Column:
-    return F.lower(F.concat_ws(":", *[F.substr(h, F.lit((at + i) * 2 + 1), F.lit(2)) for i in range(6)]))
+    return F.concat_ws(":", *[_hex_of(_uint(h, at + i, 1), 2) for i in range(6)])
 
 
 def _ipv4_text(h: Column, at: Column) -> Column:
@@ -57,7 +65,7 @@ def decode_frames(df: DataFrame, vlan: str = "decode") -> DataFrame:
     if vlan not in ("decode", "drop"):
         raise ValueError("vlan is 'decode' or 'drop'")
     h = F.col("__h")
-    step = df.withColumn("__h", F.hex(F.substr(F.col("frame"), F.lit(1), F.lit(HEAD_BYTES))))
+    step = df.withColumn("__h", F.decode(F.substr(F.col("frame"), F.lit(1), F.lit(HEAD_BYTES)), "ISO-8859-1"))
     step = step.withColumns({
         "length": F.octet_length("frame").cast("int"),
         "__outer": _uint(h, 12, 2),

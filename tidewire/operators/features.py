@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewire.operators.ordered import sliced_rank
+from tidewire.operators.ordered import time_rank
 from tidewire.operators.sessionize import FlowRules, assign_packets, sessionize_flows
+from tidewire.session import materialize
 
 NAN = float("nan")
 
@@ -112,9 +113,9 @@ def flow_lists(packets: DataFrame, rules: FlowRules | None, value: Column, out:
     without bound."""
     rules = rules or FlowRules()
     placed = assign_packets(packets, sessionize_flows(packets, rules), rules)
-    placed = placed.withColumn("time_slice", F.floor(F.col("ts_ms") / rules.slice_ms).cast("long"))
-    ranked = sliced_rank(placed.withColumn(out, value), ["flow_key", "flow_seq"], "time_slice",
-                         ["ts_ms", "packet_id"], "pos")
+    items = placed.select("flow_key", "flow_seq", "ts_ms", "packet_id", value.alias(out))
+    ranked = time_rank(materialize(items, "flow-items"), ["flow_key", "flow_seq"], "ts_ms", "packet_id",
+                       rules.slice_ms, "pos")
     return (
         ranked.groupBy("flow_key", "flow_seq", F.floor(F.col("pos") / part_size).cast("long").alias("part"))
         .agg(F.sort_array(F.collect_list(F.struct("pos", out))).alias("l"))

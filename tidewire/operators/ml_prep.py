@@ -99,7 +99,7 @@ def stratified_split(df: DataFrame, ids: list[str], label: str, share: float = 0
 
     Rows are ranked per label by the hash of their id; the leading hash digits cut a label into
     slices, so no label is ranked in one task."""
-    hashed = df.withColumn("__h", order_hash(*ids, seed=seed)).withColumn("__s", F.left("__h", F.lit(3)))
+    hashed = df.withColumn("__h", order_hash(*ids, seed=seed)).withColumn("__s", F.left("__h", F.lit(4)))
     ranked = sliced_rank(hashed, [label], "__s", ["__h", *ids], "__r")
     sizes = df.groupBy(label).agg(F.floor(F.count(F.lit(1)) * share).alias("__n"))
     return (

@@ -38,6 +38,21 @@ def sliced_rank(df: DataFrame, keys: list[str], slice_col: str, order: list[str]
     return sliced_running_sum(df, keys, slice_col, order, {out: F.lit(1)}, inclusive=False)
 
 
+def time_rank(df: DataFrame, keys: list[str], ts: str, row_id: str, slice_ms: int, out: str) -> DataFrame:
+    """Position (from 0) of each row of a group in the order (time, id), for groups of any size.
+
+    Rows are counted per millisecond before the shuffle; the running count of milliseconds is
+    stitched over time slices, and inside a millisecond rows are ranked by slices of their id.
+    Ids are unique whole numbers."""
+    per_ms = df.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("__n")).withColumn(
+        "__s", F.floor(F.col(ts) / slice_ms))
+    before = sliced_running_sum(per_ms, keys, "__s", [ts], {"__before": "__n"}, inclusive=False).select(
+        *keys, ts, "__before")
+    ranked = sliced_rank(df.withColumn("__s", F.floor(F.col(row_id) / 65536)), [*keys, ts], "__s", [row_id], "__r")
+    return ranked.join(before, [*keys, ts]).select(
+        *df.columns, (F.col("__before") + F.col("__r")).cast("long").alias(out))
+
+
 def distribution(df: DataFrame, value: str, sums: dict[str, Column] | None = None,
                  keys: list[str] | None = None, slices: int = 128) -> DataFrame:
     """Distinct values with their counts and cumulative counts, exactly and without a global sort.

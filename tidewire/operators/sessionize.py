@@ -41,6 +41,15 @@ IDLE, AGE, RST, FIN, DONE = (
 
 BLOCK_AGES = 8
 
+# Protocol classes as small numbers: limits are looked up without taking the key text apart.
+CLASSES = {"TCP": 0, "UDP": 1, "OTHER": 2}
+
+
+def class_of(protocol: Column) -> Column:
+    """The class depends on the protocol's name."""
+    return (F.when(protocol == "TCP", CLASSES["TCP"]).when(protocol == "UDP", CLASSES["UDP"])
+            .otherwise(CLASSES["OTHER"]))
+
 
 @dataclass(frozen=True)
 class FlowRules:
@@ -55,18 +64,19 @@ class FlowRules:
         if self.slice_ms < max(self.idle_ms.values()):
             raise ValueError("slice_ms must not be below the idle limit")
 
-    def _by_class(self, limits: dict[str, int], protocol: Column) -> Column:
+    def _by_class(self, limits: dict[str, int], kind: Column) -> Column:
         return (
-            F.when(protocol == "TCP", F.lit(limits["TCP"]).cast("long"))
-            .when(protocol == "UDP", F.lit(limits["UDP"]).cast("long"))
+            F.when(kind == CLASSES["TCP"], F.lit(limits["TCP"]).cast("long"))
+            .when(kind == CLASSES["UDP"], F.lit(limits["UDP"]).cast("long"))
             .otherwise(F.lit(limits["OTHER"]).cast("long"))
         )
 
-    def idle(self, protocol: Column) -> Column:
-        return self._by_class(self.idle_ms, protocol)
+    def idle(self, kind: Column) -> Column:
+        """Idle limit by protocol class (``class_of``)."""
+        return self._by_class(self.idle_ms, kind)
 
-    def max_age(self, protocol: Column) -> Column:
-        return self._by_class(self.max_age_ms, protocol)
+    def max_age(self, kind: Column) -> Column:
+        return self._by_class(self.max_age_ms, kind)
 
 
 def key_part(i: int) -> Column:
@@ -121,6 +131,7 @@ def ticks(packets: DataFrame) -> DataFrame:
     ) if _has_numbers(packets) else F.lit(False)
     return packets.groupBy("flow_key", "ts_ms").agg(
         *_packet_sums(),
+        F.min(class_of(F.col("protocol"))).alias("kind"),
         F.max(F.when(F.col("rst"), F.col("packet_id"))).alias("last_rst"),
         F.coalesce(two_sided, F.lit(False)).alias("fin_cand"),
     )
@@ -133,7 +144,7 @@ def _has_numbers(packets: DataFrame) -> bool:
 def _with_idle_breaks(t: DataFrame, rules: FlowRules) -> DataFrame:
     """Ticks with ``slice``, ``brk`` (starts an idle session), ``gap`` and ``seg`` (running breaks)."""
     own = F.floor(F.col("ts_ms") / rules.slice_ms).cast("long")
-    idle = rules.idle(protocol_of_key())
+    idle = rules.idle(F.col("kind"))
     near_end = F.pmod(F.col("ts_ms"), F.lit(rules.slice_ms)) >= rules.slice_ms - idle
     w = Window.partitionBy("flow_key", "slice").orderBy("ts_ms")
     gap = F.col("ts_ms") - F.lag("ts_ms").over(w)
@@ -169,6 +180,7 @@ def _sessions(t: DataFrame) -> DataFrame:
     start = F.col("brk")
     fragments = t.groupBy("flow_key", "slice", "seg").agg(
         *_add_up(start),
+        F.min("kind").alias("kind"),
         F.count(F.lit(1)).alias("n_ticks"),
         F.max(F.when(start, F.col("rst") > 0)).alias("start_rst"),
         F.max(F.when(start, F.col("fin_cand"))).alias("start_fin"),
@@ -181,7 +193,7 @@ def _sessions(t: DataFrame) -> DataFrame:
     ).withColumn("is_last", F.col("session") == F.max("session").over(by_key))
     return numbered.groupBy("flow_key", "session").agg(
         *[F.sum(c).alias(c) for c in [*SUMS, "gap_sumsq", "n_ticks"]],
-        *[F.min(c).alias(c) for c in ("min_len", "gap_min", "first_ms", "first_code")],
+        *[F.min(c).alias(c) for c in ("min_len", "gap_min", "first_ms", "first_code", "kind")],
         *[F.max(c).alias(c) for c in ("max_len", "gap_max", "last_ms", "many", "is_last",
                                       "start_rst", "start_fin", "start_n")],
     )
@@ -287,12 +299,12 @@ def _ticks_of(sessions: DataFrame, t: DataFrame, rules: FlowRules) -> DataFrame:
 
 def _place_ticks(inside: DataFrame, rules: FlowRules) -> DataFrame:
     """Ticks of sessions that may break, with the start ``flow_ms`` of the flow each belongs to."""
-    age = rules.max_age(protocol_of_key())
+    age = rules.max_age(F.col("kind"))
     block = F.floor(F.col("ts_ms") / (F.lit(BLOCK_AGES) * age)).cast("long")
     blocks = (
         inside.groupBy("flow_key", "session", block.alias("block"))
         .agg(F.sort_array(F.collect_list(F.struct("ts_ms", "ends"))).alias("t"),
-             F.min("s_first").alias("s_first"), F.max("s_last").alias("s_last"))
+             F.min("s_first").alias("s_first"), F.max("s_last").alias("s_last"), F.min("kind").alias("kind"))
         .select("flow_key", "session", "block", F.col("t.ts_ms").alias("ts"), F.col("t.ends").alias("ends"),
                 age.alias("max_age"),
                 (F.floor(F.col("s_first") / (F.lit(BLOCK_AGES) * age))
@@ -387,14 +399,14 @@ def flow_sums(packets: DataFrame, rules: FlowRules | None = None) -> DataFrame:
         sessions = _sessions(t)
         close_at_start = (F.col("start_rst") | F.col("start_fin")) & (
             (F.col("n_ticks") > 1) | (F.col("start_n") > 1))
-        old = F.col("last_ms") - F.col("first_ms") >= rules.max_age(protocol_of_key())
+        old = F.col("last_ms") - F.col("first_ms") >= rules.max_age(F.col("kind"))
         reason = F.when(F.col("start_rst") & (F.col("n") == 1), RST).when(F.col("is_last"), DONE).otherwise(IDLE)
         sessions = materialize(
             sessions.select(*SESSION_COLUMNS, "session", "is_last", reason.alias("end_reason"),
-                            F.when(close_at_start | old, "breaks").otherwise("whole").alias("kind")),
-            "sessions", "kind")
-        flows = sessions.where("kind = 'whole'").select(*SESSION_COLUMNS, "end_reason")
-        broken = sessions.where("kind = 'breaks'")
+                            F.when(close_at_start | old, "breaks").otherwise("whole").alias("fate")),
+            "sessions", "fate")
+        flows = sessions.where("fate = 'whole'").select(*SESSION_COLUMNS, "end_reason")
+        broken = sessions.where("fate = 'breaks'")
         if not broken.isEmpty():
             flows = flows.unionByName(_split_sessions(packets, _ticks_of(broken, t, rules), rules))
         return flows
@@ -429,13 +441,15 @@ def assign_packets(packets: DataFrame, flows: DataFrame, rules: FlowRules | None
 
     The flows of a key are runs of its packets in the order (time, id), so a packet belongs
     to the last flow that started at or before it. Flow starts are laid between the packets,
-    once per time slice the flow covers, and carried forward inside the slice."""
+    once per time slice the flow covers, and carried forward inside the slice. Slices are as short
+    as the idle limit, to keep what is sorted at once of a busy key small."""
     rules = rules or FlowRules()
+    slice_ms = max(rules.idle_ms.values())
     packets = keyed_packets(packets)
     columns = [c for c in packets.columns if c != "flow_key"]
 
     def slice_of(c) -> Column:
-        return F.floor(F.col(c) / rules.slice_ms).cast("long")
+        return F.floor(F.col(c) / slice_ms).cast("long")
 
     begun = slice_of("first_seen_ms")
     marks = flows.select(
@@ -444,7 +458,7 @@ def assign_packets(packets: DataFrame, flows: DataFrame, rules: FlowRules | None
     first = F.col("slice") == F.col("begun")
     marks = marks.select(
         "flow_key", "slice",
-        F.when(first, F.col("first_seen_ms")).otherwise(F.col("slice") * rules.slice_ms).alias("at_ms"),
+        F.when(first, F.col("first_seen_ms")).otherwise(F.col("slice") * slice_ms).alias("at_ms"),
         F.when(first, F.col("first_packet_id")).otherwise(-1).alias("at_id"),
         "flow_seq", F.lit(None).cast(packets.select(F.struct(*columns)).schema[0].dataType).alias("p"))
     rows = packets.select(

@@ -9,7 +9,7 @@ from tidewire.functions.text import format_ts_ms, row_contains
 from tidewire.operators import compare, enrich, rollups
 from tidewire.operators.features import FEATURES, flow_lists, flows_with_features
 from tidewire.operators.ml_prep import BASE_FEATURES, label_by_ip
-from tidewire.operators.sessionize import assign_packets, sessionize_flows
+from tidewire.operators.sessionize import assign_packets, class_of, sessionize_flows
 from tidewire.functions.keys import packet_label
 from tidewire.plans.checks import PACKETS, sql
 from tidewire.plans.inputs import (
@@ -21,10 +21,12 @@ DOUBLES = ["mean_packet_length", "stddev_packet_length", "bytes_per_second", "pa
            "inter_arrival_time_stddev", "tcp_fraction", "udp_fraction", "other_fraction", "syn_rate", "fin_rate",
            "rst_rate", "ack_rate", "psh_rate"]
 FLOW_ID = ["flow_key", "flow_seq"]
+# Gaps of hours have deviations of 1e7: fewer digits are exact there.
+DIGITS = {"inter_arrival_time_stddev": 2, "inter_arrival_time_mean": 3}
 
 
 def _features_sql(source: str = "flows") -> str:
-    shown = ", ".join(f"round({c}, 6) AS {c}" if c in DOUBLES else c for c in FEATURES)
+    shown = ", ".join(f"round({c}, {DIGITS.get(c, 6)}) AS {c}" if c in DOUBLES else c for c in FEATURES)
     return f"SELECT flow_key, flow_seq, {shown} FROM {source}"
 
 
@@ -51,7 +53,8 @@ def _(spark, sf):
 @query("flow_features", sql("flows", _features_sql()))
 def _(spark, sf):
     flows = flows_with_features(packets(spark, sf), EVENT_RULES)
-    return flows.select("flow_key", "flow_seq", *[r6(c).alias(c) if c in DOUBLES else F.col(c) for c in FEATURES])
+    return flows.select("flow_key", "flow_seq", *[
+        F.round(c, DIGITS.get(c, 6)).alias(c) if c in DOUBLES else F.col(c) for c in FEATURES])
 
 
 @query("assign_packets", sql("placed", "SELECT packet_id, flow_key, flow_seq FROM placed"))
@@ -110,7 +113,7 @@ def _(spark, sf):
     # Inside a flow neighbours are less than the idle limit apart: slices with a copied edge see them.
     size = EVENT_RULES.slice_ms
     own = F.floor(F.col("ts_ms") / size).cast("long")
-    edge = F.pmod("ts_ms", F.lit(size)) >= size - EVENT_RULES.idle(F.col("protocol"))
+    edge = F.pmod("ts_ms", F.lit(size)) >= size - EVENT_RULES.idle(class_of(F.col("protocol")))
     w = Window.partitionBy("flow_key", "flow_seq", "slice").orderBy("ts_ms", "packet_id")
     return (
         placed.withColumn("slice", F.explode(F.when(edge, F.array(own, own + 1)).otherwise(F.array(own))))

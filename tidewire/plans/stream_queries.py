@@ -59,7 +59,7 @@ _STREAMED = """streamed AS (SELECT flows.*, CASE WHEN end_reason <> 'PCAP_DONE'
     WHEN last_seen_ms + idle > (SELECT max(ts_ms) FROM packets) THEN 'PCAP_DONE' ELSE 'Inactivity Timeout' END AS reason
   FROM flows JOIN (SELECT DISTINCT protocol, idle FROM p) USING (protocol))"""
 _STREAM_SHOWN = """flow_key, flow_seq, src_ip, first_seen_ms, last_seen_ms, packet_count, bytes, total_bytes_upstream,
-  round(stddev_packet_length, 6) AS stddev_packet_length, round(inter_arrival_time_stddev, 4) AS inter_arrival_time_stddev,
+  round(stddev_packet_length, 6) AS stddev_packet_length, round(inter_arrival_time_stddev, 2) AS inter_arrival_time_stddev,
   inter_arrival_time_max, ack_count"""
 
 
@@ -67,7 +67,7 @@ def _shown(rows, *more):
     return sessions.state_to_flows(rows).select(
         *FLOW_ID, "src_ip", "first_seen_ms", "last_seen_ms", "packet_count", "bytes", "total_bytes_upstream",
         r6("stddev_packet_length").alias("stddev_packet_length"),
-        F.round("inter_arrival_time_stddev", 4).alias("inter_arrival_time_stddev"), "inter_arrival_time_max", "ack_count",
+        F.round("inter_arrival_time_stddev", 2).alias("inter_arrival_time_stddev"), "inter_arrival_time_max", "ack_count",
         *more)
 
 

@@ -8,7 +8,7 @@ from tidewire import schemas
 from tidewire.functions.keys import packet_label
 from tidewire.functions.text import format_ts_ms
 from tidewire.operators.features import flow_lists
-from tidewire.operators.ordered import sliced_rank, sliced_running_sum
+from tidewire.operators.ordered import time_rank
 from tidewire.operators.sessionize import FlowRules
 
 NUMBERS = [c for c, n in schemas.PUBLISHED.items() if schemas.flow_json_type(n) != "string"
@@ -102,17 +102,9 @@ def publish_flows(flows: DataFrame) -> DataFrame:
 
 
 def numbered_packets(packets: DataFrame, slice_ms: int = 60_000) -> DataFrame:
-    """Packets with ``frame_no`` 1, 2, ... in the order (time, id), without one global window.
-
-    Packets are counted per millisecond; the running count of milliseconds is stitched over time
-    slices, and inside a millisecond packets are ranked by slices of their id."""
-    per_ms = packets.groupBy("ts_ms").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "s", F.floor(F.col("ts_ms") / slice_ms))
-    before = sliced_running_sum(per_ms, [], "s", ["ts_ms"], {"before": "n"}, inclusive=False).select("ts_ms", "before")
-    ranked = sliced_rank(packets.withColumn("__s", F.floor(F.col("packet_id") / 65536)), ["ts_ms"], "__s",
-                         ["packet_id"], "__r")
-    return ranked.join(before, "ts_ms").select(
-        (F.col("before") + F.col("__r") + 1).cast("long").alias("frame_no"), *packets.columns)
+    """Packets with ``frame_no`` 1, 2, ... in the order (time, id), without one global window."""
+    ranked = time_rank(packets, [], "ts_ms", "packet_id", slice_ms, "frame_no")
+    return ranked.withColumn("frame_no", F.col("frame_no") + 1)
 
 
 def export_packet_csv(packets: DataFrame, path: str, limit: int | None = None, slice_ms: int = 60_000) -> None:

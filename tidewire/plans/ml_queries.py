@@ -226,9 +226,16 @@ def _(spark, sf):
     return rows.select(*FLOW_ID, ml_models.flow_verdict(F.when(slot != 1, F.col("score")), protocol).alias("verdict"))
 
 
-# ---- models (rows only: their results depend on the fitted model)
-
-@query("density_noise")
+# ---- models (rows only where the result depends on the fitted model)
+
+@query("density_noise", sql("labelled", """
+SELECT flow_key, flow_seq, NOT core AND NOT beside AS noise FROM pts JOIN (
+  SELECT a.i, bool_or(a.core) AS core, bool_or(b.core) AS beside FROM cores a
+  JOIN cores b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.25 GROUP BY a.i) USING (i)""",
+    """pts AS (SELECT row_number() OVER () AS i, flow_key, flow_seq, ln(1 + least(bytes, 1e8)) AS x,
+  ln(1 + least(duration_ms, 1e8)) AS y FROM labelled)""",
+    """cores AS (SELECT a.i, any_value(a.x) AS x, any_value(a.y) AS y, count(*) >= 5 AS core FROM pts a
+  JOIN pts b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.25 GROUP BY a.i)"""))
 def _(spark, sf):
     rows = ml_prep.log_clip(rows_of(spark, sf).select(*FLOW_ID, "bytes", "duration_ms"), ["bytes", "duration_ms"])
     return ml_models.density_noise(rows, FLOW_ID, "bytes", "duration_ms", eps=0.5, min_rows=5).select(

@@ -237,3 +237,21 @@ def test_replay_writes_the_same_ids(spark):
     row = spark.createDataFrame([("k", 1, 0, 5)], "flow_key string, first_seen_ms long, flow_seq long, bytes long")
     ids = {sinks.stored_flow_rows(row).first().id for _ in range(2)}
     assert len(ids) == 1 and shared_folder(spark, "x") != shared_folder(spark, "x")
+
+
+@pytest.mark.parametrize("broken,label", [("score", "UNKNOWN"), ("geo", None), (None, "BENIGN")])
+def test_failures_of_enrichment_and_scoring(spark, tmp_path, broken, label):
+    from tidewire.plans.inputs import reference_tables
+    from tidewire.streaming import jobs
+    tables = reference_tables(spark)
+    if broken == "geo":
+        tables["geo"] = tables["geo"].withColumn("country", F.raise_error(F.lit("no table")).cast("string"))
+
+    def score(rows):
+        value = F.raise_error(F.lit("no model")).cast("string") if broken == "score" else F.lit("BENIGN")
+        return rows.withColumn("label", value)
+
+    flows = spark.createDataFrame([("k", "8.8.8.8", "10.0.0.1")], "flow_key string, src_ip string, dst_ip string")
+    jobs.enrich_and_score(tables, score)(flows, str(tmp_path / "out"))
+    row = spark.read.parquet(str(tmp_path / "out")).first()
+    assert row.flow_key == "k" and row.asDict().get("label") == label

@@ -25,6 +25,7 @@ How it scales. No step sorts or holds a whole key:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -255,21 +256,29 @@ def _block_exits(ts: pd.Series, ends: pd.Series, age: pd.Series) -> pd.DataFrame
             jump = far
         block = t[0] // (BLOCK_AGES * a) * (BLOCK_AGES * a)
         k = max(1, int(np.searchsorted(t, block + a, side="left")) + 1)
-        entries.append(t[:k])
-        exits.append(np.where(e[jump], -1, t[jump])[:k])
+        out = np.where(e[jump], -1, t[jump])[:k]
+        # Flows that enter at neighbouring ticks mostly leave as one: keep the last tick of each run.
+        last = np.append(out[1:] != out[:-1], True)
+        entries.append(t[:k][last])
+        exits.append(out[last])
     return pd.DataFrame({"entry": entries, "exit": exits})
 
 
-def _chain_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Carry the live flow over the blocks of one session: its start on entry to each (-1: none)."""
-    pdf = pdf.sort_values("block")
-    live, out = -1, []
-    for entry, exit_, age in zip(pdf["entry"], pdf["exit"], pdf["max_age"]):
-        out.append(live)
-        at = 0 if live < 0 else int(np.searchsorted(entry, live + int(age), side="left"))
-        if at < len(entry):
-            live = int(exit_[at])
-    return pdf[["flow_key", "session", "block"]].assign(live=out)
+def _chain_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Carry the live flow over the blocks of each session: its start on entry to each (-1: none).
+
+    Blocks come sorted and pass one by one; only the start of the live flow is kept between them."""
+    at_session, live = None, -1
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples(index=False):
+            if at_session != (row.flow_key, row.session):
+                at_session, live = (row.flow_key, row.session), -1
+            out.append(live)
+            at = 0 if live < 0 else int(np.searchsorted(row.entry, live + row.max_age, side="left"))
+            if at < len(row.entry):
+                live = int(row.exit[at])
+        yield pdf[["flow_key", "session", "block"]].assign(live=out)
 
 
 def _flow_starts(ts: pd.Series, ends: pd.Series, age: pd.Series, live: pd.Series) -> pd.Series:
@@ -316,8 +325,8 @@ def _place_ticks(inside: DataFrame, rules: FlowRules) -> DataFrame:
         blocks.where("several")
         .select("flow_key", "session", "block", "max_age", exits("ts", "ends", "max_age").alias("f"))
         .select("flow_key", "session", "block", "max_age", "f.entry", "f.exit")
-        .groupBy("flow_key", "session")
-        .applyInPandas(_chain_blocks, "flow_key string, session long, block long, live long")
+        .repartition("flow_key", "session").sortWithinPartitions("flow_key", "session", "block")
+        .mapInPandas(_chain_blocks, "flow_key string, session long, block long, live long")
     )
     starts = (
         blocks.join(entries, ["flow_key", "session", "block"], "left")

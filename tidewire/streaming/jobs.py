@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,6 +14,9 @@ from tidewire.operators.metrics import metric_rows
 from tidewire.sources.readers import envelope_packets
 
 
+log = logging.getLogger(__name__)
+
+
 def batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 
@@ -82,15 +86,19 @@ def enrich_and_score(tables: dict[str, DataFrame], score: Callable[[DataFrame],
                      ) -> Callable[[DataFrame, str], None]:
     """Enrich a batch of closed flows, label it and store it.
 
-    If enrichment fails the batch is stored without it; if scoring fails its labels read UNKNOWN."""
+    If scoring fails the labels read UNKNOWN; if enrichment fails the batch is stored as it came,
+    without labels. What failed is logged; a failing store fails the batch, which is then replayed."""
+    def enriched(batch: DataFrame) -> DataFrame:
+        return enrich.enrich_flows(batch, tables["geo"], tables["asn"], tables["rdns"], tables["whois"])
+
     def write(batch: DataFrame, path: str) -> None:
         try:
-            rows = enrich.enrich_flows(batch, tables["geo"], tables["asn"], tables["rdns"], tables["whois"])
+            return overwrite_parquet(score(enriched(batch)), path)
         except Exception:
-            rows = batch
+            log.exception("scoring failed")
         try:
-            rows = score(rows)
+            return overwrite_parquet(enriched(batch).withColumn("label", F.lit("UNKNOWN")), path)
         except Exception:
-            rows = rows.withColumn("label", F.lit("UNKNOWN"))
-        overwrite_parquet(rows, path)
+            log.exception("enrichment failed")
+        overwrite_parquet(batch, path)
     return write

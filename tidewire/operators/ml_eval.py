@@ -88,26 +88,27 @@ def f1_by_threshold(df: DataFrame, label: str, score: str, steps: int = 200, inc
         lambda i: F.when(i == steps - 1, F.col("hi"))
         .otherwise(F.col("lo") + i * ((F.col("hi") - F.col("lo")) / (steps - 1))))).alias("thr"))
     marks = exact_percentiles(df, score, [p / 100 for p in THRESHOLD_PERCENTILES])
-    candidates = even.unionByName(marks.select(F.col("value").alias("thr"))).distinct()
-    ordered = candidates.agg(F.array_sort(F.collect_list("thr")).alias("t")).scalar()
+    candidates = even.unionByName(marks.select(F.col("value").alias("thr"))).agg(
+        F.array_sort(F.collect_set("thr")).alias("t"))
     below = F.filter(F.col("t"), lambda t: (t <= F.col(score)) if inclusive else (t < F.col(score)))
     gaps = (
-        d.withColumn("t", ordered).groupBy(F.size(below).alias("gap"))
+        d.withColumn("t", candidates.scalar()).groupBy(F.size(below).alias("gap"))
         .agg(F.sum("cnt").alias("cnt"), F.sum("pos").alias("pos"), F.max("total_pos").alias("total_pos"))
     )
     # At most ``steps`` + 10 rows from here on.
-    rows = candidates.select(
-        F.row_number().over(Window.orderBy("thr")).alias("gap"), "thr",
-        F.lit(0).cast("long").alias("cnt"), F.lit(0).cast("long").alias("pos"))
+    rows = candidates.select(F.posexplode("t").alias("gap", "thr")).select(
+        (F.col("gap") + 1).alias("gap"), "thr", *[F.lit(0).cast("long").alias(c) for c in ("cnt", "pos", "total_pos")])
     above = Window.orderBy(F.col("gap").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    everywhere = Window.orderBy(F.col("gap").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
     judged = (
-        rows.unionByName(gaps.select("gap", F.lit(None).cast("double").alias("thr"), "cnt", "pos"))
-        .select("thr", F.sum("cnt").over(above).alias("flagged"), F.sum("pos").over(above).alias("tp"))
+        rows.unionByName(gaps.select("gap", F.lit(None).cast("double").alias("thr"), "cnt", "pos", "total_pos"))
+        .select("thr", F.sum("cnt").over(above).alias("flagged"), F.sum("pos").over(above).alias("tp"),
+                F.max("total_pos").over(everywhere).alias("total_pos"))
         .where(F.col("thr").isNotNull())
     )
-    total = gaps.agg(F.max("total_pos")).scalar()
     fp, fn = F.col("flagged") - F.col("tp"), F.col("total_pos") - F.col("tp")
-    return judged.withColumn("total_pos", total).select(
+    return judged.select(
         "thr", _f1(F.col("tp"), fp, fn).alias("f1"), _ratio(F.col("tp"), F.col("flagged")).alias("precision"),
         _ratio(F.col("tp"), F.col("total_pos")).alias("recall"))
 

@@ -161,6 +161,7 @@ def test_decode_odd_frames(spark):
         0: _v4(6, TCP), 1: _v4(6, TCP, ihl=7), 2: _v4(6, TCP, frag=0x2000), 3: _v4(6, TCP[:10]), 4: _v4(6, TCP, ihl=2),
         5: _v6(6, TCP), 6: _v6(0, bytes([6, 0]) + bytes(6) + TCP), 7: _v6(44, bytes([6, 0, 0, 0]) + bytes(4) + TCP),
         8: bytes(10), 9: bytes(12) + b"\x88\xcc", 10: _v4(1, bytes([99, 0]) + bytes(6)), 11: _v4(6, TCP, total=10),
+        12: _v6(60, bytes([0, 120]) + bytes(966) + bytes([6, 0]) + bytes(6) + TCP),
     }
     df = spark.createDataFrame([(i, 0, bytearray(f)) for i, f in cases.items()], "packet_id long, ts_ms long, frame binary")
     got = {r.packet_id: r for r in decode_frames(df).collect()}
@@ -174,6 +175,7 @@ def test_decode_odd_frames(spark):
         "2001:db8:0:0:0:0:0:1", "fe80:0:0:0:0:0:0:ab", 1000)
     assert got[6].src_port is None and got[6].syn and got[6].l4_kind == "TCP"
     assert got[6].protocol == "IPv6 Hop-by-Hop Option" and got[7].l4_kind == "TCP"
+    assert got[12].syn and got[12].l4_kind == "TCP" and got[12].seq == 7
     assert got[8].decode_error and got[9].decode_error == "Unsupported EtherType: 0x88cc"
     assert got[10].protocol == "ICMPv4" and got[10].l4_kind == "OTHER"
     assert ip_packets(decode_frames(df)).where("flow_key is null").isEmpty()

@@ -1,6 +1,6 @@
 """Ethernet, IP and TCP/UDP header fields as column expressions on the frame bytes.
 
-The head of the frame is read as Latin-1 text once, one character per byte; every field is
+The head of the frame (for IPv6 and VLAN all of it) is read as Latin-1 text once, one character per byte; every field is
 a slice of it."""
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ ETHER_CLASSES = {0x0800: "IPv4", 0x86DD: "IPv6", 0x0806: "ARP", 0x8100: "VLAN"}
 HOP, ROUTING, FRAGMENT, OPTIONS = 0, 43, 44, 60
 TCP, UDP = 6, 17
 HEAD_BYTES = 256
-MAX_EXTENSIONS = 6
+MAX_EXTENSIONS = 16
 
 
 def _uint(h: Column, at: Column | int, size: int) -> Column:
@@ -27,7 +27,7 @@ def _uint(h: Column, at: Column | int, size: int) -> Column:
     for i in range(size):
         byte = F.ascii(F.substr(h, (first + i).cast("int"), F.lit(1))).cast("long")
         number = byte if number is None else number * 256 + byte
-    return F.when(F.length(h) >= first + (size - 1), number)
+    return F.when(F.col("__head") >= first + (size - 1), number)
 
 
 def _hex_of(number: Column, digits: int) -> Column:
@@ -65,7 +65,12 @@ def decode_frames(df: DataFrame, vlan: str = "decode") -> DataFrame:
     if vlan not in ("decode", "drop"):
         raise ValueError("vlan is 'decode' or 'drop'")
     h = F.col("__h")
-    step = df.withColumn("__h", F.decode(F.substr(F.col("frame"), F.lit(1), F.lit(HEAD_BYTES)), "ISO-8859-1"))
+    # IPv4 headers end well within the head; extension headers of IPv6 may go on for longer.
+    long_headers = F.hex(F.substr(F.col("frame"), F.lit(13), F.lit(2))).isin("86DD", "8100")
+    head = F.when(long_headers, F.octet_length("frame")).otherwise(
+        F.least(F.octet_length("frame"), F.lit(HEAD_BYTES)))
+    step = df.withColumn("__head", head).withColumn(
+        "__h", F.decode(F.substr(F.col("frame"), F.lit(1), F.col("__head")), "ISO-8859-1"))
     step = step.withColumns({
         "length": F.octet_length("frame").cast("int"),
         "__outer": _uint(h, 12, 2),
@@ -116,7 +121,7 @@ def decode_frames(df: DataFrame, vlan: str = "decode") -> DataFrame:
     })
     deep_at = F.col("__deep.at")
     step = settle(step.withColumn("__at", deep_at).drop("__deep"), [
-        "__h", "length", "vlan_tagged", "ether_type", "frame_class", "ip_proto", "__l3", "__l4", "__at",
+        "__h", "__head", "length", "vlan_tagged", "ether_type", "frame_class", "ip_proto", "__l3", "__l4", "__at",
         "__v4", "__v6", "__tcp", "__udp", "__flags"])
     at = F.col("__at")
     direct = (F.col("__tcp") | F.col("__udp")) & F.col("ip_proto").isin(TCP, UDP)

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewire.llm.common import Hasher, mix, signed, whole_groups
 from tidewire.llm.components import components
@@ -35,10 +35,10 @@ from tidewire.session import materialize
 
 SHINGLE = 5
 SHARE = 80  # per cent
-BITS = 2048
+BITS = 4  # per shingle of a set, rounded up to a power of two
 LEAF, FAN_OUT = 16, 8
 PART = 2048  # classes of a block in one part
-COMMON = 1 << 16  # shingles put at the end of the order
+COMMON = 1 << 18  # shingles put at the end of the order
 TOKENS_AT_ONCE = 2_000_000
 TIERS = (0.25, 0.6, 1.0)
 
@@ -70,12 +70,22 @@ def class_key(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.array(x, np.uint64).view(np.int64)) for x in both)
 
 
+def width(sizes: np.ndarray | int) -> np.ndarray:
+    """64-bit words of the bitmap of a set of this size: linked sets have equal widths or neighbouring ones."""
+    return 2 ** np.ceil(np.log2(np.maximum(np.asarray(sizes) * BITS / 64, 8))).astype(np.int64)
+
+
 def bitmap(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(shingles % np.uint64(BITS)).astype(np.int64)] = True
+    bits = np.zeros(64 * int(width(len(shingles))), bool)
+    bits[(shingles % np.uint64(len(bits))).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap of 64-bit words at half its width if it is wider than ``words``."""
+    return bits if len(bits) == words else bits[:words] | bits[words:]
+
+
 def _describe(docs: DataFrame) -> DataFrame:
     """Rows of two kinds from one pass: documents (``row_key, doc_id, n, k1, k2``), and shingles that many
     documents of a batch have (``k1`` the shingle, ``n`` the documents; ``row_key`` null)."""
@@ -88,7 +98,7 @@ def _describe(docs: DataFrame) -> DataFrame:
             if len(sets) < 8:
                 return
             values, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-            many = counts >= max(8, len(sets) // 100)
+            many = counts >= max(4, len(sets) // 1000)
             n = int(many.sum())
             if n:
                 yield pa.RecordBatch.from_arrays(
@@ -220,35 +230,46 @@ class Tree:
                 yield i + a, j + c
 
 
-def block_pairs(sizes: np.ndarray, bits: np.ndarray, groups: np.ndarray, all_pairs: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of a block (indices): all, or a spanning forest with the closest first."""
-    order = np.argsort(sizes, kind="stable")
-    tree = Tree(sizes[order], bits[order])
-    groups = np.unique(groups[order], return_inverse=True)[1]
+def block_pairs(sizes: np.ndarray, maps: list[np.ndarray], groups: np.ndarray,
+                all_pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of a block (indices): all, or a spanning forest with the closest first.
+
+    There is a tree for each width of bitmaps, over the classes of that width and, folded, those of the next."""
+    groups = np.unique(groups, return_inverse=True)[1]
+    widths = width(sizes)
+    trees = []
+    for words in np.unique(widths).tolist():
+        rows = np.flatnonzero((widths == words) | (widths == 2 * words))
+        if len(rows) > 1 and (own := widths[rows] == words).any():
+            rows = rows[np.argsort(sizes[rows], kind="stable")]
+            own = widths[rows] == words
+            trees.append((Tree(sizes[rows], np.stack([folded(maps[r], words) for r in rows])), rows, own))
     left, right = [], []
-    if all_pairs:
-        for i, j in tree.candidates(groups, 1.0):
-            left.append(i), right.append(j)
-    else:
-        root = list(range(int(groups.max()) + 1))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for tier in TIERS:
-            now = np.array([find(g) for g in range(len(root))])[groups]
+    root = list(range(int(groups.max()) + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for tier in (1.0,) if all_pairs else TIERS:
+        for tree, rows, own in trees:
+            now = np.array([find(g) for g in range(len(root))])[groups[rows]]
             for i, j in tree.candidates(now, tier):
+                here = own[i] | own[j]  # two of the next width meet in its tree
+                i, j = rows[i[here]], rows[j[here]]
+                if all_pairs:
+                    left.append(i), right.append(j)
+                    continue
                 for x, y in zip(i.tolist(), j.tolist()):
                     a, b = find(int(groups[x])), find(int(groups[y]))
                     if a != b:
                         root[max(a, b)] = min(a, b)
                         left.append([x]), right.append([y])
     if not left:
-        return order[:0], order[:0]
-    return order[np.concatenate(left)], order[np.concatenate(right)]
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _candidates(blocks: DataFrame, bits: DataFrame, groups: DataFrame | None, all_pairs: bool) -> DataFrame:
@@ -268,11 +289,11 @@ def _candidates(blocks: DataFrame, bits: DataFrame, groups: DataFrame | None, al
         for frame in whole_groups(frames, "block"):
             ids = frame["class"].to_numpy()
             sizes, own = frame["n"].to_numpy(np.int64), frame["group"].to_numpy()
-            packed = np.frombuffer(b"".join(frame["bits"]), np.uint64).reshape(len(frame), BITS // 64)
+            maps = [np.frombuffer(b, np.uint64) for b in frame["bits"]]
             edges = np.flatnonzero(np.diff(frame["block"].to_numpy())) + 1
             out_a, out_b = [], []
             for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(frame)]):
-                x, y = block_pairs(sizes[i:j], packed[i:j], own[i:j], all_pairs)
+                x, y = block_pairs(sizes[i:j], maps[i:j], own[i:j], all_pairs)
                 out_a.append(ids[i:j][x]), out_b.append(ids[i:j][y])
             a, b = np.concatenate(out_a), np.concatenate(out_b)
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -315,7 +336,7 @@ def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def common_shingles(described: DataFrame) -> np.ndarray:
-    """The COMMON most frequent of the shingles seen often in a batch, sorted: at most half a megabyte."""
+    """The COMMON most frequent of the shingles seen often in a batch, sorted: at most two megabytes."""
     rows = described.where("row_key IS NULL").groupBy("k1").agg(F.sum("n").alias("n")).orderBy(
         F.desc("n"), "k1").limit(COMMON).select("k1").toPandas()
     return np.sort(rows["k1"].to_numpy(np.int64).view(np.uint64))
@@ -329,8 +350,16 @@ def similar_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id
     members = described.where("row_key IS NOT NULL")
     # Blocks: classes that share a shingle of their prefixes.
     dealt = _postings(rows, common).repartition("token")
-    several = dealt.groupBy("token").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1")
-    blocks = materialize(dealt.join(several.select("token"), "token").distinct(), "blocks")
+    # The largest size is asked for so that both uses need the same columns and share one shuffle.
+    several = dealt.groupBy("token").agg(F.min("class").alias("c0"), F.max("class").alias("c1"),
+                                         F.max("n").alias("most")).where("c0 < c1 AND most > 0")
+    blocks = dealt.join(several.select("token"), "token").distinct()
+    # A member without another of like size cannot be linked here.
+    by_size = Window.partitionBy("token").orderBy("n")
+    below, above = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    near = F.coalesce(100 * below >= SHARE * F.col("n"), F.lit(False)) | F.coalesce(
+        100 * F.col("n") >= SHARE * above, F.lit(False))
+    blocks = materialize(blocks.withColumn("near", near).where("near").drop("near"), "blocks")
     kinds = blocks.groupBy("token").agg(
         F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("class")).alias("x"),
         F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"))

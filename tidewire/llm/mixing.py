@@ -26,7 +26,7 @@ from tidewire.session import materialize
 WEIGHTS = (5, 2, 1)
 BLOCKS = 1 << 16
 SHARDS = 64
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4000
 
 
 def word_count(text: Column) -> Column:

@@ -25,7 +25,7 @@ from tidewire.operators.ordered import sliced_rank
 from tidewire.session import materialize
 
 CAPACITY = 2048
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4000
 ROWS_OUT = 4096
 
 

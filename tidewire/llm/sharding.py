@@ -25,7 +25,7 @@ from tidewire.session import materialize
 
 OVERHEAD = 16
 TIER_SHARES = (0.9, 0.5)  # large: above the first quantile of sizes; small: up to the last
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4000
 
 
 def moved(old: int, new: int) -> float:

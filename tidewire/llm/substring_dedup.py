@@ -217,10 +217,13 @@ def _without(suspects: DataFrame, window: int) -> DataFrame:
 
 
 def _seen_earlier(rows: DataFrame, name: list[str]) -> DataFrame:
-    """``rows`` whose name occurs in two documents, with the ``earliest``; dealt out once for both steps."""
+    """``rows`` whose name occurs in two documents, with the ``earliest``.
+
+    Both uses of the dealt rows ask for all columns, so they share one shuffle."""
     dealt = rows.repartition(*name)
-    several = dealt.groupBy(*name).agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("__last")).where(
-        "earliest < __last").drop("__last")
+    rest = F.max(F.hash(*[c for c in rows.columns if c not in name])).alias("__rest")
+    several = dealt.groupBy(*name).agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("__last"), rest).where(
+        "earliest < __last AND __rest IS NOT NULL").drop("__last", "__rest")
     return dealt.join(several, name)
 
 

@@ -87,7 +87,7 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds from one pass: documents (``row_key, doc_id, n, k1, k2``), and shingles that many
+    """Rows of two kinds from one pass: documents (``row_key, doc_id, n, k1, k2``), and shingles that several
     documents of a batch have (``k1`` the shingle, ``n`` the documents; ``row_key`` null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +95,10 @@ def _describe(docs: DataFrame) -> DataFrame:
         names = ["row_key", "doc_id", "n", "k1", "k2"]
 
         def often(sets: dict[tuple[int, int], np.ndarray], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-            if len(sets) < 8:
+            if len(sets) < 2:
                 return
             values, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-            many = counts >= max(4, len(sets) // 1000)
+            many = counts > 1
             n = int(many.sum())
             if n:
                 yield pa.RecordBatch.from_arrays(
@@ -331,7 +331,7 @@ def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary()), batch.column(1)],
                                              ["class", "bits", "text"])
 
-    rows = docs.join(classes, "row_key").select("class", "text").dropDuplicates(["class"])
+    rows = docs.join(classes, "row_key").dropDuplicates(["row_key"]).select("class", "text")
     return rows.mapInArrow(run, "class long, bits binary, text string")
 
 

@@ -146,9 +146,10 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
                 names, doc = _flat(hasher, texts)
                 at, name = kept_anchors(names, doc, window)
                 pairs = np.unique(np.rec.fromarrays([doc[at], name]))  # a name once per document
-                of = batch.take(pa.array(np.array(rows)[pairs.f0]))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(pairs.f1.copy())), of.column(0), of.column(1)],
-                                                 ["name", "doc_id", "key"])
+                of = pa.array(np.array(rows)[pairs.f0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(pairs.f1.copy())), batch.column(0).take(of), batch.column(1).take(of)],
+                    ["name", "doc_id", "key"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.where("doc_id IS NOT NULL").mapInArrow(run, f"name long, doc_id {kind}, key long")
@@ -217,10 +218,10 @@ def _without(suspects: DataFrame, window: int) -> DataFrame:
 
 
 def _seen_earlier(rows: DataFrame, name: list[str]) -> DataFrame:
-    """``rows`` whose name occurs in two documents, with the ``earliest``.
+    """``rows`` (no nulls) whose name occurs in two documents, with the ``earliest``.
 
-    Both uses of the dealt rows ask for all columns, so they share one shuffle."""
-    dealt = rows.repartition(*name)
+    Both uses of the dealt rows ask for all columns and no nulls, so they share one shuffle."""
+    dealt = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in rows.columns)).repartition(*name)
     rest = F.max(F.hash(*[c for c in rows.columns if c not in name])).alias("__rest")
     several = dealt.groupBy(*name).agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("__last"), rest).where(
         "earliest < __last AND __rest IS NOT NULL").drop("__last", "__rest")

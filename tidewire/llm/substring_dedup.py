@@ -10,7 +10,7 @@ words that are cut alike, into symbols of at most 4 words.
 The beginnings of symbols are the anchors; an anchor is named by the 8 words that follow. Of each 6 anchors in a row the
 one with the least name is kept: 30 words hold 6 anchors whatever their cut, so every repeated window of 50
 words has a kept anchor in common with its first occurrence. One shuffle of kept names finds the
-shared ones; only windows that hold a shared anchor are named and compared over all documents (96 bits).
+shared ones; only windows whose inner anchors are all shared are named and compared over all documents (96 bits).
 
 Copies of a whole text are settled by the hash of the text and take no part in the rest but for the first.
 
@@ -75,24 +75,37 @@ def recompress(names: np.ndarray, doc: np.ndarray, rounds: tuple[int, ...] = ROU
     return at, names
 
 
-def kept_anchors(names: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """First words and names of the kept anchors of a chunk of documents."""
+def anchor_rows(names: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk of documents: first words and names of the anchors, and for each row of anchors that begins at one and
+    lies in one document the index of its least anchor (elsewhere -1)."""
     at, _ = recompress(names, doc)
     row = anchors_in_a_row(window)
-    following = Hasher.runs(names, ANCHOR)
     whole = at + ANCHOR <= len(names)
     whole[whole] = doc[at[whole]] == doc[at[whole] + ANCHOR - 1]
     at = at[whole]
-    name = following[at]
-    n = len(at) - row + 1
-    if n < 1:
-        return at[:0], name[:0]
+    name = Hasher.runs(names, ANCHOR)[at]
+    n = max(0, len(at) - row + 1)
     least = np.arange(n)
     for j in range(1, row):
         other = np.arange(n) + j
         least = np.where(name[other] < name[least], other, least)
-    least = np.unique(least[doc[at[:n]] == doc[at[row - 1:]]])
-    return at[least], name[least]
+    least[doc[at[:n]] != doc[at[row - 1:][:n]]] = -1
+    return at, name, least
+
+
+def candidate_windows(names: np.ndarray, shared: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """First words of the windows of one document that can be repeats: every row of anchors inside, as far in as the
+    cut is the same in all documents, has a shared least anchor."""
+    at, name, least = anchor_rows(names, np.zeros(len(names), np.int8), window)
+    row, edge = anchors_in_a_row(window), border()
+    strange = np.concatenate([[0], np.cumsum(~np.isin(name, shared)[least])])
+    begin = np.arange(len(names) - window + 1)
+    first = np.searchsorted(at, begin + edge)
+    end = np.searchsorted(at[row - 1:], begin + window - edge - ANCHOR, "right")
+    end = np.minimum(end, len(least))
+    fits = end > first
+    first, end = np.where(fits, first, 0), np.where(fits, end, 0)
+    return begin[fits & (strange[end] == strange[first])]
 
 
 def _chunks(batch: pa.RecordBatch, text: int, window: int) -> Iterator[tuple[list[int], list[list[bytes]]]]:
@@ -144,8 +157,9 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for rows, texts in _chunks(batch, 2, window):
                 names, doc = _flat(hasher, texts)
-                at, name = kept_anchors(names, doc, window)
-                pairs = np.unique(np.rec.fromarrays([doc[at], name]))  # a name once per document
+                at, name, least = anchor_rows(names, doc, window)
+                least = np.unique(least[least >= 0])
+                pairs = np.unique(np.rec.fromarrays([doc[at[least]], name[least]]))  # a name once per document
                 of = pa.array(np.array(rows)[pairs.f0])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(pairs.f1.copy())), batch.column(0).take(of), batch.column(1).take(of)],
@@ -155,36 +169,51 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").mapInArrow(run, f"name long, doc_id {kind}, key long")
 
 
+def _shared(names: pa.Scalar) -> np.ndarray:
+    return names.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def _with_candidates(joined: DataFrame, window: int) -> DataFrame:
+    """The rows of ``doc_id, key, text, names`` (shared anchors) that have a window which can be a repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            keep = [len(candidate_windows(hasher.words(words_of(value.as_py())), _shared(names), window)) > 0
+                    for value, names in zip(batch.column(2), batch.column(3))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    rows = joined.select("doc_id", "key", "text", "names")
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _window_rows(suspects: DataFrame, window: int) -> DataFrame:
-    """Windows that hold a shared anchor: ``w1, w2`` (name), ``doc_id, key, at``."""
+    """Windows that can be repeats: ``w1, w2`` (name), ``doc_id, key`` and ``at``, all their places there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, second = Hasher(), Hasher(1)
         for batch in batches:
-            shared_of = batch.column(3)
-            for rows, texts in _chunks(batch, 2, window):
-                for i, words in zip(rows, texts):
-                    names = hasher.words(words)
-                    at, name = kept_anchors(names, np.zeros(len(words), np.int8), window)
-                    shared = shared_of[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                    marks = np.zeros(len(words) + 1, np.int64)
-                    for p in at[np.isin(name, shared)]:
-                        marks[max(0, p + ANCHOR - window)] += 1
-                        marks[p + 1] -= 1
-                    begin = np.flatnonzero(np.cumsum(marks)[:len(words) - window + 1] > 0)
-                    if not len(begin):
-                        continue
-                    w1 = signed(Hasher.runs(names, window)[begin])
-                    w2 = signed(Hasher.runs(second.words(words), window)[begin]).astype(np.int32)
-                    doc_id = batch.column(0).take(pa.array(np.full(len(begin), i)))
-                    key = batch.column(1).take(pa.array(np.full(len(begin), i)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(w1), pa.array(w2), doc_id, key, pa.array(begin.astype(np.int32))],
-                        ["w1", "w2", "doc_id", "key", "at"])
+            for i, (value, shared) in enumerate(zip(batch.column(2), batch.column(3))):
+                words = words_of(value.as_py())
+                names = hasher.words(words)
+                begin = candidate_windows(names, _shared(shared), window)
+                if not len(begin):
+                    continue
+                w1 = signed(Hasher.runs(names, window)[begin])
+                w2 = signed(Hasher.runs(second.words(words), window)[begin]).astype(np.int32)
+                order = np.lexsort((begin, w2, w1))
+                w1, w2, begin = w1[order], w2[order], begin[order]
+                first = np.flatnonzero(np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(begin)).astype(np.int32)),
+                                                  pa.array(begin.astype(np.int32)))
+                own = pa.array(np.full(len(first), i))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(w1[first]), pa.array(w2[first]), batch.column(0).take(own), batch.column(1).take(own), places],
+                    ["w1", "w2", "doc_id", "key", "at"])
 
     kind = suspects.schema["doc_id"].dataType.simpleString()
     return suspects.select("doc_id", "key", "text", "names").mapInArrow(
-        run, f"w1 long, w2 int, doc_id {kind}, key long, at int")
+        run, f"w1 long, w2 int, doc_id {kind}, key long, at array<int>")
 
 
 def covered(n: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -217,14 +246,14 @@ def _without(suspects: DataFrame, window: int) -> DataFrame:
         run, f"doc_id {kind}, key long, n_removed long, kept_sha256 string, kept_text string")
 
 
-def _seen_earlier(rows: DataFrame, name: list[str]) -> DataFrame:
-    """``rows`` (no nulls) whose name occurs in two documents, with the ``earliest``.
+def _in_two(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` (no nulls) whose ``name`` occurs in two documents.
 
     Both uses of the dealt rows ask for all columns and no nulls, so they share one shuffle."""
-    dealt = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in rows.columns)).repartition(*name)
-    rest = F.max(F.hash(*[c for c in rows.columns if c not in name])).alias("__rest")
-    several = dealt.groupBy(*name).agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("__last"), rest).where(
-        "earliest < __last AND __rest IS NOT NULL").drop("__last", "__rest")
+    dealt = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in rows.columns)).repartition(name)
+    rest = F.max(F.hash(*[c for c in rows.columns if c != name])).alias("__rest")
+    several = dealt.groupBy(name).agg(F.min("doc_id").alias("__first"), F.max("doc_id").alias("__last"), rest).where(
+        "__first < __last AND __rest IS NOT NULL").select(name)
     return dealt.join(several, name)
 
 
@@ -236,13 +265,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", ro
     whole = materialize(whole.join(classes, ["w1", "w2"], "left").select(
         "doc_id", "key", "n_words", "sha", (F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
                                             & (F.col("n_words") >= window)).alias("copy")), "whole-texts")
-    shared = _seen_earlier(_anchor_rows(rows, window), ["name"])
+    shared = _in_two(_anchor_rows(rows, window), "name")
     # A list holds anchors of one document.
     shared = shared.groupBy("doc_id", "key").agg(F.collect_set("name").alias("names"))
     firsts = whole.where(~F.col("copy") & (F.col("n_words") >= window)).select("doc_id", "key").distinct()
-    suspects = materialize(rows.join(shared.join(firsts, ["doc_id", "key"]), ["doc_id", "key"]), "suspects")
-    repeated = _seen_earlier(_window_rows(suspects, window), ["w1", "w2"]).where("earliest < doc_id")
-    starts = repeated.groupBy("doc_id", "key").agg(F.collect_set("at").alias("starts"))  # of one document
+    suspects = materialize(_with_candidates(rows.join(shared.join(firsts, ["doc_id", "key"]), ["doc_id", "key"]), window),
+                           "suspects")
+    named = materialize(_window_rows(suspects, window), "windows")
+    earliest = named.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    repeated = named.join(earliest, ["w1", "w2"]).where("first < doc_id")
+    # A list holds places of one document.
+    starts = repeated.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("at")).alias("starts"))
     cut = _without(suspects.select("doc_id", "key", "text").join(starts, ["doc_id", "key"]), window)
     cut = cut.groupBy("doc_id", "key").agg(*[F.first(c).alias(c) for c in ("n_removed", "kept_sha256", "kept_text")])
     nothing = hashlib.sha256(b"").hexdigest()

@@ -37,8 +37,8 @@ SHINGLE = 5
 SHARE = 80  # per cent
 BITS = 4  # per shingle of a set, rounded up to a power of two
 LEAF, FAN_OUT = 16, 8
-PART = 2048  # classes of a block in one part
-COMMON = 1 << 18  # shingles put at the end of the order
+PART = 1024  # classes of a block in one part
+COMMON = 1 << 17  # shingles put at the end of the order
 TOKENS_AT_ONCE = 2_000_000
 TIERS = (0.25, 0.6, 1.0)
 
@@ -87,12 +87,12 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds from one pass: documents (``row_key, doc_id, n, k1, k2``), and shingles that several
+    """Rows of two kinds from one pass: documents (``row_key, doc_id, n, k1, k2, bits``), and shingles that several
     documents of a batch have (``k1`` the shingle, ``n`` the documents; ``row_key`` null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        names = ["row_key", "doc_id", "n", "k1", "k2"]
+        names = ["row_key", "doc_id", "n", "k1", "k2", "bits"]
 
         def often(sets: dict[tuple[int, int], np.ndarray], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
             if len(sets) < 2:
@@ -103,15 +103,15 @@ def _describe(docs: DataFrame) -> DataFrame:
             if n:
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(n, pa.int64()), pa.nulls(n, kind), pa.array(counts[many].astype(np.int64)),
-                     pa.array(signed(values[many])), pa.nulls(n, pa.int64())], names)
+                     pa.array(signed(values[many])), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
 
         for batch in batches:
-            n, k1, k2, sets, held = [], [], [], {}, 0
+            n, k1, k2, bits, sets, held = [], [], [], [], {}, 0
             kind = batch.column(1).type
             for value in batch.column(2):
                 own = shingle_set(hasher, value.as_py())
                 key = class_key(own) if len(own) else (0, 0)
-                n.append(len(own)), k1.append(key[0]), k2.append(key[1])
+                n.append(len(own)), k1.append(key[0]), k2.append(key[1]), bits.append(bitmap(own))
                 if len(own) and key not in sets:
                     sets[key] = own
                     held += len(own)
@@ -120,11 +120,11 @@ def _describe(docs: DataFrame) -> DataFrame:
                         sets, held = {}, 0
             yield from often(sets, kind)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())],
-                names)
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()),
+                 pa.array(k2, pa.int64()), pa.array(bits, pa.binary())], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"row_key long, doc_id {kind}, n long, k1 long, k2 long")
+    return docs.mapInArrow(run, f"row_key long, doc_id {kind}, n long, k1 long, k2 long, bits binary")
 
 
 def _postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -230,10 +230,13 @@ class Tree:
                 yield i + a, j + c
 
 
-def block_pairs(sizes: np.ndarray, maps: list[np.ndarray], groups: np.ndarray,
+def block_pairs(ids: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], groups: np.ndarray,
                 all_pairs: bool) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of a block (indices): all, or a spanning forest with the closest first.
 
+    Among like close ones the forest takes the pairs of the classes with the smallest ids, so that different
+    blocks of the same classes choose the same pairs. Each class of a candidate is in the forest.
+
     There is a tree for each width of bitmaps, over the classes of that width and, folded, those of the next."""
     groups = np.unique(groups, return_inverse=True)[1]
     widths = width(sizes)
@@ -254,19 +257,24 @@ def block_pairs(sizes: np.ndarray, maps: list[np.ndarray], groups: np.ndarray,
         return x
 
     for tier in (1.0,) if all_pairs else TIERS:
+        found_i, found_j = [], []
         for tree, rows, own in trees:
             now = np.array([find(g) for g in range(len(root))])[groups[rows]]
             for i, j in tree.candidates(now, tier):
                 here = own[i] | own[j]  # two of the next width meet in its tree
-                i, j = rows[i[here]], rows[j[here]]
-                if all_pairs:
-                    left.append(i), right.append(j)
-                    continue
-                for x, y in zip(i.tolist(), j.tolist()):
-                    a, b = find(int(groups[x])), find(int(groups[y]))
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-                        left.append([x]), right.append([y])
+                found_i.append(rows[i[here]]), found_j.append(rows[j[here]])
+        if not found_i:
+            continue
+        i, j = np.concatenate(found_i), np.concatenate(found_j)
+        if all_pairs:
+            left.append(i), right.append(j)
+            continue
+        order = np.lexsort((np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])))
+        for x, y in zip(i[order].tolist(), j[order].tolist()):
+            a, b = find(int(groups[x])), find(int(groups[y]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                left.append([x]), right.append([y])
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
@@ -293,7 +301,7 @@ def _candidates(blocks: DataFrame, bits: DataFrame, groups: DataFrame | None, al
             edges = np.flatnonzero(np.diff(frame["block"].to_numpy())) + 1
             out_a, out_b = [], []
             for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(frame)]):
-                x, y = block_pairs(sizes[i:j], maps[i:j], own[i:j], all_pairs)
+                x, y = block_pairs(ids[i:j], sizes[i:j], maps[i:j], own[i:j], all_pairs)
                 out_a.append(ids[i:j][x]), out_b.append(ids[i:j][y])
             a, b = np.concatenate(out_a), np.concatenate(out_b)
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -321,22 +329,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``class, n, bits, text`` of the classes, each from one of its rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            maps = [bitmap(shingle_set(hasher, value.as_py())) for value in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary()), batch.column(1)],
-                                             ["class", "bits", "text"])
-
-    rows = docs.join(classes, "row_key").dropDuplicates(["row_key"]).select("class", "text")
-    return rows.mapInArrow(run, "class long, bits binary, text string")
-
-
 def common_shingles(described: DataFrame) -> np.ndarray:
-    """The COMMON most frequent of the shingles seen often in a batch, sorted: at most two megabytes."""
+    """The COMMON most frequent of the shingles seen often in a batch, sorted: at most one megabyte."""
     rows = described.where("row_key IS NULL").groupBy("k1").agg(F.sum("n").alias("n")).orderBy(
         F.desc("n"), "k1").limit(COMMON).select("k1").toPandas()
     return np.sort(rows["k1"].to_numpy(np.int64).view(np.uint64))
@@ -365,12 +359,16 @@ def similar_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id
         F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"))
     once = kinds.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
     blocks = materialize(blocks.join(once, "token", "left_semi"), "blocks")
-    wanted = members.where("n > 0").groupBy(F.col("k1").alias("class")).agg(F.min("row_key").alias("row_key")).join(
-        blocks.select("class").distinct(), "class", "left_semi")
-    texts = materialize(_texts_of(rows.select("row_key", "text"), wanted), "texts")
-    bits = texts.select("class", "bits")
-    # First walk: a spanning forest of the candidates of each block.
-    first = materialize(_verified(_candidates(blocks, bits, None, False), texts), "pairs")
+    classes = members.where("n > 0").withColumnRenamed("k1", "class")
+    bits = materialize(classes.select("class", "bits").join(blocks.select("class").distinct(), "class", "left_semi")
+                       .groupBy("class").agg(F.first("bits").alias("bits")), "bitmaps")
+    # First walk: a spanning forest of the candidates of each block. Later candidates have no other classes.
+    forest = materialize(_candidates(blocks, bits, None, False), "forest")
+    wanted = classes.groupBy("class").agg(F.min("row_key").alias("row_key")).join(
+        forest.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi")
+    texts = materialize(rows.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"]).select(
+        "class", "text"), "texts")
+    first = materialize(_verified(forest, texts), "pairs")
     groups = components(first.where("linked")).select(F.col("node").alias("class"), "root")
     # Second walk: all candidates between different components.
     rest = _candidates(blocks, bits, groups, True).join(first.select("a", "b"), ["a", "b"], "left_anti")

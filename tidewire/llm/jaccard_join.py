@@ -12,10 +12,10 @@ shingles; a node holds the OR and the AND of the bitmaps below and the range of
 once, and a pair of nodes is left as soon as their sizes or the largest possible overlap rule a link out. Pairs
 of classes that stay are compared exactly, on whole texts.
 
-Only the classes connected by links are asked for, so the walk comes twice. The first keeps a spanning forest of
-each block's candidates, the closest pairs first; their links give components. The second gives all
-candidates whose classes lie in different components; groups of many copies are one component by then, and their pairs
-are never listed. A block of very many classes is dealt out as pairs of its parts.
+Only the classes connected by links are asked for, so the walk comes several times. The first ones keep a spanning forest
+of each block's candidates, the closest pairs first; their links give components, over which the next one starts.
+The last gives all candidates whose classes lie in different components; groups of many copies are one
+component by then, and their pairs are never listed. A block of very many classes is dealt out as pairs of its parts.
 
 Defined results: a null or empty text has no shingle and is linked with nothing; null ids come last; rows that repeat an id
 are rows of their own; an empty table gives an empty result; extra columns are not carried."""
@@ -40,7 +40,8 @@ LEAF, FAN_OUT = 16, 8
 PART = 1024  # classes of a block in one part
 COMMON = 1 << 17  # shingles put at the end of the order
 TOKENS_AT_ONCE = 2_000_000
-TIERS = (0.25, 0.6, 1.0)
+TIERS = (0.3, 0.6, 0.8, 1.0)
+FORESTS = 3  # walks that keep a spanning forest, before the one that lists what is left
 
 
 def lowered(text: str | None) -> list[bytes]:
@@ -231,11 +232,11 @@ class Tree:
 
 
 def block_pairs(ids: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], groups: np.ndarray,
-                all_pairs: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of a block (indices): all, or a spanning forest with the closest first.
+                turn: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of a block (indices): all, or with a ``turn`` a spanning forest with the closest first.
 
-    Among like close ones the forest takes the pairs of the classes with the smallest ids, so that different
-    blocks of the same classes choose the same pairs. Each class of a candidate is in the forest.
+    Among like close ones the forest takes the pairs of the classes that come first by a hash of the turn, so that
+    different blocks of the same classes choose the same pairs. Each class of a candidate is in the forest.
 
     There is a tree for each width of bitmaps, over the classes of that width and, folded, those of the next."""
     groups = np.unique(groups, return_inverse=True)[1]
@@ -248,6 +249,8 @@ def block_pairs(ids: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], grou
             own = widths[rows] == words
             trees.append((Tree(sizes[rows], np.stack([folded(maps[r], words) for r in rows])), rows, own))
     left, right = [], []
+    all_pairs = turn is None
+    first = ids if all_pairs else mix(ids.view(np.uint64) + np.uint64(turn))
     root = list(range(int(groups.max()) + 1))
 
     def find(x: int) -> int:
@@ -269,7 +272,7 @@ def block_pairs(ids: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], grou
         if all_pairs:
             left.append(i), right.append(j)
             continue
-        order = np.lexsort((np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])))
+        order = np.lexsort((np.maximum(first[i], first[j]), np.minimum(first[i], first[j])))
         for x, y in zip(i[order].tolist(), j[order].tolist()):
             a, b = find(int(groups[x])), find(int(groups[y]))
             if a != b:
@@ -280,7 +283,7 @@ def block_pairs(ids: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], grou
     return np.concatenate(left), np.concatenate(right)
 
 
-def _candidates(blocks: DataFrame, bits: DataFrame, groups: DataFrame | None, all_pairs: bool) -> DataFrame:
+def _candidates(blocks: DataFrame, bits: DataFrame, groups: DataFrame | None, turn: int | None) -> DataFrame:
     """Pairs ``a, b`` of classes from blocks (``token, class, n``) whose members are not all of one group."""
     rows = blocks if groups is None else blocks.join(groups, "class", "left")
     rows = rows.withColumn("group", F.col("class") if groups is None else F.coalesce("root", "class"))
@@ -301,7 +304,7 @@ def _candidates(blocks: DataFrame, bits: DataFrame, groups: DataFrame | None, al
             edges = np.flatnonzero(np.diff(frame["block"].to_numpy())) + 1
             out_a, out_b = [], []
             for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(frame)]):
-                x, y = block_pairs(ids[i:j], sizes[i:j], maps[i:j], own[i:j], all_pairs)
+                x, y = block_pairs(ids[i:j], sizes[i:j], maps[i:j], own[i:j], turn)
                 out_a.append(ids[i:j][x]), out_b.append(ids[i:j][y])
             a, b = np.concatenate(out_a), np.concatenate(out_b)
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -362,18 +365,21 @@ def similar_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id
     classes = members.where("n > 0").withColumnRenamed("k1", "class")
     bits = materialize(classes.select("class", "bits").join(blocks.select("class").distinct(), "class", "left_semi")
                        .groupBy("class").agg(F.first("bits").alias("bits")), "bitmaps")
-    # First walk: a spanning forest of the candidates of each block. Later candidates have no other classes.
-    forest = materialize(_candidates(blocks, bits, None, False), "forest")
-    wanted = classes.groupBy("class").agg(F.min("row_key").alias("row_key")).join(
-        forest.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi")
-    texts = materialize(rows.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"]).select(
-        "class", "text"), "texts")
-    first = materialize(_verified(forest, texts), "pairs")
-    groups = components(first.where("linked")).select(F.col("node").alias("class"), "root")
-    # Second walk: all candidates between different components.
-    rest = _candidates(blocks, bits, groups, True).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = materialize(_verified(rest, texts), "pairs")
-    groups = components(first.unionByName(second).where("linked")).select(F.col("node").alias("k1"), "root")
+    groups = tested = texts = None
+    for turn in [*range(FORESTS), None]:
+        pairs = _candidates(blocks, bits, groups, turn)
+        if tested is not None:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "candidates")
+        if texts is None:  # later candidates have no other classes
+            wanted = classes.groupBy("class").agg(F.min("row_key").alias("row_key")).join(
+                pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi")
+            texts = materialize(rows.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"]).select(
+                "class", "text"), "texts")
+        checked = materialize(_verified(pairs, texts), "pairs")
+        tested = checked if tested is None else tested.unionByName(checked)
+        groups = components(tested.where("linked")).select(F.col("node").alias("class"), "root")
+    groups = groups.withColumnRenamed("class", "k1")
     classes = members.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
     classes = classes.join(groups, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     least = classes.groupBy("root").agg(F.min("least").alias("component"))

@@ -12,9 +12,9 @@ shingles; a node holds the OR and the AND of the bitmaps below and the range of
 once, and a pair of nodes is left as soon as their sizes or the largest possible overlap rule a link out. Pairs
 of classes that stay are compared exactly, on whole texts.
 
-Only the classes connected by links are asked for, so the walk comes several times. The first ones keep a spanning forest
-of each block's candidates, the closest pairs first; their links give components, over which the next one starts.
-The last gives all candidates whose classes lie in different components; groups of many copies are one
+Only the classes connected by links are asked for, so the walk comes twice. The first keeps a spanning forest
+of each block's candidates, the closest pairs first; their links give components.
+The second gives all candidates whose classes lie in different components; groups of many copies are one
 component by then, and their pairs are never listed. A block of very many classes is dealt out as pairs of its parts.
 
 Defined results: a null or empty text has no shingle and is linked with nothing; null ids come last; rows that repeat an id
@@ -35,13 +35,14 @@ from tidewire.session import materialize
 
 SHINGLE = 5
 SHARE = 80  # per cent
-BITS = 4  # per shingle of a set, rounded up to a power of two
+BITS = 8  # per shingle of a set, rounded up to a power of two
 LEAF, FAN_OUT = 16, 8
 PART = 1024  # classes of a block in one part
 COMMON = 1 << 17  # shingles put at the end of the order
 TOKENS_AT_ONCE = 2_000_000
 TIERS = (0.3, 0.6, 0.8, 1.0)
-FORESTS = 3  # walks that keep a spanning forest, before the one that lists what is left
+PAIRS_AT_ONCE = 5000
+FORESTS = 1  # walks that keep a spanning forest, before the one that lists what is left
 
 
 def lowered(text: str | None) -> list[bytes]:
@@ -215,9 +216,9 @@ class Tree:
                 for j in range(max(i, q * FAN_OUT), min((q + 1) * FAN_OUT, below)):
                     stack.append((level - 1, i, j))
 
-    def candidates(self, groups: np.ndarray, tier: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs of classes of different groups that can be linked: the bits in which they differ are at
-        most ``tier`` times the shingles in which linked sets may differ."""
+    def candidates(self, groups: np.ndarray, tier: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Index pairs of classes of different groups that can be linked, with the share of bits in which they differ:
+        the bits are at most ``tier`` times the shingles in which linked sets may differ."""
         for p, q in self.leaf_pairs(groups):
             (a, b), (c, d) = self.levels[0][p], self.levels[0][q]
             sums = self.sizes[a:b, None] + self.sizes[None, c:d]
@@ -228,15 +229,15 @@ class Tree:
                 near &= np.triu(np.ones(near.shape, bool), 1)
             i, j = np.nonzero(near)
             if len(i):
-                yield i + a, j + c
+                yield i + a, j + c, apart[i, j] / np.maximum(sums[i, j], 1)
 
 
 def block_pairs(ids: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], groups: np.ndarray,
                 turn: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of a block (indices): all, or with a ``turn`` a spanning forest with the closest first.
 
-    Among like close ones the forest takes the pairs of the classes that come first by a hash of the turn, so that
-    different blocks of the same classes choose the same pairs. Each class of a candidate is in the forest.
+    Among equally close ones the forest takes the pairs of the classes that come first by a hash of the turn, so
+    that different blocks of the same classes choose the same pairs. Each class of a candidate is in the forest.
 
     There is a tree for each width of bitmaps, over the classes of that width and, folded, those of the next."""
     groups = np.unique(groups, return_inverse=True)[1]
@@ -260,24 +261,28 @@ def block_pairs(ids: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], grou
         return x
 
     for tier in (1.0,) if all_pairs else TIERS:
-        found_i, found_j = [], []
+        found_i, found_j, found_apart = [], [], []
+        now = np.array([find(g) for g in range(len(root))])[groups]
         for tree, rows, own in trees:
-            now = np.array([find(g) for g in range(len(root))])[groups[rows]]
-            for i, j in tree.candidates(now, tier):
+            for i, j, apart in tree.candidates(now[rows], tier):
                 here = own[i] | own[j]  # two of the next width meet in its tree
-                found_i.append(rows[i[here]]), found_j.append(rows[j[here]])
+                found_i.append(rows[i[here]]), found_j.append(rows[j[here]]), found_apart.append(apart[here])
         if not found_i:
             continue
         i, j = np.concatenate(found_i), np.concatenate(found_j)
         if all_pairs:
             left.append(i), right.append(j)
             continue
-        order = np.lexsort((np.maximum(first[i], first[j]), np.minimum(first[i], first[j])))
-        for x, y in zip(i[order].tolist(), j[order].tolist()):
-            a, b = find(int(groups[x])), find(int(groups[y]))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                left.append([x]), right.append([y])
+        order = np.lexsort((np.maximum(first[i], first[j]), np.minimum(first[i], first[j]), np.concatenate(found_apart)))
+        for part in range(0, len(order), PAIRS_AT_ONCE):
+            at = order[part:part + PAIRS_AT_ONCE]
+            now = np.array([find(g) for g in range(len(root))])[groups]
+            at = at[now[i[at]] != now[j[at]]]
+            for x, y in zip(i[at].tolist(), j[at].tolist()):
+                a, b = find(int(groups[x])), find(int(groups[y]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    left.append([x]), right.append([y])
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
@@ -307,7 +312,7 @@ def _candidates(blocks: DataFrame, bits: DataFrame, groups: DataFrame | None, tu
                 x, y = block_pairs(ids[i:j], sizes[i:j], maps[i:j], own[i:j], turn)
                 out_a.append(ids[i:j][x]), out_b.append(ids[i:j][y])
             a, b = np.concatenate(out_a), np.concatenate(out_b)
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     dealt = rows.repartition("block").sortWithinPartitions("block")
     return dealt.mapInPandas(run, "a long, b long").where("a <> b").distinct()

@@ -29,11 +29,13 @@ from tidewire.llm.common import mix
 from tidewire.llm.tokens import END_OF_TEXT, encoder
 from tidewire.session import materialize, shared_folder
 
-SEQUENCE = 1024
-PER_SHARD = 8192
+SEQUENCE = 2048
+PER_SHARD = 4096
 FEISTEL_ROUNDS = 6
 KEY = 20_240_229
-BUFFER = 256  # sequences
+BUNDLE = 128  # sequences that are compressed together before they part
+LEVEL = 6
+BROADCAST_BLOCKS = 1_000_000
 
 
 def feistel(numbers: np.ndarray, n: int, key: int = KEY, rounds: int = FEISTEL_ROUNDS, back: bool = False) -> np.ndarray:
@@ -57,27 +59,27 @@ def feistel(numbers: np.ndarray, n: int, key: int = KEY, rounds: int = FEISTEL_R
     return out.astype(np.int64)
 
 
-def token_sequences(docs: DataFrame, length: int = SEQUENCE, text: str = "text") -> DataFrame:
-    """``block, number, n_tokens, ids_crc32, frame``: full sequences of 16-bit ids, compressed; ``n_tokens`` without filling."""
+def token_bundles(docs: DataFrame, length: int = SEQUENCE, text: str = "text") -> DataFrame:
+    """``block, number, n, filled, frame``: ``n`` full sequences of 16-bit ids from ``number`` on, compressed; the last one ends
+    with ``filled`` marks that stand for nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encode, pack = encoder(), zstandard.ZstdCompressor(level=3)
-        block, number, waiting = TaskContext.get().partitionId(), 0, np.empty(0, "<u2")
+        encode, pack = encoder(), zstandard.ZstdCompressor(level=LEVEL)
+        block, number = TaskContext.get().partitionId(), 0
 
-        def rows(ids: np.ndarray, filled: int) -> pa.RecordBatch:
+        def bundles(ids: np.ndarray, filled: int) -> Iterator[pa.RecordBatch]:
             nonlocal number
-            parts = [ids[i:i + length].tobytes() for i in range(0, len(ids), length)]
-            n = len(parts)
-            counts = np.full(n, length)
-            counts[-1] -= filled
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block, np.int32)), pa.array(np.arange(number, number + n)), pa.array(counts),
-                 pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array([pack.compress(p) for p in parts])],
-                ["block", "number", "n_tokens", "ids_crc32", "frame"])
-            number += n
-            return out
+            for i in range(0, len(ids), BUNDLE * length):
+                part = ids[i:i + BUNDLE * length]
+                n = len(part) // length
+                last = filled if i + len(part) == len(ids) else 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int32()), pa.array([number], pa.int64()), pa.array([n], pa.int32()),
+                     pa.array([last], pa.int32()), pa.array([pack.compress(part.tobytes())], pa.binary())],
+                    ["block", "number", "n", "filled", "frame"])
+                number += n
 
         held, n_held = [], 0
         for batch in batches:
@@ -86,18 +88,17 @@ def token_sequences(docs: DataFrame, length: int = SEQUENCE, text: str = "text")
                 ids.append(END_OF_TEXT)
                 held.append(np.array(ids, "<u2"))
                 n_held += len(ids)
-                if n_held >= BUFFER * length:
+                if n_held >= BUNDLE * length:
                     waiting = np.concatenate(held)
-                    whole = len(waiting) // length * length
-                    yield rows(waiting[:whole], 0)
-                    held, n_held = [waiting[whole:]], len(waiting) - whole
+                    whole = n_held // (BUNDLE * length) * BUNDLE * length
+                    yield from bundles(waiting[:whole], 0)
+                    held, n_held = [waiting[whole:]], n_held - whole
         if n_held:
-            waiting = np.concatenate(held)
-            filled = -len(waiting) % length
-            yield rows(np.concatenate([waiting, np.full(filled, END_OF_TEXT, "<u2")]), filled)
+            filled = -n_held % length
+            yield from bundles(np.concatenate([*held, np.full(filled, END_OF_TEXT, "<u2")]), filled)
 
     return docs.select(F.col(text).alias("text")).mapInArrow(
-        run, "block int, number long, n_tokens long, ids_crc32 long, frame binary")
+        run, "block int, number long, n int, filled int, frame binary")
 
 
 def shard_file(shard: int) -> str:
@@ -112,15 +113,25 @@ def _file_system(folder: str):
 
 def write_in_order(numbered: DataFrame, n: int, folder: str, length: int = SEQUENCE, per_shard: int = PER_SHARD,
                    key: int = KEY) -> DataFrame:
-    """Writes ``numbered`` (``ordinal, n_tokens, ids_crc32, frame``) and returns a row per sequence: ``slot, shard,
-    position, ordinal, n_tokens, ids_crc32``. The shards are written while that table is computed."""
+    """Writes bundles (``ordinal`` of the first sequence, ``n, filled, frame``) and returns a row per sequence: ``slot,
+    shard, position, ordinal, n_tokens, ids_crc32``. The shards are written while that table is computed."""
     shards = -(-n // per_shard)
     tasks = max(1, min(shards, int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
-            slot = feistel(batch.column(0).to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), *batch.columns], ["slot", *batch.schema.names])
+            for first, count, filled, frame in zip(*[column.to_pylist() for column in batch.columns]):
+                data = unpack.decompress(frame, max_output_size=2 * length * count)
+                parts = [data[i:i + 2 * length] for i in range(0, len(data), 2 * length)]
+                ordinal, tokens = np.arange(first, first + count), np.full(count, length)
+                tokens[-1] -= filled
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(feistel(ordinal, n, key)), pa.array(ordinal), pa.array(tokens),
+                     pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array([pack.compress(p) for p in parts])],
+                    ["slot", "ordinal", "n_tokens", "ids_crc32", "frame"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -149,7 +160,7 @@ def write_in_order(numbered: DataFrame, n: int, folder: str, length: int = SEQUE
                 ["slot", "shard", "position", "ordinal", "n_tokens", "ids_crc32"])
         close()
 
-    placed = numbered.select("ordinal", "n_tokens", "ids_crc32", "frame").mapInArrow(
+    placed = numbered.select("ordinal", "n", "filled", "frame").mapInArrow(
         slots, "slot long, ordinal long, n_tokens long, ids_crc32 long, frame binary")
     # Slots are uniform, so ranges of shards need no sampling.
     task = F.floor(F.floor(F.col("slot") / per_shard) * tasks / max(1, shards)).cast("int")
@@ -161,13 +172,15 @@ def materialise_order(docs: DataFrame, folder: str | None = None, length: int =
                       key: int = KEY, text: str = "text") -> tuple[DataFrame, str]:
     """Tokenises, numbers, permutes and writes; returns the table of sequences and the folder of the shards."""
     folder = folder or shared_folder(docs.sparkSession, "shards")
-    cut = materialize(token_sequences(docs, length, text), "sequences")
-    blocks = cut.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    cut = materialize(token_bundles(docs, length, text), "bundles")
+    blocks = cut.groupBy("block").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.select("block", F.coalesce(before, F.lit(0)).alias("before"))  # a row per input split
-    n = cut.count()
-    numbered = cut.join(blocks, "block").withColumn("ordinal", F.col("before") + F.col("number"))
-    return materialize(write_in_order(numbered, n, folder, length, per_shard, key), "training-order"), folder
+    offsets = blocks.select("block", F.coalesce(before, F.lit(0)).alias("before"))  # a row per input split
+    total, n_blocks = blocks.agg(F.sum("n"), F.count(F.lit(1))).first()
+    if n_blocks <= BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)  # 12 bytes each
+    numbered = cut.join(offsets, "block").withColumn("ordinal", F.col("before") + F.col("number"))
+    return materialize(write_in_order(numbered, total or 0, folder, length, per_shard, key), "training-order"), folder
 
 
 def read_sequences(folder: str, start: int, count: int, n: int, length: int = SEQUENCE,

@@ -118,8 +118,8 @@ LABELLED = """labelled AS (
 SELECT *, CASE WHEN label = 'MALICIOUS' THEN 1 ELSE 0 END AS y,
   ((bytes * 31 + packet_count * 17) % 1000) / 1000.0::DOUBLE AS score
 FROM (SELECT *, CASE
-    WHEN src_ip IN ('192.168.1.8', '192.168.1.9', '192.168.1.10', '192.168.1.11')
-      OR dst_ip IN ('192.168.1.8', '192.168.1.9', '192.168.1.10', '192.168.1.11') THEN 'MALICIOUS'
+    WHEN src_ip IN ('172.16.0.5', '203.0.113.9', '198.51.100.77')
+      OR dst_ip IN ('172.16.0.5', '203.0.113.9', '198.51.100.77') THEN 'MALICIOUS'
     WHEN flow_seq % 5 = 0 THEN 'MALICIOUS' ELSE 'BENIGN' END AS label FROM flows))"""
 
 REFERENCE = """geo(s, e, country) AS (VALUES ('8.8.8.0', '8.8.8.255', 'United States'),

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.functions.addresses import is_valid_ip, normalize_ip
+from tidewire.functions.addresses import ip_sort_key, is_valid_ip, normalize_ip
 from tidewire.functions.decode import decode_frames, ip_packets
 from tidewire.functions.risk import max_severity, risk_labels
 from tidewire.functions.text import safe_double
@@ -162,8 +162,10 @@ def test_decode_odd_frames(spark):
         5: _v6(6, TCP), 6: _v6(0, bytes([6, 0]) + bytes(6) + TCP), 7: _v6(44, bytes([6, 0, 0, 0]) + bytes(4) + TCP),
         8: bytes(10), 9: bytes(12) + b"\x88\xcc", 10: _v4(1, bytes([99, 0]) + bytes(6)), 11: _v4(6, TCP, total=10),
         12: _v6(60, bytes([0, 120]) + bytes(966) + bytes([6, 0]) + bytes(6) + TCP),
+        13: _v6(60, (bytes([60, 0]) + bytes(6)) * 40 + bytes([6, 0]) + bytes(6) + TCP), 14: _v6(60, bytes([60, 0])), 15: b"",
     }
-    df = spark.createDataFrame([(i, 0, bytearray(f)) for i, f in cases.items()], "packet_id long, ts_ms long, frame binary")
+    rows = [(i, 0, bytearray(f)) for i, f in cases.items()] + [(16, 0, None)]
+    df = spark.createDataFrame(rows, "packet_id long, ts_ms long, frame binary")
     got = {r.packet_id: r for r in decode_frames(df).collect()}
     assert (got[0].src_ip, got[0].dst_ip, got[0].src_port, got[0].syn, got[0].ack, got[0].fin, got[0].seq) == (
         "1.2.3.4", "5.6.7.8", 1000, True, True, False, 7)
@@ -176,6 +178,8 @@ def test_decode_odd_frames(spark):
     assert got[6].src_port is None and got[6].syn and got[6].l4_kind == "TCP"
     assert got[6].protocol == "IPv6 Hop-by-Hop Option" and got[7].l4_kind == "TCP"
     assert got[12].syn and got[12].l4_kind == "TCP" and got[12].seq == 7
+    assert got[13].seq == 7 and got[13].l4_kind == "TCP" and got[14].l4_kind == "OTHER" and got[14].seq is None
+    assert got[15].decode_error and got[15].src_mac is None and got[16].length is None and got[16].src_ip is None
     assert got[8].decode_error and got[9].decode_error == "Unsupported EtherType: 0x88cc"
     assert got[10].protocol == "ICMPv4" and got[10].l4_kind == "OTHER"
     assert ip_packets(decode_frames(df)).where("flow_key is null").isEmpty()
@@ -194,6 +198,23 @@ def test_addresses_and_numbers(spark):
 
     assert {ip: ok for ip, (ok, _) in got.items()} == {ip: valid(ip) for ip in got}
     assert got["2001:DB8::a"][1] == "2001:db8::a" and got["x"][1] == "x"
+    rnd = random.Random(4)
+    packed = [bytes(b for _ in range(8) for b in rnd.choice([(0, 0), (0, 0), (0, 7), (rnd.randrange(256), 0xAB)]))
+              for _ in range(300)]
+    texts = [str(ipaddress.IPv6Address(p)) for p in packed] + [ipaddress.IPv6Address(p).exploded.upper() for p in packed]
+    texts += ["1::10.0.255.1", "::", "1:2:3:4:5:6:7::", "a b:c", ":::", "1.2.3.4", "::1.2.3.400", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", normalize_ip("t").alias("c"), normalize_ip("t", "exploded").alias("e"), ip_sort_key("t").alias("k")).collect()
+    for r in rows:
+        try:
+            address = ipaddress.ip_address(r.t)
+        except ValueError:
+            assert (r.c, r.e, r.k) == (r.t, r.t, None)
+            continue
+        mapped = address.version == 4 and b"\0" * 10 + b"\xff\xff" or b""
+        assert (r.e, r.k) == (address.exploded, (mapped + address.packed).hex())
+        if address.version == 4 or address.ipv4_mapped is None:
+            assert r.c == address.compressed
     nums = spark.createDataFrame([(None,), (" 3.5 ",), ("NaN",), ("-infinity",), ("x",)], "t string")
     values = [r.v for r in nums.select(safe_double("t", 9.0).alias("v")).collect()]
     assert values[:2] == [9.0, 3.5] and math.isnan(values[2]) and values[3:] == [-math.inf, 9.0]
@@ -241,19 +262,72 @@ def test_replay_writes_the_same_ids(spark):
     assert len(ids) == 1 and shared_folder(spark, "x") != shared_folder(spark, "x")
 
 
-@pytest.mark.parametrize("broken,label", [("score", "UNKNOWN"), ("geo", None), (None, "BENIGN")])
-def test_failures_of_enrichment_and_scoring(spark, tmp_path, broken, label):
+def test_failures_of_enrichment_and_scoring(spark, tmp_path):
     from tidewire.plans.inputs import reference_tables
     from tidewire.streaming import jobs
     tables = reference_tables(spark)
-    if broken == "geo":
-        tables["geo"] = tables["geo"].withColumn("country", F.raise_error(F.lit("no table")).cast("string"))
+    flows = spark.createDataFrame(
+        [("k", "8.8.8.8", "10.0.0.1", "TCP", 0.1), ("m", "8.8.8.8", None, "TCP", 0.9), ("u", "x", "10.0.0.1", "UDP", None)],
+        "flow_key string, src_ip string, dst_ip string, protocol string, p double")
 
     def score(rows):
-        value = F.raise_error(F.lit("no model")).cast("string") if broken == "score" else F.lit("BENIGN")
-        return rows.withColumn("label", value)
+        return rows.withColumn("probability", F.col("p"))
 
-    flows = spark.createDataFrame([("k", "8.8.8.8", "10.0.0.1")], "flow_key string, src_ip string, dst_ip string")
     jobs.enrich_and_score(tables, score)(flows, str(tmp_path / "out"))
-    row = spark.read.parquet(str(tmp_path / "out")).first()
-    assert row.flow_key == "k" and row.asDict().get("label") == label
+    got = {r.flow_key: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert {k: r.label for k, r in got.items()} == {"k": "BENIGN", "m": "MALICIOUS", "u": "UNKNOWN"}
+    assert got["m"].dst_country == "N/A" and got["u"].dst_country == "Private IP"
+    tables["geo"] = tables["geo"].withColumn("country", F.raise_error(F.lit("no table")).cast("string"))
+    with pytest.raises(Exception, match="no table"):
+        jobs.enrich_and_score(tables, score)(flows, str(tmp_path / "out2"))
+
+
+def test_a_failed_sink_is_replayed(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+    from tidewire.streaming import jobs
+    source, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    spark.range(200).repartition(4).write.parquet(source)
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 2).parquet(source)
+    failed = []
+
+    def write(batch, path):
+        jobs.overwrite_parquet(batch, path)
+        if not failed:
+            failed.append(path)
+            raise RuntimeError("write reported as failed")
+
+    with pytest.raises(StreamingQueryException):
+        jobs.run_available(stream, out, cp, write=write)
+    jobs.run_available(stream, out, cp, write=write)
+    assert sorted(r.id for r in jobs.read_batches(spark, out).collect()) == list(range(200))
+
+
+def test_late_samples_count(spark, tmp_path):
+    from tidewire.operators.metrics import metric_rows
+    from tidewire.streaming import jobs
+    source, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    samples = spark.range(300).select(
+        F.when(F.col("id") % 2 == 0, "SYSTEM_CPU").otherwise("FLOW_AGGREGATION_RATE").alias("type"),
+        F.when(F.col("id") % 11 > 0, F.col("id").cast("double")).alias("value"),
+        F.timestamp_seconds((F.lit(1000) - F.col("id")) % 20).alias("ts"))
+    for i in range(3):
+        samples.where(F.floor(F.col("value").cast("long") / 100) == i).write.mode("append").parquet(source)
+    stored = spark.read.parquet(source)
+    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.run_available(stream, out, cp, write=jobs.write_metric_sums())
+    assert sorted(jobs.read_metrics(spark, out).collect()) == sorted(metric_rows(stored).collect())
+
+
+def test_previous_packet_across_gaps(spark):
+    idx = [3, 4, 17, 18, 95, 96, 100, 250]
+    df = spark.createDataFrame([("f", i, i * i) for i in idx], "file string, idx long, ts_ms long")
+    got = {r.idx: (r.delta_ms, r.replay_ms) for r in rollups.packet_delta(df, "file", "idx", slice_rows=10).collect()}
+    assert got == {i: (i * i - j * j, max(1, i * i - j * j)) for j, i in zip([3, *idx], idx)}
+
+
+def test_last_row_of_a_repeated_signature_counts(spark):
+    a = spark.createDataFrame([("k", 1, 5.0), ("k", 2, 6.0), ("z", 1, 1.0)], "k string, t long, m double")
+    b = spark.createDataFrame([("k", 9, 6.0), ("k", 3, 7.0), ("y", 1, 1.0)], "k string, t long, m double")
+    assert compare.feature_diff(a, b, "k", ["m"], "t").count() == 0
+    row = compare.feature_diff_summary(a, b, "k", ["m"], "t").first()
+    assert (row.compared, row.differences) == (1, 0)

@@ -1,50 +1,124 @@
-"""Ethernet, IP and TCP/UDP header fields as column expressions on the frame bytes.
-
-The head of the frame (for IPv6 and VLAN all of it) is read as Latin-1 text once, one character per byte; every field is
-a slice of it."""
+"""Ethernet, IP and TCP/UDP header fields of frames, read from the bytes of a whole Arrow batch at once."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewire.functions.keys import flow_key_bilateral
 from tidewire.functions.protocols import protocol_name
-from tidewire.session import settle
 
 # EtherTypes by class.
 ETHER_CLASSES = {0x0800: "IPv4", 0x86DD: "IPv6", 0x0806: "ARP", 0x8100: "VLAN"}
 # IPv6 extension headers that name a next header (hop-by-hop, routing, fragment, options).
 HOP, ROUTING, FRAGMENT, OPTIONS = 0, 43, 44, 60
+NO_NEXT = 59
 TCP, UDP = 6, 17
-HEAD_BYTES = 256
-MAX_EXTENSIONS = 16
-
-
-def _uint(h: Column, at: Column | int, size: int) -> Column:
-    """Unsigned number of ``size`` bytes at byte ``at``; null past the end of the head."""
-    first = (F.lit(at) if isinstance(at, int) else at) + 1
-    number = None
-    for i in range(size):
-        byte = F.ascii(F.substr(h, (first + i).cast("int"), F.lit(1))).cast("long")
-        number = byte if number is None else number * 256 + byte
-    return F.when(F.col("__head") >= first + (size - 1), number)
-
-
-def _hex_of(number: Column, digits: int) -> Column:
-    return F.lpad(F.lower(F.hex(number)), digits, "0")
-
-
-def _mac(h: Column, at: int) -> Column:
-    return F.concat_ws(":", *[_hex_of(_uint(h, at + i, 1), 2) for i in range(6)])
-
-
-def _ipv4_text(h: Column, at: Column) -> Column:
-    return F.concat_ws(".", *[_uint(h, at + i, 1).cast("string") for i in range(4)])
-
-
-def _ipv6_text(h: Column, at: Column) -> Column:
-    """Eight hex groups without leading zeros and without ``::``."""
-    return F.concat_ws(":", *[F.lower(F.hex(_uint(h, at + 2 * i, 2))) for i in range(8)])
+#: The longest headers of an untagged IPv4 frame: Ethernet, IPv4 with all options, TCP. All fields lie in them.
+IPV4_HEADERS = 14 + 60 + 20
+
+FIELDS = {"ether_type": "int", "vlan_tagged": "boolean", "is4": "boolean", "is6": "boolean", "ip_proto": "int",
+          "dst_mac": "string", "src_mac": "string", "src_ip": "string", "dst_ip": "string", "l4": "int",
+          "src_port": "int", "dst_port": "int", "flags": "int", "seq": "bigint", "ack_no": "bigint"}
+ARROW_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def header_fields(vlan: str):
+    """The Arrow function behind ``decode_frames``: frame heads and frame lengths to ``FIELDS``."""
+    inner_tags = vlan == "decode"
+    spelled = {}  # filled once per worker
+
+    def fields(heads: pa.Array, lengths: pa.Array) -> pa.Array:
+        n = len(heads)
+        if not spelled:
+            spelled.update(decimal=pa.array([str(i) for i in range(256)]), octet=pa.array([f"{i:02x}" for i in range(256)]),
+                           group=pa.array([f"{i:x}" for i in range(65536)]))
+        heads = heads.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(heads.buffers()[1], np.int64, n + 1, heads.offset * 8)
+        stored = heads.buffers()[2]
+        data = np.frombuffer(stored, np.uint8) if stored is not None and stored.size else np.zeros(1, np.uint8)
+        begin, size = offsets[:-1], np.diff(offsets)
+        length = lengths.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+        def read(at, width: int, rows=slice(None)):
+            """Number of ``width`` bytes at byte ``at`` of each row, and whether the head reaches that far."""
+            there = at + width <= size[rows]
+            first = np.where(there, begin[rows] + at, 0)
+            value = np.zeros(len(first), np.int64)
+            for i in range(width):
+                value = (value << 8) | data[np.minimum(first + i, len(data) - 1)]
+            return np.where(there, value, 0), there
+
+        outer, has_type = read(0 * begin + 12, 2)
+        tagged = has_type & (outer == 0x8100)
+        ether, l3 = outer, 0 * begin + 14
+        if inner_tags:
+            inner, has_inner = read(0 * begin + 16, 2)
+            ether, l3 = np.where(tagged, inner, outer), np.where(tagged, 18, 14)
+            has_type = np.where(tagged, has_inner, has_type)
+        first_byte, _ = read(l3, 1)
+        options_end = (first_byte & 15) * 4
+        total, has_total = read(l3 + 2, 2)
+        is4 = (has_type & (ether == 0x0800) & (first_byte >> 4 == 4) & (options_end >= 20)
+               & (length >= l3 + options_end) & has_total & (total >= options_end))
+        is6 = has_type & (ether == 0x86DD) & (first_byte >> 4 == 6) & (length >= l3 + 40)
+        is_ip = is4 | is6
+        proto = np.where(is_ip, read(np.where(is4, l3 + 9, l3 + 6), 1)[0], -1)
+        l4_at = np.where(is4, l3 + options_end, l3 + 40)
+        in_parts = is4 & (read(l3 + 6, 2)[0] & 0x3FFF != 0)
+
+        # Extension headers: each round moves every frame still inside them by at least eight bytes.
+        kind, at = proto.copy(), l4_at.copy()
+        rows = np.flatnonzero(is6 & np.isin(kind, (HOP, ROUTING, FRAGMENT, OPTIONS)))
+        while len(rows):
+            place, plain = at[rows], np.isin(kind[rows], (HOP, ROUTING, OPTIONS))
+            part, has_part = read(place + 2, 2, rows)
+            # A fragment header of a whole packet is passed; parts of packets end the walk.
+            moves = plain | (has_part & (part & 0xFFF9 == 0))
+            following, has_following = read(place, 1, rows)
+            more, _ = read(place + 1, 1, rows)
+            kind[rows] = np.where(moves, np.where(has_following, following, NO_NEXT), kind[rows])
+            at[rows] = np.where(moves, place + np.where(plain, (more + 1) * 8, 8), place)
+            rows = rows[moves & np.isin(kind[rows], (HOP, ROUTING, FRAGMENT, OPTIONS))]
+
+        tcp = ~in_parts & (kind == TCP) & (length >= at + 20)
+        udp = ~in_parts & (kind == UDP) & (length >= at + 8)
+        direct = (tcp | udp) & np.isin(proto, (TCP, UDP))
+        ethernet = length >= 14
+
+        def texts(form: str, at, width: int, parts: int, sign: str, known) -> pa.Array:
+            """``parts`` numbers of ``width`` bytes from byte ``at`` on, spelled as ``form``; null where not known."""
+            rows = np.flatnonzero(known)
+            if not len(rows):
+                return pa.nulls(n, pa.string())
+            first = (at + 0 * begin)[rows]
+            pieces = [spelled[form].take(pa.array(read(first + i * width, width, rows)[0])) for i in range(parts)]
+            joined = pc.binary_join_element_wise(*pieces, sign)
+            places = np.cumsum(known) - 1
+            return joined.take(pa.array(places, mask=~known))
+
+        def addresses(at4: int, at6: int) -> pa.Array:
+            return pc.coalesce(texts("decimal", l3 + at4, 1, 4, ".", is4), texts("group", l3 + at6, 2, 8, ":", is6))
+
+        columns = {
+            "ether_type": (ether, has_type), "vlan_tagged": (tagged, None), "is4": (is4, None), "is6": (is6, None),
+            "ip_proto": (proto, is_ip),
+            "dst_mac": (texts("octet", 0, 1, 6, ":", ethernet), None),
+            "src_mac": (texts("octet", 6, 1, 6, ":", ethernet), None),
+            "src_ip": (addresses(12, 8), None), "dst_ip": (addresses(16, 24), None),
+            "l4": (np.where(tcp, TCP, np.where(udp, UDP, 0)), None),
+            "src_port": (read(l4_at, 2)[0], direct), "dst_port": (read(l4_at + 2, 2)[0], direct),
+            "flags": (read(at + 13, 1)[0], tcp), "seq": (read(at + 4, 4)[0], tcp), "ack_no": (read(at + 8, 4)[0], tcp),
+        }
+        return pa.StructArray.from_arrays(
+            [values if isinstance(values, pa.Array)
+             else pa.array(values, ARROW_TYPES[FIELDS[name]], mask=None if known is None else ~known, safe=False)
+             for name, (values, known) in columns.items()], names=list(columns))
+
+    # Not to be copied into every filter and column that reads it.
+    return F.arrow_udf(fields, ", ".join(f"{c} {t}" for c, t in FIELDS.items())).asNondeterministic()
 
 
 def ethertype_class(ether_type: Column | str) -> Column:
@@ -60,95 +134,38 @@ def decode_frames(df: DataFrame, vlan: str = "decode") -> DataFrame:
     """Add the header fields of ``frame``.
 
     Ports are read only where TCP or UDP is the direct payload of the outermost IP header; flags and
-    ``l4_kind`` also behind IPv6 extension headers. ``vlan='drop'`` leaves VLAN frames undecoded.
+    ``l4_kind`` also behind IPv6 extension headers, however many. ``vlan='drop'`` leaves VLAN frames undecoded.
     ``decode_error`` names what keeps a frame from being used."""
     if vlan not in ("decode", "drop"):
         raise ValueError("vlan is 'decode' or 'drop'")
-    h = F.col("__h")
-    # IPv4 headers end well within the head; extension headers of IPv6 may go on for longer.
-    long_headers = F.hex(F.substr(F.col("frame"), F.lit(13), F.lit(2))).isin("86DD", "8100")
-    head = F.when(long_headers, F.octet_length("frame")).otherwise(
-        F.least(F.octet_length("frame"), F.lit(HEAD_BYTES)))
-    step = df.withColumn("__head", head).withColumn(
-        "__h", F.decode(F.substr(F.col("frame"), F.lit(1), F.col("__head")), "ISO-8859-1"))
-    step = step.withColumns({
-        "length": F.octet_length("frame").cast("int"),
-        "__outer": _uint(h, 12, 2),
-    })
-    tagged = F.col("__outer") == 0x8100
-    step = step.withColumns({
-        "vlan_tagged": F.coalesce(tagged, F.lit(False)),
-        "ether_type": (F.when(tagged, _uint(h, 16, 2)).otherwise(F.col("__outer")) if vlan == "decode"
-                       else F.col("__outer")).cast("int"),
-        "__l3": F.when(tagged, 18).otherwise(14) if vlan == "decode" else F.lit(14),
-    })
-    step = step.withColumn("frame_class", ethertype_class("ether_type"))
-    l3 = F.col("__l3")
-    step = step.withColumns({"__b0": _uint(h, l3, 1)})
-    v4 = (F.col("frame_class") == "IPv4") & (F.shiftright("__b0", 4) == 4) & (
-        F.col("__b0").bitwiseAND(15) >= 5) & (F.col("length") >= l3 + F.col("__b0").bitwiseAND(15) * 4) & (
-        _uint(h, l3 + 2, 2) >= F.col("__b0").bitwiseAND(15) * 4)
-    v6 = (F.col("frame_class") == "IPv6") & (F.shiftright("__b0", 4) == 6) & (F.col("length") >= l3 + 40)
-    step = step.withColumns({"__v4": F.coalesce(v4, F.lit(False)), "__v6": F.coalesce(v6, F.lit(False))})
-    is4, is6 = F.col("__v4"), F.col("__v6")
-    step = step.withColumns({
-        "ip_proto": F.when(is4, _uint(h, l3 + 9, 1)).when(is6, _uint(h, l3 + 6, 1)).cast("int"),
-        "__l4": F.when(is4, l3 + F.col("__b0").bitwiseAND(15).cast("int") * 4).when(is6, l3 + 40),
-        "__fragment": F.coalesce(is4 & (_uint(h, l3 + 6, 2).bitwiseAND(0x3FFF) != 0), F.lit(False)),
-    })
-
-    def walk(state: Column, _: Column) -> Column:
-        kind, at = state["kind"], state["at"]
-        plain = kind.isin(HOP, ROUTING, OPTIONS)
-        whole_fragment = (kind == FRAGMENT) & (F.coalesce(_uint(h, at + 2, 2), F.lit(1)).bitwiseAND(0xFFF9) == 0)
-        return F.struct(
-            F.when(plain | whole_fragment, F.coalesce(_uint(h, at, 1), F.lit(59)).cast("int"))
-            .otherwise(kind).alias("kind"),
-            F.when(plain, at + (F.coalesce(_uint(h, at + 1, 1), F.lit(0)).cast("int") + 1) * 8)
-            .when(whole_fragment, at + 8).otherwise(at).alias("at"))
-
-    start = F.struct(F.col("ip_proto").alias("kind"), F.col("__l4").cast("int").alias("at"))
-    extended = is6 & F.col("ip_proto").isin(HOP, ROUTING, FRAGMENT, OPTIONS)
-    step = step.withColumn("__deep", F.when(
-        extended, F.aggregate(F.sequence(F.lit(1), F.lit(MAX_EXTENSIONS)), start, walk)).otherwise(start))
-    deep, at = F.col("__deep.kind"), F.col("__deep.at")
-    whole = ~F.col("__fragment")
-    tcp = whole & (deep == TCP) & (F.col("length") >= at + 20)
-    udp = whole & (deep == UDP) & (F.col("length") >= at + 8)
-    step = step.withColumns({
-        "__tcp": F.coalesce(tcp, F.lit(False)), "__udp": F.coalesce(udp, F.lit(False)),
-        "__flags": F.when(tcp, _uint(h, at + 13, 1)),
-    })
-    deep_at = F.col("__deep.at")
-    step = settle(step.withColumn("__at", deep_at).drop("__deep"), [
-        "__h", "__head", "length", "vlan_tagged", "ether_type", "frame_class", "ip_proto", "__l3", "__l4", "__at",
-        "__v4", "__v6", "__tcp", "__udp", "__flags"])
-    at = F.col("__at")
-    direct = (F.col("__tcp") | F.col("__udp")) & F.col("ip_proto").isin(TCP, UDP)
+    # Only IPv6 and tagged frames may have headers beyond those of IPv4.
+    long_headers = F.hex(F.substring("frame", 13, 2)).isin("86DD", "8100")
+    head = F.when(long_headers, F.col("frame")).otherwise(F.substring("frame", 1, IPV4_HEADERS))
+    step = df.withColumn("length", F.octet_length("frame").cast("int"))
+    step = step.withColumn("__f", header_fields(vlan)(head, F.col("length")))
+    f = {name: F.col(f"__f.{name}") for name in FIELDS}
+    is4, is6 = f["is4"], f["is6"]
+    frame_class = ethertype_class(f["ether_type"])
 
     def flag(bit: int) -> Column:
-        return F.coalesce(F.col("__flags").bitwiseAND(bit) != 0, F.lit(False))
-
-    step = step.withColumns({
-        "dst_mac": F.when(F.col("length") >= 14, _mac(h, 0)),
-        "src_mac": F.when(F.col("length") >= 14, _mac(h, 6)),
-        "src_ip": F.when(is4, _ipv4_text(h, l3 + 12)).when(is6, _ipv6_text(h, l3 + 8)),
-        "dst_ip": F.when(is4, _ipv4_text(h, l3 + 16)).when(is6, _ipv6_text(h, l3 + 24)),
-        "protocol": F.when(is4 | is6, protocol_name("ip_proto", "decoder")),
-        "src_port": F.when(direct, _uint(h, F.col("__l4"), 2)).cast("int"),
-        "dst_port": F.when(direct, _uint(h, F.col("__l4") + 2, 2)).cast("int"),
-        "l4_kind": F.when(F.col("__tcp"), "TCP").when(F.col("__udp"), "UDP").otherwise("OTHER"),
-        "seq": F.when(F.col("__tcp"), _uint(h, at + 4, 4)),
-        "ack_no": F.when(F.col("__tcp"), _uint(h, at + 8, 4)),
+        return F.coalesce(f["flags"].bitwiseAND(bit) != 0, F.lit(False))
+
+    return step.withColumns({
+        "vlan_tagged": f["vlan_tagged"], "ether_type": f["ether_type"], "frame_class": frame_class,
+        "ip_proto": f["ip_proto"],
+        "dst_mac": f["dst_mac"], "src_mac": f["src_mac"], "src_ip": f["src_ip"], "dst_ip": f["dst_ip"],
+        "protocol": F.when(is4 | is6, protocol_name(f["ip_proto"], "decoder")),
+        "src_port": f["src_port"], "dst_port": f["dst_port"],
+        "l4_kind": F.when(f["l4"] == TCP, "TCP").when(f["l4"] == UDP, "UDP").otherwise("OTHER"),
+        "seq": f["seq"], "ack_no": f["ack_no"],
         "fin": flag(0x01), "syn": flag(0x02), "rst": flag(0x04), "psh": flag(0x08), "ack": flag(0x10),
         "decode_error": (
             F.when(F.col("length") < 14, "Frame too short for an Ethernet header")
-            .when(F.col("frame_class") == "unsupported",
-                  F.concat(F.lit("Unsupported EtherType: 0x"), F.lower(F.hex(F.col("ether_type")))))
-            .when(F.col("frame_class") == "VLAN", "VLAN packet does not contain an inner Ethernet frame")
-            .when(F.col("frame_class").isin("IPv4", "IPv6") & ~is4 & ~is6, "Not an IP packet")),
-    })
-    return step.drop(*[c for c in step.columns if c.startswith("__")])
+            .when(frame_class == "unsupported",
+                  F.concat(F.lit("Unsupported EtherType: 0x"), F.lower(F.hex(f["ether_type"]))))
+            .when(frame_class == "VLAN", "VLAN packet does not contain an inner Ethernet frame")
+            .when(frame_class.isin("IPv4", "IPv6") & ~is4 & ~is6, "Not an IP packet")),
+    }).drop("__f")
 
 
 def ip_packets(decoded: DataFrame) -> DataFrame:

@@ -74,12 +74,20 @@ def differs(a: Column, b: Column) -> Column:
     )
 
 
-def feature_diff(a: DataFrame, b: DataFrame, key: str, metrics: list[str]) -> DataFrame:
-    """Differing cells of rows with equal keys: ``key, metric, a, b, difference``."""
+def _paired(a: DataFrame, b: DataFrame, key: str, metrics: list[str], order: str) -> DataFrame:
+    """One row per key of both sides: the last row of each side in ``order``, so repeated keys make no pairs."""
+    last = [dedupe_by_key(side.select(key, order, *[m for m in metrics if m != order]), key, order) for side in (a, b)]
+    return last[0].alias("a").join(last[1].alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}"))
+
+
+def feature_diff(a: DataFrame, b: DataFrame, key: str, metrics: list[str], order: str) -> DataFrame:
+    """Differing cells of rows with equal keys: ``key, metric, a, b, difference``.
+
+    Where a key repeats, its last row in ``order`` counts."""
     def clean(side: str, m: str) -> Column:
         return F.nanvl(F.coalesce(F.col(f"{side}.{m}").cast("double"), F.lit(0.0)), F.lit(0.0))
 
-    joined = a.alias("a").join(b.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}"))
+    joined = _paired(a, b, key, metrics, order)
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), clean("a", m).alias("a"), clean("b", m).alias("b"))
                       for m in metrics])
     # Equal cells are dropped before the rows are multiplied.
@@ -90,12 +98,12 @@ def feature_diff(a: DataFrame, b: DataFrame, key: str, metrics: list[str]) -> Da
     )
 
 
-def feature_diff_summary(a: DataFrame, b: DataFrame, key: str, metrics: list[str]) -> DataFrame:
-    """Differences and their percentage per metric, among the rows compared."""
+def feature_diff_summary(a: DataFrame, b: DataFrame, key: str, metrics: list[str], order: str) -> DataFrame:
+    """Differences and their percentage per metric, among the keys compared."""
     def clean(side: str, m: str) -> Column:
         return F.nanvl(F.coalesce(F.col(f"{side}.{m}").cast("double"), F.lit(0.0)), F.lit(0.0))
 
-    joined = a.alias("a").join(b.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}"))
+    joined = _paired(a, b, key, metrics, order)
     wide = joined.agg(F.count(F.lit(1)).alias("compared"),
                       *[F.count_if(differs(clean("a", m), clean("b", m))).alias(f"d{i}")
                         for i, m in enumerate(metrics)])

@@ -12,18 +12,30 @@ GAUGES = {"SYSTEM_CPU": "%", "SYSTEM_RAM": "%"}
 def metric_rows(samples: DataFrame, window: str = "1 second", truncate: bool = False) -> DataFrame:
     """Samples ``type, value, ts`` to one row per type and window: rates are summed, gauges averaged.
 
-    ``truncate`` cuts samples to whole numbers first. The window and the two sums are the same in
-    batch and in a stream."""
+    ``truncate`` cuts samples to whole numbers first."""
+    return finish_sums(window_sums(samples, window, truncate))
+
+
+def window_sums(samples: DataFrame, window: str, truncate: bool = False) -> DataFrame:
+    """Sum and number of the samples per type and window. Sums of parts of the samples can be added up later."""
     value = F.col("value")
     if truncate:
         value = value.cast("long").cast("double")
+    return (
+        samples.groupBy(F.window("ts", window).alias("w"), "type")
+        .agg(F.sum(value).alias("total"), F.count(value).alias("samples"))
+        .select("type", F.unix_millis("w.start").alias("timestamp"), "total", "samples")
+    )
+
+
+def finish_sums(sums: DataFrame) -> DataFrame:
+    """Metric rows of ``window_sums``, several rows per type and window added up."""
     gauge = F.col("type").isin(*GAUGES)
     unit = F.when(F.col("type") == RATE, "packets/s").when(gauge, "%").otherwise("")
+    mean = F.when(F.col("samples") > 0, F.col("total") / F.col("samples")).otherwise(0.0)
     return (
-        samples.groupBy(F.window("ts", window).alias("w"), "type")
-        .agg(F.sum(value).alias("total"), F.avg(value).alias("mean"))
-        .select("type", F.when(gauge, F.coalesce("mean", F.lit(0.0))).otherwise(F.col("total")).alias("rate"),
-                unit.alias("unit"), F.unix_millis("w.start").alias("timestamp"))
+        sums.groupBy("type", "timestamp").agg(F.sum("total").alias("total"), F.sum("samples").alias("samples"))
+        .select("type", F.when(gauge, mean).otherwise(F.col("total")).alias("rate"), unit.alias("unit"), "timestamp")
     )
 
 

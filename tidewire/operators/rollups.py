@@ -166,35 +166,34 @@ def ingest_counters(packets: DataFrame, bucket_ms: int = 1000, queued: Column |
 def packet_delta(packets: DataFrame, file: str, idx: str, slice_rows: int = 100_000) -> DataFrame:
     """Milliseconds since the previous packet of the capture, and the replay delay (at least 1).
 
-    Packets are sliced by index; the last one of a slice is copied into the next, so the first
-    packet of a slice finds its predecessor without the whole file in one task."""
-    own = F.floor(F.col(idx) / slice_rows).cast("long")
-    last = F.pmod(F.col(idx), F.lit(slice_rows)) == slice_rows - 1
-    w = Window.partitionBy(file, "__slice").orderBy(idx)
+    Packets are sliced by index. The first packet of a slice follows the last one of the nearest earlier slice that
+    holds any, so the numbers may have gaps and no file lies in one task."""
+    previous = F.coalesce(F.col("previous"), F.col("ts_ms"))
     return (
-        packets.withColumn("__slice", F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own))))
-        .withColumn("delta_ms", F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(w), F.lit(0)))
-        .where(F.col("__slice") == own).drop("__slice")
+        _with_previous(packets, [file], idx, "ts_ms", slice_rows)
+        .withColumn("delta_ms", F.col("ts_ms") - previous).drop("previous")
         .withColumn("replay_ms", F.greatest(F.col("delta_ms"), F.lit(1)))
     )
 
 
-def regressions(rows: DataFrame, keys: list[str], order: str, value: str, strict: bool,
-                slice_rows: int = 100_000) -> DataFrame:
-    """Rows whose ``value`` falls below (``strict``: does not rise above) the previous one of their group.
-
-    The order column is a dense arrival number, sliced like ``packet_delta``; groups sparser than a
-    slice look up their last row in earlier slices through one row per group and slice."""
-    own = F.floor(F.col(order) / slice_rows).cast("long")
-    sliced = rows.withColumn("__slice", own)
+def _with_previous(rows: DataFrame, keys: list[str], order: str, value: str, slice_rows: int) -> DataFrame:
+    """Add ``previous``: the ``value`` of the row before in the group; one small row per group and slice is stitched."""
+    sliced = rows.withColumn("__slice", F.floor(F.col(order) / slice_rows).cast("long"))
     local = Window.partitionBy(*keys, "__slice").orderBy(order)
     last = sliced.groupBy(*keys, "__slice").agg(F.max_by(value, order).alias("__last"))
     before = last.select(*keys, "__slice", F.lag("__last").over(
         Window.partitionBy(*keys).orderBy("__slice")).alias("__before"))
     previous = F.coalesce(F.lag(value).over(local), F.col("__before"))
-    out = sliced.join(before, [*keys, "__slice"]).withColumn("previous", previous)
-    bad = F.col(value) <= F.col("previous") if strict else F.col(value) < F.col("previous")
-    return out.where(bad).drop("__slice", "__before")
+    return sliced.join(before, [*keys, "__slice"]).withColumn("previous", previous).drop("__slice", "__before")
+
+
+def regressions(rows: DataFrame, keys: list[str], order: str, value: str, strict: bool,
+                slice_rows: int = 100_000) -> DataFrame:
+    """Rows whose ``value`` falls below (``strict``: does not rise above) the previous one of their group.
+
+    The order column is an arrival number; it is sliced like in ``packet_delta``."""
+    out = _with_previous(rows, keys, order, value, slice_rows)
+    return out.where(F.col(value) <= F.col("previous") if strict else F.col(value) < F.col("previous"))
 
 
 def merge_sorted(tables: list[DataFrame], order: list[str]) -> DataFrame:

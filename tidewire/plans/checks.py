@@ -35,7 +35,7 @@ SELECT *, least(directed, turned) AS flow_key FROM (
               coalesce(protocol, 'UNKNOWN')) AS turned
   FROM packets))"""
 
-RUNS = """p AS (
+RUNS = """p AS MATERIALIZED (
 SELECT *, row_number() OVER (PARTITION BY flow_key ORDER BY ts_ms, packet_id) AS rn,
        CASE protocol WHEN 'TCP' THEN 43200000 WHEN 'UDP' THEN 32400000 ELSE 21600000 END AS idle,
        CASE protocol WHEN 'TCP' THEN 172800000 WHEN 'UDP' THEN 129600000 ELSE 86400000 END AS age
@@ -49,7 +49,7 @@ SELECT p.flow_key, p.rn, p.ts_ms,
   p.rst AND p.ts_ms = CASE WHEN r.closed OR p.ts_ms - r.ts_ms >= p.idle OR p.ts_ms - r.first_ms >= p.age
                            THEN p.ts_ms ELSE r.first_ms END
 FROM r JOIN p ON p.flow_key = r.flow_key AND p.rn = r.rn + 1),
-placed AS (
+placed AS MATERIALIZED (
 SELECT p.*, r.flow_seq::BIGINT AS flow_seq, r.closed,
        p.ts_ms - lag(p.ts_ms) OVER (PARTITION BY p.flow_key, r.flow_seq ORDER BY p.rn) AS gap
 FROM p JOIN r ON p.flow_key = r.flow_key AND p.rn = r.rn)"""
@@ -153,8 +153,6 @@ facts AS (SELECT ips.ip,
 KINDS = """kinds AS (SELECT *, CASE packet_id % 16 WHEN 0 THEN 'ARP' WHEN 1 THEN 'IPv6' WHEN 2 THEN 'VLAN'
   WHEN 3 THEN 'odd' WHEN 4 THEN 'short' ELSE 'IPv4' END AS kind FROM packets)"""
 
-MODEL = """prepared AS (SELECT *, duration_ms AS flow_duration_ms FROM labelled)"""
-
 _ORDER = {"packets": [PACKETS], "kinds": [PACKETS, KINDS], "keyed": [PACKETS, KEYED],
           "placed": [PACKETS, KEYED, RUNS], "flows": [PACKETS, KEYED, RUNS, FLOWS],
           "risky": [PACKETS, KEYED, RUNS, FLOWS, RISKY], "labelled": [PACKETS, KEYED, RUNS, FLOWS, LABELLED],

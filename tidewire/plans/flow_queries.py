@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewire.functions.addresses import normalize_ip
 from tidewire.functions.keys import flow_signature
 from tidewire.functions.text import format_ts_ms, row_contains
 from tidewire.operators import compare, enrich, rollups
@@ -13,7 +14,8 @@ from tidewire.operators.sessionize import assign_packets, class_of, sessionize_f
 from tidewire.functions.keys import packet_label
 from tidewire.plans.checks import PACKETS, sql
 from tidewire.plans.inputs import (
-    ATTACKERS, EVENT_RULES, labelled_flows, packets, reference_tables, risky_flows, second_tool, stored_flows, table)
+    ATTACKERS, EVENT_RULES, first_tool, labelled_flows, packets, reference_tables, risky_flows, second_tool, stored_flows,
+    table)
 from tidewire.plans.registry import query, r6, text
 
 DOUBLES = ["mean_packet_length", "stddev_packet_length", "bytes_per_second", "packets_per_second",
@@ -64,10 +66,15 @@ def _(spark, sf):
         "packet_id", "flow_key", "flow_seq")
 
 
+# Lists of a flow go on in parts; the part belongs to the key of their rows.
+_PARTS = """parts AS (SELECT *, ((row_number() OVER (PARTITION BY flow_key, flow_seq ORDER BY rn) - 1) // 10000)::BIGINT
+  AS part FROM placed)"""
+
+
 @query("packet_summaries", sql("placed", """
-SELECT flow_key, flow_seq, 0::BIGINT AS part, string_agg(concat_ws('_', 'P', src_ip, dst_ip, protocol,
+SELECT flow_key, flow_seq, part, string_agg(concat_ws('_', 'P', src_ip, dst_ip, protocol,
   CASE WHEN rst THEN 'RST' WHEN fin THEN 'FIN' WHEN syn THEN 'SYN' WHEN ack THEN 'ACK' ELSE '' END,
-  ts_ms::VARCHAR), ',' ORDER BY rn) AS summaries FROM placed GROUP BY flow_key, flow_seq"""))
+  ts_ms::VARCHAR), ',' ORDER BY rn) AS summaries FROM parts GROUP BY flow_key, flow_seq, part""", _PARTS))
 def _(spark, sf):
     lists = flow_lists(packets(spark, sf), EVENT_RULES, packet_label(), "summary")
     return lists.select(*FLOW_ID, "part", F.array_join("summary", ",").alias("summaries"))
@@ -83,7 +90,10 @@ def _delayed(spark, sf):
 
 
 @query("flow_treatment_delays", sql("placed", """
-SELECT flow_key, flow_seq, delays, round(mean_delay, 6) AS mean_delay FROM delays""", _DELAYS))
+SELECT flow_key, flow_seq, part, string_agg((60 - packet_id % 50)::VARCHAR, ',' ORDER BY rn) AS delays,
+  round(any_value(mean_delay), 6) AS mean_delay
+FROM parts JOIN (SELECT flow_key, flow_seq, mean_delay FROM delays) USING (flow_key, flow_seq)
+GROUP BY flow_key, flow_seq, part""", _DELAYS, _PARTS))
 def _(spark, sf):
     lists = flow_lists(_delayed(spark, sf), EVENT_RULES, F.col("delay"), "delay")
     # The mean of a flow is the mean over all its parts.
@@ -91,7 +101,7 @@ def _(spark, sf):
                             F.aggregate("delay", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"),
                             F.size("delay").alias("k"))
     means = per_part.groupBy(*FLOW_ID).agg((F.sum("s") / F.sum("k")).alias("mean_delay"))
-    return per_part.join(means, FLOW_ID).select(*FLOW_ID, "delays", r6("mean_delay").alias("mean_delay"))
+    return per_part.join(means, FLOW_ID).select(*FLOW_ID, "part", "delays", r6("mean_delay").alias("mean_delay"))
 
 
 @query("live_delay_mean", sql("placed", """
@@ -165,15 +175,20 @@ def _(spark, sf):
     return label_by_ip(flows, ATTACKERS, default).select(*FLOW_ID, "label").join(by_table, FLOW_ID)
 
 
-_SIGNED = """signed AS (SELECT *, concat_ws('_', src_ip, dst_ip, coalesce(src_port, 0)::VARCHAR, coalesce(dst_port, 0)::VARCHAR,
+def _signed(name: str, source: str) -> str:
+    return f"""{name} AS (SELECT *, concat_ws('_', src_ip, dst_ip, coalesce(src_port, 0)::VARCHAR, coalesce(dst_port, 0)::VARCHAR,
   protocol) AS presence_key, concat_ws('_', src_ip, dst_ip, coalesce(src_port, 0)::VARCHAR, coalesce(dst_port, 0)::VARCHAR,
-  protocol, strftime(make_timestamp(first_seen_ms * 1000), '%Y-%m-%d %H:%M:%S.%g')) AS feature_key FROM flows)"""
+  protocol, strftime(make_timestamp(first_seen_ms * 1000), '%Y-%m-%d %H:%M:%S.%g')) AS feature_key FROM {source})"""
+
+
+_SIGNED = _signed("signed", "flows")
 
 
 def signed(flows):
+    ends = {"src_ip": normalize_ip("src_ip"), "dst_ip": normalize_ip("dst_ip")}
     return flows.withColumns({
-        "presence_key": flow_signature(),
-        "feature_key": flow_signature(first_seen=format_ts_ms("first_seen_ms"))})
+        "presence_key": flow_signature(**ends),
+        "feature_key": flow_signature(**ends, first_seen=format_ts_ms("first_seen_ms"))})
 
 
 @query("flow_signature", sql("flows", "SELECT flow_key, flow_seq, presence_key, feature_key FROM signed", _SIGNED))
@@ -403,9 +418,21 @@ def _(spark, sf):
 
 # ---- comparison and set operations
 
-_SECOND = """second AS (SELECT * REPLACE (bytes + CASE WHEN first_packet_id % 11 = 0 THEN 1 ELSE 0 END AS bytes,
-  CASE WHEN first_packet_id % 13 = 0 THEN mean_packet_length * (1 + 1e-9::DOUBLE) ELSE mean_packet_length END
-    AS mean_packet_length) FROM signed WHERE first_packet_id % 17 <> 0)"""
+_RESPELLED = """SELECT * REPLACE (CASE src_ip WHEN '203.0.113.9' THEN '2001:db8::9' ELSE src_ip END AS src_ip,
+  CASE dst_ip WHEN '203.0.113.9' THEN '2001:db8::9' ELSE dst_ip END AS dst_ip) FROM"""
+_TOOLS = (f"""one AS ({_RESPELLED} (SELECT * FROM flows UNION ALL
+  SELECT * REPLACE (bytes + 7 AS bytes, first_packet_id + 1000000000000 AS first_packet_id) FROM flows
+  WHERE first_packet_id % 29 = 0))""", f"""two AS ({_RESPELLED} (
+  SELECT * REPLACE (bytes + CASE WHEN first_packet_id % 11 = 0 THEN 1 ELSE 0 END AS bytes,
+    CASE WHEN first_packet_id % 13 = 0 THEN mean_packet_length * (1 + 1e-9::DOUBLE) ELSE mean_packet_length END
+      AS mean_packet_length)
+  FROM flows WHERE first_packet_id % 17 <> 0 AND (coalesce(src_port, 0) + coalesce(dst_port, 0)) % 11 <> 3 UNION ALL
+  SELECT * REPLACE (bytes + 5 AS bytes, first_packet_id + 1000000000000 AS first_packet_id) FROM flows
+  WHERE first_packet_id % 19 = 0 UNION ALL
+  SELECT * REPLACE ('198.51.100.1' AS dst_ip) FROM flows WHERE first_packet_id % 23 = 0))""",
+    _signed("first", "one"), _signed("second", "two"))
+_LAST = tuple(f"""{name}_last AS (SELECT * FROM {name} QUALIFY row_number() OVER (
+  PARTITION BY feature_key ORDER BY first_packet_id DESC) = 1)""" for name in ("first", "second"))
 COMPARED = ["bytes", "packet_count", "duration_ms", "total_bytes_upstream", "total_bytes_downstream",
             "total_packets_upstream", "total_packets_downstream", "min_packet_length", "max_packet_length",
             "mean_packet_length", "stddev_packet_length", "bytes_per_second", "packets_per_second",
@@ -414,8 +441,8 @@ COMPARED = ["bytes", "packet_count", "duration_ms", "total_bytes_upstream", "tot
 
 
 def _two_tools(spark, sf):
-    flows = signed(stored_flows(spark, sf))
-    return flows, second_tool(flows)
+    flows = stored_flows(spark, sf)
+    return signed(first_tool(flows)), signed(second_tool(flows))
 
 
 @query("flow_presence_diff", sql("flows", """
@@ -423,32 +450,34 @@ SELECT total_a, total_b, missing_in_b, missing_in_a, round(missing_in_b / total_
   100 - round(missing_in_b / total_a * 100, 2) AS success_a_percent,
   round(missing_in_a / total_b * 100, 2) AS missing_in_a_percent,
   100 - round(missing_in_a / total_b * 100, 2) AS success_b_percent
-FROM (SELECT (SELECT count(DISTINCT feature_key) FROM signed) AS total_a,
-  (SELECT count(DISTINCT feature_key) FROM second) AS total_b,
-  (SELECT count(*) FROM (SELECT feature_key FROM signed EXCEPT SELECT feature_key FROM second)) AS missing_in_b,
-  (SELECT count(*) FROM (SELECT feature_key FROM second EXCEPT SELECT feature_key FROM signed)) AS missing_in_a)""",
-    _SIGNED, _SECOND))
+FROM (SELECT (SELECT count(DISTINCT presence_key) FROM first) AS total_a,
+  (SELECT count(DISTINCT presence_key) FROM second) AS total_b,
+  (SELECT count(*) FROM (SELECT presence_key FROM first EXCEPT SELECT presence_key FROM second)) AS missing_in_b,
+  (SELECT count(*) FROM (SELECT presence_key FROM second EXCEPT SELECT presence_key FROM first)) AS missing_in_a)""",
+    *_TOOLS))
 def _(spark, sf):
     a, b = _two_tools(spark, sf)
-    return compare.flow_presence_diff(a, b, "feature_key")
+    return compare.flow_presence_diff(a, b, "presence_key")
 
 
 @query("key_except", sql("flows", """
-SELECT feature_key, 'only_a' AS side FROM (SELECT feature_key FROM signed EXCEPT SELECT feature_key FROM second)
+SELECT presence_key, 'only_a' AS side FROM (SELECT presence_key FROM first EXCEPT SELECT presence_key FROM second)
 UNION ALL
-SELECT feature_key, 'only_b' FROM (SELECT feature_key FROM second EXCEPT SELECT feature_key FROM signed)""",
-    _SIGNED, _SECOND))
+SELECT presence_key, 'only_b' FROM (SELECT presence_key FROM second EXCEPT SELECT presence_key FROM first)""", *_TOOLS))
 def _(spark, sf):
     a, b = _two_tools(spark, sf)
-    return compare.key_except(a, b, "feature_key")
+    return compare.key_except(a, b, "presence_key")
 
 
 @query("diff_samples", sql("flows", """
-SELECT feature_key, 'only_a' AS side FROM (SELECT feature_key FROM signed EXCEPT SELECT feature_key FROM second)
-ORDER BY feature_key LIMIT 20""", _SIGNED, _SECOND))
+(SELECT presence_key, 'only_a' AS side FROM (SELECT presence_key FROM first EXCEPT SELECT presence_key FROM second)
+  ORDER BY presence_key LIMIT 20)
+UNION ALL
+(SELECT presence_key, 'only_b' FROM (SELECT presence_key FROM second EXCEPT SELECT presence_key FROM first)
+  ORDER BY presence_key LIMIT 20)""", *_TOOLS))
 def _(spark, sf):
     a, b = _two_tools(spark, sf)
-    return compare.diff_samples(compare.key_except(a, b, "feature_key"), "feature_key")
+    return compare.diff_samples(compare.key_except(a, b, "presence_key"), "presence_key")
 
 
 def _clean(side: str, m: str) -> str:
@@ -457,24 +486,24 @@ def _clean(side: str, m: str) -> str:
 
 _CELLS = "cells AS (" + " UNION ALL ".join(
     f"SELECT feature_key, '{m}' AS metric, {_clean('a', m)} AS a, {_clean('b', m)} AS b "
-    f"FROM signed a JOIN second b USING (feature_key)" for m in COMPARED) + ")"
+    f"FROM first_last a JOIN second_last b USING (feature_key)" for m in COMPARED) + ")"
 _DIFFERS = ("a <> b AND (a = 0 OR b = 0 OR abs(a - b) / greatest(abs(a), abs(b)) * 100 > 0.0001)")
 
 
 @query("feature_diff", sql("flows", f"""
-SELECT feature_key, metric, a, b, round(a - b, 4) AS difference FROM cells WHERE {_DIFFERS}""", _SIGNED, _SECOND, _CELLS))
+SELECT feature_key, metric, a, b, round(a - b, 4) AS difference FROM cells WHERE {_DIFFERS}""", *_TOOLS, *_LAST, _CELLS))
 def _(spark, sf):
     a, b = _two_tools(spark, sf)
-    return compare.feature_diff(a, b, "feature_key", COMPARED)
+    return compare.feature_diff(a, b, "feature_key", COMPARED, "first_packet_id")
 
 
 @query("feature_diff_summary", sql("flows", f"""
 SELECT metric, count(*) AS compared, count(*) FILTER ({_DIFFERS}) AS differences,
   round(count(*) FILTER ({_DIFFERS}) / count(*) * 100, 2) AS percent FROM cells GROUP BY metric""",
-    _SIGNED, _SECOND, _CELLS))
+    *_TOOLS, *_LAST, _CELLS))
 def _(spark, sf):
     a, b = _two_tools(spark, sf)
-    return compare.feature_diff_summary(a, b, "feature_key", COMPARED)
+    return compare.feature_diff_summary(a, b, "feature_key", COMPARED, "first_packet_id")
 
 
 @query("packet_positional_diff", sql("packets", """

@@ -139,14 +139,34 @@ def labelled_flows(flows: DataFrame) -> DataFrame:
     })
 
 
+# Fixed values of the fixture: the address the second tool alone sees, and one server as each tool spells it.
+ONLY_B, SPELLED, SPELLED_A, SPELLED_B = "198.51.100.1", "203.0.113.9", "2001:db8::9", "2001:0DB8:0:0:0:0:0:9"
+
+
+def _respelled(flows: DataFrame, spelling: str) -> DataFrame:
+    return flows.withColumns({c: F.when(F.col(c) == SPELLED, spelling).otherwise(F.col(c)) for c in ("src_ip", "dst_ip")})
+
+
+def first_tool(flows: DataFrame) -> DataFrame:
+    """One tool's flows: some are written twice, the later row with more bytes."""
+    again = flows.where("first_packet_id % 29 = 0").withColumns({
+        "bytes": F.col("bytes") + 7, "first_packet_id": F.col("first_packet_id") + 10 ** 12})
+    return _respelled(flows.unionByName(again), SPELLED_A)
+
+
 def second_tool(flows: DataFrame) -> DataFrame:
-    """Another tool's flows: some missing, some with one byte more, some equal within tolerance."""
+    """Another tool's flows: some missing, some ports missing altogether, some flows of its own, some written twice, some with one byte more, some equal
+    within tolerance; one server is spelled another way."""
     pid = F.col("first_packet_id")
     mean = F.col("mean_packet_length")
-    return flows.where(pid % 17 != 0).withColumns({
+    ports = F.coalesce("src_port", F.lit(0)) + F.coalesce("dst_port", F.lit(0))
+    kept = flows.where((pid % 17 != 0) & (ports % 11 != 3)).withColumns({
         "bytes": F.col("bytes") + F.when(pid % 11 == 0, 1).otherwise(0),
         "mean_packet_length": F.when(pid % 13 == 0, mean * (1 + 1e-9)).otherwise(mean),
     })
+    again = flows.where(pid % 19 == 0).withColumns({"bytes": F.col("bytes") + 5, "first_packet_id": pid + 10 ** 12})
+    own = flows.where(pid % 23 == 0).withColumn("dst_ip", F.lit(ONLY_B))
+    return _respelled(kept.unionByName(again).unionByName(own), SPELLED_B)
 
 
 def metric_samples(events: DataFrame) -> DataFrame:

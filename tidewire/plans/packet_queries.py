@@ -281,13 +281,13 @@ def _(spark, sf):
 
 
 @query("packet_delta", """
-SELECT event_id AS packet_id, coalesce(ts_ms - lag(ts_ms) OVER (ORDER BY event_id), 0) AS delta_ms,
-  greatest(coalesce(ts_ms - lag(ts_ms) OVER (ORDER BY event_id), 0), 1) AS replay_ms
-FROM (SELECT event_id, epoch_us(ts) // 1000 AS ts_ms FROM events)""")
+SELECT idx, coalesce(ts_ms - lag(ts_ms) OVER (ORDER BY idx), 0) AS delta_ms,
+  greatest(coalesce(ts_ms - lag(ts_ms) OVER (ORDER BY idx), 0), 1) AS replay_ms
+FROM (SELECT event_id * 7 AS idx, epoch_us(ts) // 1000 AS ts_ms FROM events)""")
 def _(spark, sf):
-    rows = packets(spark, sf).select(F.lit("capture").alias("file"), "packet_id", "ts_ms")
-    return rollups.packet_delta(rows, "file", "packet_id", slice_rows=5_000).select(
-        "packet_id", "delta_ms", "replay_ms")
+    # Numbers with gaps, so that no slice ends with its last possible number.
+    rows = packets(spark, sf).select(F.lit("capture").alias("file"), (F.col("packet_id") * 7).alias("idx"), "ts_ms")
+    return rollups.packet_delta(rows, "file", "idx", slice_rows=5_000).select("idx", "delta_ms", "replay_ms")
 
 
 @query("order_packets", sql("packets", "SELECT ts_ms, packet_id, length FROM packets ORDER BY ts_ms, packet_id"))
@@ -309,10 +309,14 @@ def _(spark, sf):
 
 @query("timestamp_regression", sql("keyed", """
 SELECT * FROM (SELECT packet_id, flow_key, packet_id % 4 AS part, ts_ms,
-  lag(ts_ms) OVER (PARTITION BY packet_id % 4, flow_key ORDER BY packet_id) AS previous FROM keyed)
+  lag(ts_ms) OVER (PARTITION BY packet_id % 4, flow_key ORDER BY packet_id) AS previous
+  FROM (SELECT * REPLACE (ts_ms - CASE WHEN packet_id % 13 = 0 THEN 864000000 ELSE 0 END AS ts_ms) FROM keyed))
 WHERE ts_ms < previous"""))
 def _(spark, sf):
-    rows = packets(spark, sf).select("packet_id", "flow_key", (F.col("packet_id") % 4).alias("part"), "ts_ms")
+    # Every thirteenth packet carries a time ten days too early.
+    shown = F.col("ts_ms") - F.when(F.col("packet_id") % 13 == 0, 864_000_000).otherwise(0)
+    rows = packets(spark, sf).select(
+        "packet_id", "flow_key", (F.col("packet_id") % 4).alias("part"), shown.alias("ts_ms"))
     return rollups.regressions(rows, ["part", "flow_key"], "packet_id", "ts_ms", strict=False, slice_rows=5_000)
 
 

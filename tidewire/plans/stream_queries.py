@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewire.operators.ml_models import flow_verdict
 from tidewire.plans.checks import sql
 from tidewire.plans.flow_queries import _ENRICHED, FLOW_ID
 from tidewire.plans.inputs import (
@@ -108,10 +107,9 @@ def _(spark, sf):
     source = shared_folder(spark, "samples")
     metric_samples(table(spark, sf, "events")).repartition(4).write.parquet(source)
     out, cp = shared_folder(spark, "metrics"), shared_folder(spark, "cp")
-    samples = arriving(spark, source, 2)
-    # Files come in no time order here: the lateness covers the whole table.
-    jobs.run_available(jobs.stream_metrics(samples, "1 hour", "10000 days"), out, cp, mode="update")
-    return jobs.latest(spark, out, ["type", "timestamp"]).withColumn("rate", r6("rate"))
+    # Files come in no time order here, so most samples are late.
+    jobs.run_available(arriving(spark, source, 2), out, cp, write=jobs.write_metric_sums("1 hour"))
+    return jobs.read_metrics(spark, out).withColumn("rate", r6("rate"))
 
 
 @query("stream_malformed", sql("kinds", """
@@ -135,14 +133,15 @@ def _flow_files(spark, sf):
 
 
 @query("stream_enrich_score", sql("enriched", """
-SELECT flow_key, flow_seq, src_country, dst_org, CASE WHEN ((bytes * 31 + packet_count * 17) % 1000) >= 500 THEN 'MALICIOUS'
-  ELSE 'BENIGN' END AS label FROM enriched""", _ENRICHED))
+SELECT flow_key, flow_seq, src_country, dst_org, CASE WHEN bytes % 7 = 0 THEN 'UNKNOWN'
+  WHEN ((bytes * 31 + packet_count * 17) % 1000) >= 500 THEN 'MALICIOUS' ELSE 'BENIGN' END AS label
+FROM enriched""", _ENRICHED))
 def _(spark, sf):
     out, cp = shared_folder(spark, "scored"), shared_folder(spark, "cp")
 
     def score(rows):
         probability = ((F.col("bytes") * 31 + F.col("packet_count") * 17) % 1000) / 1000.0
-        return rows.withColumn("label", flow_verdict(probability, F.col("protocol")))
+        return rows.withColumn("probability", F.when(F.col("bytes") % 7 != 0, probability))
 
     write = jobs.enrich_and_score(reference_tables(spark), score)
     jobs.run_available(arriving(spark, _flow_files(spark, sf), 2), out, cp, write=write)
@@ -161,20 +160,7 @@ def _(spark, sf):
 def _(spark, sf):
     source = file_folder(packets(spark, sf), 4)
     out, cp = shared_folder(spark, "sink"), shared_folder(spark, "cp")
-    # The sink fails once after its write: the batch is replayed and replaces what it left behind.
-    failed = []
-
-    def write(batch, path):
-        jobs.overwrite_parquet(batch.select("packet_id", "ts_ms", "length"), path)
-        if not failed:
-            failed.append(path)
-            raise RuntimeError("write reported as failed")
-
-    try:
-        jobs.run_available(arriving(spark, source, 2), out, cp, write=write)
-    except Exception:
-        pass
-    jobs.run_available(arriving(spark, source, 2), out, cp, write=write)
+    jobs.run_available(arriving(spark, source, 2).select("packet_id", "ts_ms", "length"), out, cp)
     return jobs.read_batches(spark, out).select("packet_id", "ts_ms", "length")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,12 +9,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewire.functions.decode import decode_frames, ip_packets, quarantine_malformed
 from tidewire.operators import enrich
-from tidewire.operators.metrics import metric_rows
+from tidewire.operators.ml_models import flow_verdict
+from tidewire.operators.metrics import finish_sums, window_sums
 from tidewire.sources.readers import envelope_packets
 
 
-log = logging.getLogger(__name__)
-
 
 def batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
@@ -72,9 +70,19 @@ def split_malformed(good_path: str, bad_path: str) -> Callable[[DataFrame, int],
     return run
 
 
-def stream_metrics(samples: DataFrame, window: str = "1 second", lateness: str = "0 seconds") -> DataFrame:
-    """Metric rows per window, updated while a window is open."""
-    return metric_rows(samples.withWatermark("ts", lateness), window)
+def write_metric_sums(window: str = "1 second") -> Callable[[DataFrame, str], None]:
+    """A store for a stream of samples: each batch leaves its sums per window.
+
+    ``read_metrics`` adds them up. No window is ever closed and none is kept in state, so a sample counts
+    however late it comes."""
+    def write(batch: DataFrame, path: str) -> None:
+        overwrite_parquet(window_sums(batch, window), path)
+    return write
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Metric rows per window of all batches stored so far."""
+    return finish_sums(read_batches(spark, path).drop("batch_id"))
 
 
 def stream_rollup(flows: DataFrame, *keys: str) -> DataFrame:
@@ -86,19 +94,11 @@ def enrich_and_score(tables: dict[str, DataFrame], score: Callable[[DataFrame],
                      ) -> Callable[[DataFrame, str], None]:
     """Enrich a batch of closed flows, label it and store it.
 
-    If scoring fails the labels read UNKNOWN; if enrichment fails the batch is stored as it came,
-    without labels. What failed is logged; a failing store fails the batch, which is then replayed."""
-    def enriched(batch: DataFrame) -> DataFrame:
-        return enrich.enrich_flows(batch, tables["geo"], tables["asn"], tables["rdns"], tables["whois"])
-
+    ``score`` adds ``probability``, null for a flow it cannot judge: that flow alone reads UNKNOWN, and a flow
+    without facts N/A. Any other failure, of a task, a table or the store, fails the batch, which is then replayed:
+    no flow is stored with less than it should have."""
     def write(batch: DataFrame, path: str) -> None:
-        try:
-            return overwrite_parquet(score(enriched(batch)), path)
-        except Exception:
-            log.exception("scoring failed")
-        try:
-            return overwrite_parquet(enriched(batch).withColumn("label", F.lit("UNKNOWN")), path)
-        except Exception:
-            log.exception("enrichment failed")
-        overwrite_parquet(batch, path)
+        facts = enrich.enrich_flows(batch, tables["geo"], tables["asn"], tables["rdns"], tables["whois"])
+        scored = score(facts)
+        overwrite_parquet(scored.withColumn("label", flow_verdict(F.col("probability"), F.col("protocol"))), path)
     return write

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewire.operators.ordered import distribution, exact_percentiles
+from tidewire.operators.ordered import distribution, exact_percentiles, percentiles_of, value_counts
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -50,13 +50,9 @@ def classification_report(df: DataFrame, label: str, predicted: str) -> DataFram
     )
 
 
-def _scored(df: DataFrame, label: str, score: str) -> DataFrame:
-    return distribution(df, score, {"pos": F.col(label).cast("long")})
-
-
 def roc_pr_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve and average precision, exactly; NaN when there is one class only."""
-    d = _scored(df, label, score)
+    d = distribution(df, score, {"pos": F.col(label).cast("long")})
     neg, neg_total = F.col("cnt") - F.col("pos"), F.col("total_cnt") - F.col("total_pos")
     neg_before = F.col("cum_cnt") - F.col("cum_pos") - neg
     flagged = F.col("total_cnt") - (F.col("cum_cnt") - F.col("cnt"))
@@ -79,32 +75,32 @@ THRESHOLD_PERCENTILES = [80, 85, 90, 95, 97, 98, 99, 99.5, 99.9]
 def f1_by_threshold(df: DataFrame, label: str, score: str, steps: int = 200, inclusive: bool = True) -> DataFrame:
     """F1 of "score >= thr" (``inclusive``) or "score > thr" for each candidate threshold.
 
-    Candidates are nine percentiles and ``steps`` evenly spaced scores. Rows are counted into the
-    gaps between candidates once; all candidates are then judged from those few counts."""
-    d = _scored(df, label, score)
-    ends = df.agg(F.min(F.col(score).cast("double")).alias("lo"), F.max(F.col(score).cast("double")).alias("hi"))
+    Candidates are nine percentiles and ``steps`` evenly spaced scores. Rows are counted per score once, and
+    scores into the gaps between candidates; all candidates are then judged from those few counts."""
+    counts = value_counts(df, score, {"pos": F.col(label).cast("long")})
+    ends = counts.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
     even = ends.select(F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(steps - 1)),
         lambda i: F.when(i == steps - 1, F.col("hi"))
         .otherwise(F.col("lo") + i * ((F.col("hi") - F.col("lo")) / (steps - 1))))).alias("thr"))
-    marks = exact_percentiles(df, score, [p / 100 for p in THRESHOLD_PERCENTILES])
+    marks = percentiles_of(counts, score, [p / 100 for p in THRESHOLD_PERCENTILES])
     candidates = even.unionByName(marks.select(F.col("value").alias("thr"))).agg(
         F.array_sort(F.collect_set("thr")).alias("t"))
     below = F.filter(F.col("t"), lambda t: (t <= F.col(score)) if inclusive else (t < F.col(score)))
     gaps = (
-        d.withColumn("t", candidates.scalar()).groupBy(F.size(below).alias("gap"))
-        .agg(F.sum("cnt").alias("cnt"), F.sum("pos").alias("pos"), F.max("total_pos").alias("total_pos"))
+        counts.withColumn("t", candidates.scalar()).groupBy(F.size(below).alias("gap"))
+        .agg(F.sum("cnt").alias("cnt"), F.sum("pos").alias("pos"))
     )
     # At most ``steps`` + 10 rows from here on.
     rows = candidates.select(F.posexplode("t").alias("gap", "thr")).select(
-        (F.col("gap") + 1).alias("gap"), "thr", *[F.lit(0).cast("long").alias(c) for c in ("cnt", "pos", "total_pos")])
+        (F.col("gap") + 1).alias("gap"), "thr", *[F.lit(0).cast("long").alias(c) for c in ("cnt", "pos")])
     above = Window.orderBy(F.col("gap").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     everywhere = Window.orderBy(F.col("gap").desc()).rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
     judged = (
-        rows.unionByName(gaps.select("gap", F.lit(None).cast("double").alias("thr"), "cnt", "pos", "total_pos"))
+        rows.unionByName(gaps.select("gap", F.lit(None).cast("double").alias("thr"), "cnt", "pos"))
         .select("thr", F.sum("cnt").over(above).alias("flagged"), F.sum("pos").over(above).alias("tp"),
-                F.max("total_pos").over(everywhere).alias("total_pos"))
+                F.sum("pos").over(everywhere).alias("total_pos"))
         .where(F.col("thr").isNotNull())
     )
     fp, fn = F.col("flagged") - F.col("tp"), F.col("total_pos") - F.col("tp")

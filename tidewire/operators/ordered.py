@@ -11,6 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewire.session import materialize
+
+#: Distinct values per slice that ``cumulate`` aims at, and the bounds of its number of slices.
+SLICE_VALUES, MIN_SLICES, MAX_SLICES = 250_000, 128, 8_192
+CUT_RUN = 64
+
 
 def sliced_running_sum(df: DataFrame, keys: list[str], slice_col: str, order: list[str],
                        values: dict[str, str | Column], inclusive: bool = True) -> DataFrame:
@@ -53,21 +59,25 @@ def time_rank(df: DataFrame, keys: list[str], ts: str, row_id: str, slice_ms: in
         *df.columns, (F.col("__before") + F.col("__r")).cast("long").alias(out))
 
 
-def distribution(df: DataFrame, value: str, sums: dict[str, Column] | None = None,
-                 keys: list[str] | None = None, slices: int = 128) -> DataFrame:
-    """Distinct values with their counts and cumulative counts, exactly and without a global sort.
-
-    Returns ``keys, value, cnt, cum_cnt, total_cnt`` and, for each extra sum ``s``, ``s, cum_s,
-    total_s``. Equal values are counted before the shuffle. The distinct values of a key are cut at
-    approximate quantiles (a bounded sketch), so every slice is of like size whatever the shape of
-    the distribution; a wrong cut costs balance, never correctness."""
+def value_counts(df: DataFrame, value: str, sums: dict[str, Column] | None = None,
+                 keys: list[str] | None = None) -> DataFrame:
+    """Distinct values with their number ``cnt`` and further sums, written once: the only read of ``df``."""
     keys = keys or []
-    sums = {"cnt": F.lit(1), **(sums or {})}
-    counts = (
+    return materialize(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias(value))
-        .agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    )
+        .agg(*[F.sum(c).alias(n) for n, c in {"cnt": F.lit(1), **(sums or {})}.items()]), "value-counts")
+
+
+def cumulate(counts: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """Add to ``value_counts`` the cumulative and total sums ``cum_s, total_s`` of each sum, without a global sort.
+
+    The distinct values of a key are cut at approximate quantiles (a bounded sketch), so every slice is
+    of like size whatever the shape of the distribution; a wrong cut costs balance, never correctness. There are
+    as many slices as values need: about ``SLICE_VALUES`` in each."""
+    keys = keys or []
+    sums = [c for c in counts.columns if c not in (*keys, value)]
+    slices = min(MAX_SLICES, max(MIN_SLICES, counts.count() // SLICE_VALUES))
     facts = counts.groupBy(*keys).agg(
         F.percentile_approx(value, [i / slices for i in range(1, slices)], 16 * slices).alias("__cuts"),
         *[F.sum(n).alias(f"total_{n}") for n in sums])
@@ -76,17 +86,33 @@ def distribution(df: DataFrame, value: str, sums: dict[str, Column] | None = Non
     else:
         names = ["__cuts", *[f"total_{n}" for n in sums]]
         joined = counts.withColumn("__f", facts.select(F.struct(*names)).scalar()).select("*", "__f.*").drop("__f")
-    sliced = joined.withColumn(
-        "__slice", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    # Cuts below the value: whole runs of cuts first, then those of one run.
+    runs = F.size(F.filter(F.sequence(F.lit(1), F.lit((slices - 1) // CUT_RUN)),
+                           lambda i: F.get("__cuts", i * CUT_RUN - 1) < F.col(value)))
+    joined = joined.withColumn("__run", runs * CUT_RUN)
+    in_run = F.size(F.filter(F.slice("__cuts", F.col("__run") + 1, F.lit(CUT_RUN)), lambda c: c < F.col(value)))
+    sliced = joined.withColumn("__slice", F.col("__run") + in_run).drop("__cuts", "__run")
     return sliced_running_sum(
         sliced, keys, "__slice", [value], {f"cum_{n}": n for n in sums}).drop("__slice")
 
 
-def exact_percentiles(df: DataFrame, value: str, probs: list[float], keys: list[str] | None = None,
-                      slices: int = 128) -> DataFrame:
+def distribution(df: DataFrame, value: str, sums: dict[str, Column] | None = None,
+                 keys: list[str] | None = None) -> DataFrame:
+    """Distinct values with their counts and cumulative counts, exactly.
+
+    Returns ``keys, value, cnt, cum_cnt, total_cnt`` and, for each extra sum ``s``, ``s, cum_s, total_s``."""
+    return cumulate(value_counts(df, value, sums, keys), value, keys)
+
+
+def exact_percentiles(df: DataFrame, value: str, probs: list[float], keys: list[str] | None = None) -> DataFrame:
     """Percentiles by linear interpolation between order statistics: rows ``keys, p, value``."""
+    return percentiles_of(value_counts(df, value, keys=keys), value, probs, keys)
+
+
+def percentiles_of(counts: DataFrame, value: str, probs: list[float], keys: list[str] | None = None) -> DataFrame:
+    """``exact_percentiles`` of counted values."""
     keys = keys or []
-    ranked = distribution(df, value, keys=keys, slices=slices)
+    ranked = cumulate(counts.select(*keys, value, "cnt"), value, keys)
     points = F.array(*[F.struct(F.lit(float(p)).alias("p"),
                                 (F.lit(float(p)) * (F.col("total_cnt") - 1)).alias("pos")) for p in probs])
     first, end = F.col("cum_cnt") - F.col("cnt"), F.col("cum_cnt")

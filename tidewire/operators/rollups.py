@@ -145,13 +145,13 @@ SCORE_PERCENTILES = [1, 5, 10, 25, 50, 75, 90, 95, 99]
 def score_percentiles(df: DataFrame, score: str) -> DataFrame:
     """Exact percentiles and minimum, mean, median, maximum, population deviation: ``name, value``."""
     marks = exact_percentiles(df, score, [p / 100 for p in SCORE_PERCENTILES])
-    named = marks.select(F.concat(F.lit("p"), F.round(F.col("p") * 100).cast("int").cast("string")).alias("name"),
-                         "value")
-    median = marks.where("p = 0.5").select(F.lit("median").alias("name"), "value")
+    name = F.concat(F.lit("p"), F.round(F.col("p") * 100).cast("int").cast("string"))
+    names = F.when(F.col("p") == 0.5, F.array(name, F.lit("median"))).otherwise(F.array(name))
+    named = marks.select(F.explode(names).alias("name"), "value")
     stats = df.agg(F.min(score).alias("min"), F.avg(score).alias("mean"), F.max(score).alias("max"),
                    F.stddev_pop(score).alias("std"))
     rows = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in ("min", "mean", "max", "std")])
-    return named.unionByName(median).unionByName(stats.select(F.explode(rows).alias("r")).select("r.*"))
+    return named.unionByName(stats.select(F.explode(rows).alias("r")).select("r.*"))
 
 
 def ingest_counters(packets: DataFrame, bucket_ms: int = 1000, queued: Column | None = None) -> DataFrame:

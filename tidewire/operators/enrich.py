@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewire.functions.addresses import ip_sort_key, is_private_ip, is_valid_ip
 from tidewire.functions.text import parse_whois_org
+from tidewire.session import materialize
 
 INVALID, PRIVATE, MISSING = "Invalid IP", "Private IP", "N/A"
 
@@ -99,7 +100,8 @@ def enrich_whois_org(ips_with_asn: DataFrame, whois: DataFrame, double_parse: bo
 def endpoint_facts(flows: DataFrame, geo: DataFrame, asn: DataFrame, rdns: DataFrame,
                    whois: DataFrame) -> DataFrame:
     """One row per distinct endpoint address: ``ip, country, domain, org``."""
-    ips = flows.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).where("ip is not null").distinct()
+    ips = materialize(
+        flows.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).where("ip is not null").distinct(), "addresses")
     org = enrich_whois_org(enrich_org(ips, asn), whois)
     return (
         enrich_country(ips, geo)

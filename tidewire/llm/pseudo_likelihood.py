@@ -2,14 +2,16 @@
 
 A small network, trained in numpy inside tasks, predicts every word of a text from the two words on either side:
 each place of the window has its own embedding table, their sum goes through tanh, and a softmax in two steps
-(one of 32 groups, then one of the 32 members of the group) gives the word. Words are the VOCABULARY most
-frequent of the corpus; others fall into classes by their length. The score of a document is the sum of
-the conditional log-probabilities of its words.
+(one of 32 groups, then one of the 32 members of the group) gives the word's class. The VOCABULARY most frequent
+words are classes of their own; others share a class with those of their length, and a third step gives the word
+itself: its share in the counts of its class. So every word has a probability of its own. The score of a
+document is the sum of the conditional log-probabilities of its words.
 
-Counts for the vocabulary are taken from all words of all documents. Training passes over all documents once:
+Counts are taken from all words of all documents and stay a table, joined to the words outside the vocabulary;
+a word that the counts lack counts as one seen once. Training passes over all documents once:
 they are divided into ROUNDS by hash; in a round every task takes gradient steps on its share from the
 common parameters, and the parameters of the tasks are averaged, weighted by their words. Scoring reads all again.
-What meets on the driver is one set of parameters (fixed size); what the tasks send grows with the corpus.
+What meets on the driver is one set of parameters (fixed size); counts and what the tasks send grow with the corpus.
 
 Defined results: a null or empty text has score 0 and no words; a word alone is predicted from the edge of the text; null
 and repeated ids are rows of their own; an empty table gives an empty result; extra columns are not carried."""
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewire.llm.common import words_of
+from tidewire.session import materialize
 
 GROUPS = MEMBERS = 32
 CLASSES = GROUPS * MEMBERS
@@ -37,10 +40,11 @@ ROUNDS = 2
 BATCH = 8192
 RATE = 0.5
 FLUSH = 200_000
+RARE_AT_ONCE = 1_000_000
 
 
-def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> dict[bytes, int]:
-    """The most frequent words of all documents with their classes; frequent ones are spread over the groups."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``word, n`` of all words of all documents, written once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -60,10 +64,26 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> d
             yield flush()
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "word binary, n long")
-    top = rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
+    return materialize(rows.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
+    """The most frequent words with their classes; frequent ones are spread over the groups."""
+    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
     return {bytes(row["word"]): i for i, row in enumerate(top)}
 
 
+def class_totals(counts: DataFrame, known: dict[bytes, int]) -> np.ndarray:
+    """Counts of all words outside the vocabulary, by length class."""
+    known_words = counts.sparkSession.createDataFrame([(bytearray(w),) for w in known], "word binary")  # of fixed size
+    rows = counts.join(known_words, "word", "left_anti").groupBy(
+        F.least(F.octet_length("word"), F.lit(LENGTHS)).alias("length")).agg(F.sum("n").alias("n")).collect()
+    totals = np.zeros(LENGTHS, np.int64)
+    for row in rows:
+        totals[row["length"] - 1] = row["n"]
+    return totals
+
+
 def classes_of(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     get = known.get
     return np.array([c if (c := get(w)) is not None else VOCABULARY + min(len(w), LENGTHS) - 1 for w in words], np.int64)
@@ -191,10 +211,10 @@ def _train_round(docs: DataFrame, known: dict[bytes, int], flat: np.ndarray, tur
     return out
 
 
-def fit(docs: DataFrame, text: str = "text") -> tuple[dict[bytes, int], np.ndarray]:
-    """Vocabulary and parameters from all of ``docs``."""
+def fit(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> tuple[dict[bytes, int], np.ndarray]:
+    """Vocabulary and parameters from all of ``docs``; ``counts``: their ``word_counts``, if at hand."""
     rows = docs.select(F.col(text).alias("text"))
-    known = vocabulary(rows)
+    known = vocabulary(word_counts(rows) if counts is None else counts)
     flat = Network.fresh().flat
     for turn in range(ROUNDS):
         flat = _train_round(rows, known, flat, turn)
@@ -207,17 +227,20 @@ def score_words(classes: np.ndarray, net: Network) -> np.ndarray:
                            for i in range(0, len(classes), BATCH)]) if len(classes) else np.empty(0, np.float32)
 
 
-def score_documents(docs: DataFrame, known: dict[bytes, int], flat: np.ndarray, text: str = "text",
-                    row_id: str = "doc_id") -> DataFrame:
-    """One row per document: id, ``n_words``, ``log_likelihood`` (sum over its words) and ``per_word``."""
+def _class_scores(docs: DataFrame, known: dict[bytes, int], flat: np.ndarray) -> DataFrame:
+    """Rows of two kinds from one pass over ``row, doc_id, text``: documents with the log-probability of their classes
+    (``word`` null), and words outside the vocabulary with the documents that hold them and how often."""
     shared = docs.sparkSession.sparkContext.broadcast((known, flat))  # of fixed size
+    names = ["row", "doc_id", "n_words", "log_likelihood", "word", "rows", "times"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, flat = shared.value
         net = Network(flat)
         for batch in batches:
+            row_ids, kind = batch.column(0).to_numpy(), batch.column(1).type
             sums, counts = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             held, owners, n_held = [], [], 0
+            rare, rare_owners, rare_counts = [], [], []
 
             def settle() -> None:
                 window, word = np.concatenate([windows(t) for t in held]), np.concatenate(held)
@@ -227,21 +250,65 @@ def score_documents(docs: DataFrame, known: dict[bytes, int], flat: np.ndarray,
                 sums[:] += np.bincount(own, got, batch.num_rows)
                 held.clear(), owners.clear()
 
-            for i, value in enumerate(batch.column(1)):
+            def rare_words() -> pa.RecordBatch:
+                coded = pa.array(rare, pa.binary()).dictionary_encode()
+                pairs = coded.indices.to_numpy().astype(np.int64) * batch.num_rows + np.repeat(rare_owners, rare_counts)
+                pairs, times = np.unique(pairs, return_counts=True)
+                ends = np.append(0, np.cumsum(np.bincount(pairs // batch.num_rows))).astype(np.int32)
+                n = len(coded.dictionary)
+                out = pa.RecordBatch.from_arrays(
+                    [pa.nulls(n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()),
+                     coded.dictionary, pa.ListArray.from_arrays(pa.array(ends), pa.array(row_ids[pairs % batch.num_rows])),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int32)))], names)
+                rare.clear(), rare_owners.clear(), rare_counts.clear()
+                return out
+
+            for i, value in enumerate(batch.column(2)):
                 words = words_of(value.as_py())
                 counts[i] = len(words)
                 if words:
-                    held.append(classes_of(words, known)), owners.append(i)
+                    classes = classes_of(words, known)
+                    held.append(classes), owners.append(i)
                     n_held += len(words)
                     if n_held >= 16 * BATCH:
                         settle()
                         n_held = 0
+                    outside = np.flatnonzero(classes >= VOCABULARY).tolist()
+                    if outside:
+                        rare.extend([words[j] for j in outside])
+                        rare_owners.append(i), rare_counts.append(len(outside))
+                    if len(rare) >= RARE_AT_ONCE:
+                        yield rare_words()
             if held:
                 settle()
+            if rare:
+                yield rare_words()
+            n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), pa.array(np.round(sums, 3)),
-                 pa.array(np.round(sums / np.maximum(counts, 1), 6))], ["doc_id", "n_words", "log_likelihood", "per_word"])
+                [batch.column(0), batch.column(1), pa.array(counts), pa.array(sums), pa.nulls(n, pa.binary()),
+                 pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))], names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("row", "doc_id", "text").mapInArrow(
+        score, f"row long, doc_id {kind}, n_words long, log_likelihood double, word binary, rows array<long>, times array<int>")
 
-    kind = docs.schema[row_id].dataType.simpleString()
-    return docs.select(F.col(row_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        score, f"doc_id {kind}, n_words long, log_likelihood double, per_word double")
+
+def score_documents(docs: DataFrame, known: dict[bytes, int], flat: np.ndarray, text: str = "text",
+                    row_id: str = "doc_id", counts: DataFrame | None = None) -> DataFrame:
+    """One row per document: id, ``n_words``, ``log_likelihood`` (sum over its words) and ``per_word``.
+
+    ``counts``: the ``word_counts`` that give words outside the vocabulary their shares; by default those of ``docs``."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(row_id).alias("doc_id"), F.col(text).alias("text"))
+    counts = word_counts(rows) if counts is None else counts
+    totals = class_totals(counts, known)
+    scored = materialize(_class_scores(rows, known, flat), "class-scores")  # row numbers hold from here on
+    length = F.least(F.octet_length("word"), F.lit(LENGTHS))
+    total = F.element_at(F.array(*[F.lit(float(max(n, 1))) for n in totals.tolist()]), length)
+    share = F.log(F.coalesce(F.col("n"), F.lit(1)) / total).alias("share")
+    rare = scored.where("word IS NOT NULL").select("word", "rows", "times").join(counts, "word", "left").select(
+        share, F.explode(F.arrays_zip("rows", "times")).alias("at"))
+    rare = rare.groupBy(F.col("at.rows").alias("row")).agg(F.sum(F.col("share") * F.col("at.times")).alias("shares"))
+    whole = F.col("log_likelihood") + F.coalesce("shares", F.lit(0.0))
+    return scored.where("word IS NULL").select("row", "doc_id", "n_words", "log_likelihood").join(rare, "row", "left").select(
+        "doc_id", "n_words", F.round(whole, 3).alias("log_likelihood"),
+        F.round(whole / F.greatest("n_words", F.lit(1)), 6).alias("per_word"))

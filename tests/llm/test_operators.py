@@ -335,6 +335,43 @@ def test_near_copies(docs, rows):
     assert {r["doc_id"] for r in kept.collect()} >= {m for m in least.values()}
 
 
+def test_one_row_of_each_component_stays(spark, docs, rows):
+    def sets_of(t):
+        w = [x.lower() for x in words_of(t)]
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    def want_and_got(table, frame):
+        sets, label = [sets_of(r[1]) for r in table], list(range(len(table)))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if a and label[i] != label[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                    label = [label[j] if x == label[i] else x for x in label]
+        parts = defaultdict(list)
+        for i, r in enumerate(table):
+            parts[label[i]].append(r)
+        kept = Counter((r["doc_id"], r["text"]) for r in jaccard_join.keep_one_of_each(frame).collect())
+        for i, part in parts.items():
+            if not sets[i]:
+                assert len(part) == 1
+                continue
+            least = min(part, key=lambda r: (r[0] is None, r[0] or 0))[0]
+            here = {(r[0], r[1]) for r in part}
+            assert sum(n for row, n in kept.items() if row in here) == 1  # texts lie in one component only
+            assert any(row in here and row[0] == least for row in kept)
+        lone = Counter((r[0], r[1]) for i, r in enumerate(table) if not sets[i])
+        assert sum(kept.values()) == len([i for i in parts if sets[i]]) + sum(lone.values())
+        assert all(kept[row] == n for row, n in lone.items())
+
+    want_and_got(rows, docs)
+    rng, table = random.Random(12), []
+    for i in range(40):  # unrelated texts: without an id, with one that repeats, with one of their own
+        words = [f"t{i}w{k}" for k in range(40)]
+        for copy in range(rng.randint(1, 3)):
+            table.append((rng.choice([None, None, 5, 6, 100 + i]), " ".join(words[:40 - copy])))
+    table += [table[0], table[1], (None, ""), (None, ""), (5, None)]
+    want_and_got(table, spark.createDataFrame(table, "doc_id long, text string").repartition(3))
+
+
 def test_large_blocks_are_dealt_as_pairs_of_parts(docs, monkeypatch):
     plain = sorted(map(str, jaccard_join.similar_documents(docs).collect()))
     monkeypatch.setattr(jaccard_join, "PART", 3)

@@ -345,7 +345,8 @@ def common_shingles(described: DataFrame) -> np.ndarray:
 
 
 def similar_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: ``row_key``, id, ``n_shingles``, ``component_id`` (smallest id reachable by links)."""
+    """One row per row of ``docs``: ``row_key``, id, ``n_shingles``, ``component_id`` (smallest id reachable by links) and
+    ``root``, the key of the component: ids can be null or repeated, roots tell components apart (null: no shingle)."""
     rows = docs.select(F.xxhash64(row_id, text).alias("row_key"), F.col(row_id).alias("doc_id"), F.col(text).alias("text"))
     described = materialize(_describe(rows), "shingles")
     common = common_shingles(described)
@@ -388,20 +389,26 @@ def similar_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id
     classes = members.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
     classes = classes.join(groups, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     least = classes.groupBy("root").agg(F.min("least").alias("component"))
-    classes = classes.join(least, "root").select("k1", "k2", "component")
+    classes = classes.join(least, "root").select("k1", "k2", "component", "root")
     return members.join(classes, ["k1", "k2"], "left").select(
         "row_key", F.col("doc_id").alias(row_id), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("root")).alias("root"))
 
 
 def keep_one_of_each(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, one of each; rows without words all stay."""
-    found = similar_documents(docs, text, row_id).where(
-        (F.col("n_shingles") == 0) | F.col(row_id).eqNullSafe(F.col("component_id")))
-    lone = found.where("n_shingles = 0").select("row_key")
+    """The rows of ``docs`` with the smallest id of their component (null last), one of each; rows without words all stay."""
+    found = similar_documents(docs, text, row_id)
+    lone = found.where("n_shingles = 0").select("row_key", F.lit(1).alias("copies")).distinct()
     # Rows that repeat the smallest id: the least key stays.
-    heads = found.where("n_shingles > 0").groupBy("component_id").agg(F.min("row_key").alias("row_key")).select("row_key")
-    keys = lone.unionByName(heads).distinct()
-    kept = docs.withColumn("__key", F.xxhash64(row_id, text)).join(
-        keys.withColumnRenamed("row_key", "__key"), "__key", "left_semi")
+    rows = found.where("n_shingles > 0").groupBy("root", "row_key").agg(
+        F.min(row_id).alias("id"), F.count(F.lit(1)).alias("copies"))
+    head = F.min(F.struct(F.isnull("id").alias("no_id"), "id", "row_key", "copies")).alias("head")
+    heads = rows.groupBy("root").agg(head).select("head.row_key", "head.copies")
+    keys = materialize(lone.unionByName(heads), "heads").withColumnRenamed("row_key", "__key")
+    keyed = docs.withColumn("__key", F.xxhash64(row_id, text))
+    kept = keyed.join(keys.where("copies = 1"), "__key", "left_semi")
+    several = keys.where("copies > 1")
+    if several.limit(1).count():  # rows of equal id and text: any of them
+        kept = kept.unionByName(keyed.join(several, "__key", "left_semi").dropDuplicates(["__key"]))
     return kept.drop("__key")

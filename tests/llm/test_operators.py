@@ -118,6 +118,23 @@ def test_mix(docs, rows):
     assert mixed.columns == docs.columns
 
 
+def test_mix_meets_small_sources_beside_a_very_large_one(spark):
+    sizes = {"hot": [10_000] * 320, "tiny": [1] * 10, "under": [7] * 6, "over": [8] * 10, "mid": [30] * 100}
+    assert sum(sizes["tiny"]) * 200_000 < sum(map(sum, sizes.values()))
+    table = [(i, s, n) for i, (s, n) in enumerate((s, n) for s, each in sizes.items() for n in each)]
+    docs = spark.createDataFrame(table, "doc_id long, source string, n int").selectExpr(
+        "doc_id", "source", "repeat('a ', n) AS text").repartition(4)
+    taken, target = Counter(), {}
+    for r in mixing.mix_sources(docs).join(docs.select("doc_id", "source").withColumnRenamed("source", "s"), "doc_id").collect():
+        taken[r["s"]] += r["taken"]
+        target[r["s"]] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    assert all(target[s] == 2 * sum(sizes[s]) for s in ("tiny", "under", "over"))
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= 0.01 * target[s] + 1
+    assert mixing.mix_documents(docs).where("source = 'tiny'").count() >= 19
+
+
 def test_apportionment_is_that_of_highest_quotients(spark):
     votes = [53.0, 24.0, 23.5, 7.25, 7.25, 1.0]
     targets = spark.createDataFrame(list(enumerate(votes)), "rank long, target double")

@@ -4,7 +4,8 @@ The mix takes ``share`` times the words of all sources. Targets follow the weigh
 its source, and what that cuts off goes to the others by weight. Blocks of equal numbers of words are then
 apportioned by Sainte-Laguë: shard after shard receives the next highest quotients target / (2k - 1), so every
 shard holds whole numbers of blocks of each source, and any first shards are as close to the targets as whole
-blocks can be. The documents of a source lie in a seeded order on a ring that is cut into blocks; the
+blocks can be. A block is a small part of the smallest target, so that small sources are met as well beside
+very large ones. The documents of a source lie in a seeded order on a ring that is cut into blocks; the
 shards take their blocks of the source one after another from a seeded block on.
 
 A block never needs a row of its own: what a run of blocks takes of a document follows from the document's place
@@ -24,7 +25,8 @@ from tidewire.operators.ordered import sliced_running_sum
 from tidewire.session import materialize
 
 WEIGHTS = (5, 2, 1)
-BLOCKS = 1 << 16
+BLOCKS = 1 << 16  # of the mix at least
+LEAST_BLOCKS = 1000  # of the smallest target, down to blocks of a word
 SHARDS = 64
 SLICE_ROWS = 4000
 
@@ -96,7 +98,8 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", row
     facts = sizes.agg(F.sum("source_size"), F.sum("__rows")).first()  # one row
     total, n_rows = facts[0] or 0, facts[1] or 0
     targets = materialize(source_targets(sizes.drop("__rows"), weights, share, most), "mix-targets")
-    block = max(1, round(total * share / blocks))
+    least = targets.where("target > 0").agg(F.min("target")).first()[0] or 0  # one row
+    block = max(1, min(round(total * share / blocks), int(least) // LEAST_BLOCKS))
     n_blocks = round(total * share / block)
     quotas = apportion(targets, n_blocks, shards)
     ring = F.ceil(F.col("source_size") / block)

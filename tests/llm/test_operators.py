@@ -429,6 +429,37 @@ def test_repeats(docs, rows):
     assert sum(k[2] for k in want.elements()) > 0
 
 
+def test_every_window_has_a_row_of_anchors():
+    hasher = substring_dedup.Hasher()
+    for i in range(400):
+        for n in (1, 2, 3, 4, 5, 7):
+            names = hasher.words([f"p{i}q{k}".encode() for k in range(n)] * (120 // n))
+            every = np.unique(substring_dedup.anchor_rows(names, np.zeros(len(names), np.int8))[1])
+            assert len(substring_dedup.candidate_windows(names, every)) == len(names) - 49
+
+
+def test_repeated_phrases_of_four_words(spark):
+    rng, texts = random.Random(13), []
+    for i in range(100):  # a phrase repeated on and on, and 50 to 70 words of it elsewhere
+        phrase, begin = [f"p{i}q{k}" for k in range(4)], rng.randrange(4)
+        texts.append([f"a{i}"] * rng.randint(0, 3) + phrase * 30)
+        texts.append([f"b{i}b{k}" for k in range(9)] + (phrase * 30)[begin:begin + rng.choice([50, 50, 51, 57, 70])] + [f"c{i}"] * 3)
+    first = {}
+    for d, w in enumerate(texts):
+        for i in range(len(w) - 49):
+            first.setdefault(tuple(w[i:i + 50]), d)
+    want = set()
+    for d, w in enumerate(texts):
+        gone = [False] * len(w)
+        for i in range(len(w) - 49):
+            if first[tuple(w[i:i + 50])] < d:
+                gone[i:i + 50] = [True] * 50
+        want.add((d, sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = substring_dedup.remove_repeats(docs).collect()
+    assert {(r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in got} == want
+
+
 def test_scores_equal_the_plain_formula(docs, rows):
     known, flat = pseudo_likelihood.fit(docs)
     net = pseudo_likelihood.Network(flat)

@@ -7,9 +7,9 @@ neighbours alone; equal passages therefore get equal symbols but near their ends
 its limit, so the ends that may differ are bounded: 2 * limit - 1 words a side and round. ROUNDS = (2, 4) leaves 30 of 50
 words that are cut alike, into symbols of at most 4 words.
 
-The beginnings of symbols are the anchors; an anchor is named by the 8 words that follow. Of each 6 anchors in a row the
-one with the least name is kept: 30 words hold 6 anchors whatever their cut, so every repeated window of 50
-words has a kept anchor in common with its first occurrence. One shuffle of kept names finds the
+The beginnings of symbols are the anchors; an anchor is named by the 8 words that follow. Of each 7 anchors in a row the
+one with the least name is kept: the 31 places whose cut is the same hold 7 anchors at least (the words of a name need no
+equal cut), so every repeated window of 50 words has a kept anchor in common with its first occurrence. One shuffle of kept names finds the
 shared ones; only windows whose inner anchors are all shared are named and compared over all documents (96 bits).
 
 Copies of a whole text are settled by the hash of the text and take no part in the rest but for the first.
@@ -41,8 +41,9 @@ def border(rounds: tuple[int, ...] = ROUNDS) -> int:
 
 
 def anchors_in_a_row(window: int = WINDOW, anchor: int = ANCHOR, rounds: tuple[int, ...] = ROUNDS) -> int:
-    """Anchors that every window has inside, with their words, whatever the cut."""
-    return (window - 2 * border(rounds) - anchor) // max(rounds) + 1
+    """Anchors that every window has where the cut is the same, with their words inside: of so many places in a row
+    one in ``max(rounds)`` at least is the beginning of a symbol."""
+    return (window - border(rounds) - max(border(rounds), anchor) + 1) // max(rounds)
 
 
 def recompress(names: np.ndarray, doc: np.ndarray, rounds: tuple[int, ...] = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +102,7 @@ def candidate_windows(names: np.ndarray, shared: np.ndarray, window: int = WINDO
     strange = np.concatenate([[0], np.cumsum(~np.isin(name, shared)[least])])
     begin = np.arange(len(names) - window + 1)
     first = np.searchsorted(at, begin + edge)
-    end = np.searchsorted(at[row - 1:], begin + window - edge - ANCHOR, "right")
+    end = np.searchsorted(at[row - 1:], begin + window - max(edge, ANCHOR), "right")
     end = np.minimum(end, len(least))
     fits = end > first
     first, end = np.where(fits, first, 0), np.where(fits, end, 0)

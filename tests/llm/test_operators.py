@@ -222,6 +222,22 @@ def test_packing_against_the_tokenizer(docs, rows):
     assert len(filled) <= 1.05 * math.ceil(sum(r["length"] for r in got) / 2048) + 1
 
 
+def test_the_literal_of_the_added_token_is_its_id(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidewire.llm.tokens import encoder
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "  <|endoftext|>\n\n x ", "<|endoftext|",
+             "<|EndOfText|>", "é<|endoftext|>é" * 30, "don't <|endoftext|>'s 12<|endoftext|>34"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [505, 220, 50256, 734] and [encoder()(t) for t in texts] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids_crc32"] for r in packing.pack_documents(docs).collect()}
+    assert got == {i: zlib.crc32(np.array(ids + [0], "<u4").tobytes()) for i, ids in enumerate(want)}
+
+
 def test_sequences_hold_the_packed_ids(docs):
     pieces = packing.token_pieces(docs, with_ids=True).cache()
     whole = packing.sequences(packing.pack_pieces(pieces)).collect()

@@ -331,3 +331,22 @@ def test_last_row_of_a_repeated_signature_counts(spark):
     assert compare.feature_diff(a, b, "k", ["m"], "t").count() == 0
     row = compare.feature_diff_summary(a, b, "k", ["m"], "t").first()
     assert (row.compared, row.differences) == (1, 0)
+
+
+def test_registered_classifier_has_all_rounds(spark, monkeypatch):
+    from tidewire.plans import ml_queries
+
+    asked, real = [], ml_models.GBTClassifier
+
+    def short(**how):  # notes what is asked for and trains less of it
+        asked.append((how["maxIter"], how["maxDepth"]))
+        return real(**{**how, "maxIter": 1, "maxDepth": 1})
+
+    rows = spark.createDataFrame([(i % 2, "train" if i < 16 else "test") for i in range(20)], "y int, part string")
+    rows = rows.selectExpr("*", *[f"CAST(y AS DOUBLE) AS `{c}`" for c in ml_prep.MODEL_FEATURES])
+    monkeypatch.setattr(ml_models, "GBTClassifier", short)
+    monkeypatch.setattr(ml_queries, "rows_of", lambda spark, sf: rows)
+    for name in ("prepare", "log_clip", "stratified_split"):
+        monkeypatch.setattr(ml_prep, name, lambda frame, *how: frame)
+    ml_queries._classifier(spark, "")
+    assert asked == [(600, 8)]

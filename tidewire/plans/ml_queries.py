@@ -269,8 +269,7 @@ def _(spark, sf):
 def _classifier(spark, sf):
     rows = ml_prep.log_clip(ml_prep.prepare(rows_of(spark, sf)))
     split = ml_prep.stratified_split(rows, FLOW_ID, "label")
-    # Fewer and flatter trees than the default, so that a check stays short.
-    model = ml_models.train_classifier(split.where("part = 'train'"), ml_prep.MODEL_FEATURES, "y", rounds=5, depth=4)
+    model = ml_models.train_classifier(split.where("part = 'train'"), ml_prep.MODEL_FEATURES, "y")
     return model, split
 
 

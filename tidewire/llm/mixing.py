@@ -89,9 +89,10 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", row
                 shards: int = SHARDS, seed: int = 7) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` (of the source), ``taken`` (words the mix takes, repeats
     counted), ``times`` (how often the mix takes its first word) and ``shard`` (of the first taking; null: none)."""
-    rows = docs.withColumn("__size", word_count(F.col(text))).withColumn(
-        "__mix", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string"))))
-    carried = [c for c in docs.columns if c != text]
+    # Beside the id the text decides, so that rows without an id, or with one id, do not stand in one place.
+    rows = docs.withColumn("__size", word_count(F.col(text))).withColumn("__mix", F.md5(F.concat_ws(
+        ":", F.lit(str(seed)), F.col(row_id).cast("string"), F.xxhash64(text).cast("string"))))
+    carried = [c for c in docs.columns if c != text and c.lower() not in RESULT]
     light = materialize(rows.select(*[f"`{c}`" for c in carried], "__size", "__mix"), "mix-sizes")
     sizes = light.groupBy(F.col(source).alias("source")).agg(
         F.sum("__size").alias("source_size"), F.count(F.lit(1)).alias("__rows"))
@@ -107,7 +108,8 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", row
     held = quotas.groupBy("rank").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("round", "held"))), lambda q: q["held"]).alias("held"))
     plan = targets.join(held, "rank", "left").select(
-        F.col("source").alias("__source"), "rank", "source_size", "target", start.alias("__start"),
+        F.col("source").alias("__source"), F.col("rank").alias("__rank"), F.col("source_size").alias("__source_size"),
+        F.col("target").alias("__target"), start.alias("__start"),
         ring.cast("long").alias("__ring"), F.coalesce("held", F.array().cast("array<bigint>")).alias("__held"))
     plan = materialize(plan, "mix-plan")
 
@@ -115,18 +117,18 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", row
     with_plan = light.join(plan, F.col(f"`{source}`").eqNullSafe(F.col("__source"))).drop("__source")
     placed = sliced_running_sum(
         with_plan.withColumn("__slice", F.floor(F.conv(F.left("__mix", F.lit(8)), 16, 10).cast("long") * slices / (1 << 32))),
-        ["rank"], "__slice", ["__mix", f"`{row_id}`", "__size"], {"__end": "__size"})
+        ["__rank"], "__slice", ["__mix", f"`{row_id}`", "__size"], {"__end": "__size"})
     first = F.col("__end") - F.col("__size")
 
     def words_before(b: Column) -> Column:
         """Words on the ring, laps included, before block number ``b``."""
         lap = F.floor(b / F.col("__ring"))
-        return lap * F.col("source_size") + F.least((b - lap * F.col("__ring")) * block, F.col("source_size"))
+        return lap * F.col("__source_size") + F.least((b - lap * F.col("__ring")) * block, F.col("__source_size"))
 
     def of_document(words: Column, at: Column, n: Column | int) -> Column:
         """How many of the first ``words`` words of the unrolled ring fall on [at, at + n)."""
-        lap = F.floor(words / F.col("source_size"))
-        rest = words - lap * F.col("source_size") - at
+        lap = F.floor(words / F.col("__source_size"))
+        rest = words - lap * F.col("__source_size") - at
         return lap * n + F.greatest(F.lit(0), F.least(rest, F.lit(n) if isinstance(n, int) else n))
 
     last = F.least(F.coalesce(F.element_at(F.col("__held"), -1), F.lit(0)), most * F.col("__ring"))
@@ -140,8 +142,8 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", row
     at = F.floor(first / block)
     turns = F.when(at >= F.col("__start"), at - F.col("__start")).otherwise(at - F.col("__start") + F.col("__ring"))
     shard = F.when(some & (turns < last), F.size(F.filter("__held", lambda h: h <= turns)))
-    return placed.select(*[f"`{c}`" for c in carried if c not in RESULT], F.col("__size").alias("size"), "source_size",
-                         "target", over(F.col("__size")).alias("taken"), over(1).alias("times"),
+    return placed.select(*[f"`{c}`" for c in carried], F.col("__size").alias("size"),
+                         F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), over(F.col("__size")).alias("taken"), over(1).alias("times"),
                          shard.cast("int").alias("shard"))
 
 
@@ -153,8 +155,9 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", r
     """The rows of the mix: each document as often as the mix takes its first word, whole; the columns of ``docs``.
 
     Rows that repeat an id, a source and a text are taken alike."""
-    keyed = docs.withColumn("__key", F.xxhash64(row_id, source, text))
-    mixed = mix_sources(keyed, text, source, row_id, **how)
-    times = mixed.where("times > 0").groupBy("__key").agg(F.max("times").alias("__times"))
-    return keyed.join(times, "__key").withColumn(
+    key = ["__key", "__key2"]
+    keyed = docs.withColumns({"__key": F.xxhash64(row_id, source, text), "__key2": F.xxhash64(text, source, row_id, F.lit(1))})
+    mixed = mix_sources(keyed.select(f"`{row_id}`", f"`{source}`", f"`{text}`", *key), text, source, row_id, **how)
+    times = mixed.where("times > 0").groupBy(*key).agg(F.max("times").alias("__times"))
+    return keyed.join(times, key).withColumn(
         "__turn", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[f"`{c}`" for c in docs.columns])

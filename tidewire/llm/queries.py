@@ -46,9 +46,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_masked_pseudo_likelihood")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    counts = pseudo_likelihood.word_counts(docs)
-    return pseudo_likelihood.score_documents(docs, *pseudo_likelihood.fit(docs, counts=counts), counts=counts)
+    return pseudo_likelihood.score_corpus(documents(spark, sf_dir))
 
 
 @query("op6_risk_controlled_rules")

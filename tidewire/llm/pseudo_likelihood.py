@@ -41,7 +41,8 @@ WIDTH = 16
 ROUNDS = 2
 BATCH = 8192
 RATE = 0.5
-BYTES_AT_ONCE = 16_000_000
+BYTES_AT_ONCE = 32_000_000
+PARAMETERS = 8192  # of a block
 FEW = 1024  # a batch divided by this: rows of a word in it that count as one
 
 
@@ -176,9 +177,9 @@ class Network:
 
     def hidden(self, window: np.ndarray) -> np.ndarray:
         """``window``: classes of the words around, one row per place."""
-        total = self.places[0][window[0]]
+        total = self.places[0].take(window[0], axis=0)
         for k in range(1, 2 * REACH):
-            total += self.places[k][window[k]]
+            total += self.places[k].take(window[k], axis=0)
         total += self.bias
         return np.tanh(total, out=total)
 
@@ -216,8 +217,8 @@ class Network:
             first = np.flatnonzero(np.concatenate(([True], sorted_classes[1:] != sorted_classes[:-1])))
             count = np.diff(np.append(first, n))[:, None]
             # The square root stands between the mean over the batch and the mean over the word's own rows.
-            self.places[k][sorted_classes[first]] += (
-                rate * np.add.reduceat(back[order], first, axis=0) / np.sqrt(count * (n / FEW) + 1)).astype(np.float32)
+            share = (rate / np.sqrt(count * (n / FEW) + 1)).astype(np.float32)
+            self.places[k][sorted_classes[first]] += share * np.add.reduceat(back.take(order, axis=0), first, axis=0)
 
 
 def _log_share(x: np.ndarray, picked: np.ndarray) -> np.ndarray:
@@ -292,17 +293,29 @@ def _train_round(coded: DataFrame, flat: np.ndarray, turn: int) -> np.ndarray:
                 rows = order[i:i + BATCH]
                 net.step(window[:, rows], classes[rows], RATE / (1 + turn))
             seen += len(classes)
-        if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(Network.SIZE, dtype=np.int32)), pa.array(net.flat.astype(np.float64) * seen),
-                 pa.array(np.full(Network.SIZE, seen))], ["at", "value", "words"])
+        if seen:  # in blocks, so that the blocks of all tasks are added up side by side
+            total = net.flat.astype(np.float64) * seen
+            for k in range(0, Network.SIZE, PARAMETERS):
+                yield pa.RecordBatch.from_pydict({"block": [k], "total": [total[k:k + PARAMETERS].tobytes()], "words": [seen]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        words: dict[int, int] = {}
+        for batch in batches:
+            for k, total, n in zip(*(batch.column(c).to_pylist() for c in ("block", "total", "words"))):
+                totals[k] = totals.get(k, 0) + np.frombuffer(total, np.float64)
+                words[k] = words.get(k, 0) + n
+        for k, total in totals.items():
+            yield pa.RecordBatch.from_pydict({"block": [k], "mean": [(total / words[k]).astype(np.float32).tobytes()]})
 
     rows = coded.where(F.col("word").isNull() & (F.pmod(F.xxhash64("row", F.lit(17)), F.lit(ROUNDS)) == turn)).select(
-        "classes").mapInArrow(train, "at int, value double, words long")
-    mean = rows.groupBy("at").agg((F.sum("value") / F.sum("words")).alias("value")).toPandas()  # SIZE rows
+        "classes").mapInArrow(train, "block long, total binary, words long")
+    blocks = rows.repartition("block").mapInArrow(add, "block long, mean binary").collect()  # SIZE parameters
     shared.unpersist()
     out = flat.copy()
-    out[mean["at"].to_numpy()] = mean["value"].to_numpy(np.float32)
+    for row in blocks:
+        mean = np.frombuffer(row["mean"], np.float32)
+        out[row["block"]:row["block"] + len(mean)] = mean
     return out
 
 

@@ -54,18 +54,18 @@ SELECT p.*, r.flow_seq::BIGINT AS flow_seq, r.closed,
        p.ts_ms - lag(p.ts_ms) OVER (PARTITION BY p.flow_key, r.flow_seq ORDER BY p.rn) AS gap
 FROM p JOIN r ON p.flow_key = r.flow_key AND p.rn = r.rn)"""
 
-FLOWS = """ends AS (
+FLOWS = """ends AS MATERIALIZED (
 SELECT flow_key, flow_seq, arg_min(src_ip, rn) AS src_ip, arg_min(dst_ip, rn) AS dst_ip,
        arg_min(coalesce(src_port, -1), rn) AS sp, arg_min(coalesce(dst_port, -1), rn) AS dp,
        min(protocol) AS protocol, min(ts_ms) AS first_seen_ms, max(ts_ms) AS last_seen_ms,
        arg_min(packet_id, rn) AS first_packet_id, arg_max(closed, rn) AS closed, min(idle) AS idle
 FROM placed GROUP BY flow_key, flow_seq),
-ended AS (
+ended AS MATERIALIZED (
 SELECT *, CASE WHEN closed THEN 'TCP RST'
                WHEN nxt IS NULL THEN 'PCAP_DONE'
                WHEN nxt - last_seen_ms >= idle THEN 'Inactivity Timeout' ELSE 'Max Age Exceeded' END AS end_reason
 FROM (SELECT *, lead(first_seen_ms) OVER (PARTITION BY flow_key ORDER BY flow_seq) AS nxt FROM ends)),
-sums AS (
+sums AS MATERIALIZED (
 SELECT flow_key, flow_seq, count(*) AS n, sum(length)::BIGINT AS bytes, min(length)::BIGINT AS min_len,
        max(length)::BIGINT AS max_len, avg(length) AS mean_len, stddev_samp(length) AS std_len,
        sum(CASE WHEN placed.src_ip = e.src_ip THEN length ELSE 0 END)::BIGINT AS up_b,
@@ -77,7 +77,7 @@ SELECT flow_key, flow_seq, count(*) AS n, sum(length)::BIGINT AS bytes, min(leng
        count(*) FILTER (ack) AS ack_count, count(*) FILTER (psh) AS psh_count,
        count(*) FILTER (placed.protocol = 'TCP') AS tcp_n, count(*) FILTER (placed.protocol = 'UDP') AS udp_n
 FROM placed JOIN ended e USING (flow_key, flow_seq) GROUP BY flow_key, flow_seq),
-flows AS (
+flows AS MATERIALIZED (
 SELECT flow_key, flow_seq, src_ip, dst_ip, CASE WHEN sp >= 0 THEN sp END AS src_port,
   CASE WHEN dp >= 0 THEN dp END AS dst_port, protocol, first_seen_ms, last_seen_ms, end_reason, first_packet_id,
   n AS packet_count, bytes, last_seen_ms - first_seen_ms AS duration_ms,

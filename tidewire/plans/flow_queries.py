@@ -45,7 +45,7 @@ def top_talkers(spark, sf):
 @query("sessionize_flows", sql("flows", """
 SELECT flow_key, flow_seq, src_ip, dst_ip, coalesce(src_port::VARCHAR, 'none') AS src_port,
   coalesce(dst_port::VARCHAR, 'none') AS dst_port, protocol, first_seen_ms, last_seen_ms, end_reason,
-  packet_count, bytes FROM flows"""))
+  packet_count, bytes FROM flows ORDER BY flow_key, flow_seq"""))
 def _(spark, sf):
     return sessionize_flows(packets(spark, sf), EVENT_RULES).select(
         "flow_key", "flow_seq", "src_ip", "dst_ip", text("src_port"), text("dst_port"), "protocol",
@@ -198,7 +198,7 @@ def _(spark, sf):
 
 @query("search_flows", sql("flows", """
 SELECT flow_key, flow_seq FROM flows WHERE contains(lower(concat_ws(' ', flow_key, src_ip, dst_ip, protocol, end_reason,
-  bytes::VARCHAR)), 'age exceeded')"""))
+  bytes::VARCHAR)), 'age exceeded') ORDER BY flow_key, flow_seq"""))
 def _(spark, sf):
     shown = ["flow_key", "src_ip", "dst_ip", "protocol", "end_reason", "bytes"]
     return stored_flows(spark, sf).where(row_contains(shown, "AGE Exceeded")).select(*FLOW_ID)

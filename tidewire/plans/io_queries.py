@@ -85,7 +85,8 @@ def _(spark, sf):
 
 _FLOW_JSON_SQL = """
 SELECT flow_key, flow_seq, first_seen_ms, src_ip, coalesce(dst_port::VARCHAR, 'none') AS dst_port, bytes, end_reason,
-  round(mean_packet_length, 6) AS mean_packet_length, round(stddev_packet_length, 6) AS stddev_packet_length FROM flows"""
+  round(mean_packet_length, 6) AS mean_packet_length, round(stddev_packet_length, 6) AS stddev_packet_length FROM flows
+ORDER BY flow_key, flow_seq"""
 
 
 def _shown(flows):
@@ -165,7 +166,7 @@ def _(spark, sf):
 @query("write_flows", sql("flows", """
 SELECT sha256(concat_ws('|', flow_key, first_seen_ms::VARCHAR, flow_seq::VARCHAR)) AS id, flow_key AS "flowKey",
   first_seen_ms, coalesce(src_port::VARCHAR, 'none') AS "srcPort", bytes, packet_count AS packets,
-  duration_ms AS "durationMs", end_reason AS "reasonOfFlowEnd", 'N/A' AS "srcCountry", 'N/A' AS label FROM flows"""))
+  duration_ms AS "durationMs", end_reason AS "reasonOfFlowEnd", 'N/A' AS "srcCountry", 'N/A' AS label FROM flows ORDER BY id"""))
 def _(spark, sf):
     path = shared_folder(spark, "network-flows")
     sinks.write_flows(stored_flows(spark, sf), path)

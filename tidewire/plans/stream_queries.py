@@ -54,7 +54,7 @@ def _sessionized(spark, sf, lateness_ms=0):
 
 # At the end of the stream the clock is the last packet of all: flows whose idle limit has passed by then are
 # closed by it, the others by the end of input.
-_STREAMED = """streamed AS (SELECT flows.*, CASE WHEN end_reason <> 'PCAP_DONE' THEN end_reason
+_STREAMED = """streamed AS MATERIALIZED (SELECT flows.*, CASE WHEN end_reason <> 'PCAP_DONE' THEN end_reason
     WHEN last_seen_ms + idle > (SELECT max(ts_ms) FROM packets) THEN 'PCAP_DONE' ELSE 'Inactivity Timeout' END AS reason
   FROM flows JOIN (SELECT DISTINCT protocol, idle FROM p) USING (protocol))"""
 _STREAM_SHOWN = """flow_key, flow_seq, src_ip, first_seen_ms, last_seen_ms, packet_count, bytes, total_bytes_upstream,
@@ -70,21 +70,21 @@ def _shown(rows, *more):
         *more)
 
 
-@query("stream_sessionize", sql("flows", f"SELECT {_STREAM_SHOWN}, reason FROM streamed WHERE reason <> 'PCAP_DONE'",
+@query("stream_sessionize", sql("flows", f"SELECT {_STREAM_SHOWN}, reason FROM streamed WHERE reason <> 'PCAP_DONE' ORDER BY flow_key, flow_seq",
                                 _STREAMED))
 def _(spark, sf):
     closed, _live = _sessionized(spark, sf)
     return _shown(closed, F.col("end_reason").alias("reason"))
 
 
-@query("end_of_input_flush", sql("flows", f"SELECT {_STREAM_SHOWN}, reason FROM streamed", _STREAMED))
+@query("end_of_input_flush", sql("flows", f"SELECT {_STREAM_SHOWN}, reason FROM streamed ORDER BY flow_key, flow_seq", _STREAMED))
 def _(spark, sf):
     closed, live = _sessionized(spark, sf)
     return _shown(closed.unionByName(live), F.col("end_reason").alias("reason"))
 
 
 @query("current_flows_snapshot", sql("flows", """
-SELECT flow_key, flow_seq, last_seen_ms, packet_count, bytes FROM streamed WHERE reason = 'PCAP_DONE'""", _STREAMED))
+SELECT flow_key, flow_seq, last_seen_ms, packet_count, bytes FROM streamed WHERE reason = 'PCAP_DONE' ORDER BY flow_key, flow_seq""", _STREAMED))
 def _(spark, sf):
     _closed, live = _sessionized(spark, sf)
     return sessions.state_to_flows(live).select(*FLOW_ID, "last_seen_ms", "packet_count", "bytes")

@@ -334,19 +334,82 @@ def test_last_row_of_a_repeated_signature_counts(spark):
 
 
 def test_registered_classifier_has_all_rounds(spark, monkeypatch):
-    from tidewire.plans import ml_queries
+    from tidewire.operators import boosting
+    from tidewire.plans import inputs, ml_queries
 
-    asked, real = [], ml_models.GBTClassifier
+    asked = []
 
-    def short(**how):  # notes what is asked for and trains less of it
-        asked.append((how["maxIter"], how["maxDepth"]))
-        return real(**{**how, "maxIter": 1, "maxDepth": 1})
+    def noted(df, columns, label, ids, how, most_rows):  # notes what is asked for and trains less of it
+        asked.append((how.rounds, how.depth, how.rows, how.columns))
+        return boosting.fit_boosted(df, columns, label, ids, boosting.Growth(rounds=1, depth=1), most_rows)
 
-    rows = spark.createDataFrame([(i % 2, "train" if i < 16 else "test") for i in range(20)], "y int, part string")
+    rows = spark.createDataFrame([(str(i), i, i % 2, "train" if i < 16 else "test") for i in range(20)],
+                                 "flow_key string, flow_seq int, y int, part string")
     rows = rows.selectExpr("*", *[f"CAST(y AS DOUBLE) AS `{c}`" for c in ml_prep.MODEL_FEATURES])
-    monkeypatch.setattr(ml_models, "GBTClassifier", short)
-    monkeypatch.setattr(ml_queries, "rows_of", lambda spark, sf: rows)
-    for name in ("prepare", "log_clip", "stratified_split"):
-        monkeypatch.setattr(ml_prep, name, lambda frame, *how: frame)
+    monkeypatch.setattr(ml_models, "fit_boosted", noted)
+    monkeypatch.setattr(inputs, "_FITTED", {})
+    monkeypatch.setattr(ml_queries, "_ruled", lambda spark, sf: rows)
     ml_queries._classifier(spark, "")
-    assert asked == [(600, 8)]
+    ml_queries._classifier(spark, "")
+    assert asked == [(600, 8, 0.8, 0.8)]  # once for all queries
+
+
+def _plain_tree(codes, slopes, how, depth=0):
+    """The same tree by trying every cut on the rows themselves."""
+    g, h = slopes.sum(1)
+    best = (1e-9, None)
+    if depth < how.depth:
+        for f in range(len(codes)):
+            for cut in np.unique(codes[f])[:-1]:
+                low = codes[f] <= cut
+                (gl, hl), (gh, hh) = slopes[:, low].sum(1), slopes[:, ~low].sum(1)
+                if hl >= how.least and hh >= how.least:
+                    gain = gl ** 2 / (hl + how.shrink) + gh ** 2 / (hh + how.shrink) - g ** 2 / (h + how.shrink)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (f, cut))
+    if best[1] is None:
+        return np.full(codes.shape[1], -how.rate * g / (h + how.shrink))
+    f, cut = best[1]
+    low, out = codes[f] <= cut, np.empty(codes.shape[1])
+    for side in (low, ~low):
+        out[side] = _plain_tree(codes[:, side], slopes[:, side], how, depth + 1)
+    return out
+
+
+def test_trees_from_histograms_equal_trees_from_rows():
+    from tidewire.operators import boosting
+
+    rng = np.random.default_rng(3)
+    for depth in (0, 1, 2, 4):
+        codes = rng.integers(0, 12, (5, 400)).astype(np.uint8)
+        y = ((codes[0] > 5) ^ (codes[3] < 4) ^ (rng.random(400) < 0.1)).astype(float)
+        slopes = np.stack([0.4 - y + rng.normal(0, 0.01, 400), rng.uniform(0.2, 0.25, 400)])
+        how = boosting.Growth(depth=depth)
+        nodes, leaf = boosting.grow_tree(codes, slopes, how)
+        assert np.allclose(nodes[leaf, 4], _plain_tree(codes, slopes, how))
+        assert (leaf == boosting._walk(nodes, lambda f, at: codes[f, np.arange(400)], 400)).all()
+
+
+def test_boosted_trees_learn_are_stored_and_score_alike(spark, tmp_path):
+    from tidewire.operators import boosting
+
+    rng = np.random.default_rng(4)
+    rows = [(i, float(a), float(b), None if i % 50 == 0 else float(c), int((a > 3) != (b > 2)))
+            for i, (a, b, c) in enumerate(zip(rng.integers(0, 8, 900), rng.integers(0, 6, 900), rng.normal(size=900)))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, y int").repartition(3)
+    how = boosting.Growth(rounds=30, rate=0.3, columns=1.0)
+    model = boosting.fit_boosted(df, ["a", "b", "c"], "y", ["id"], how)
+    assert len(model.trees) == 30 and all(len(t) <= 511 for t in model.trees)
+    scored = df.withColumn("p", model.probability(df.a, df.b, df.c)).collect()
+    assert sum((r.p >= 0.5) == (r.y == 1) for r in scored) == 900
+    model.save(spark, str(tmp_path / "m"))
+    again = boosting.BoostedTrees.load(spark, str(tmp_path / "m"))
+    assert again.columns == model.columns
+    assert {r.id: r.p for r in df.withColumn("p", again.probability(df.a, df.b, df.c)).collect()} == {r.id: r.p for r in scored}
+    weights = model.importances()
+    assert abs(sum(weights.values()) - 1) < 1e-9 and min(weights["a"], weights["b"]) > weights["c"]
+    same = boosting.fit_boosted(df.repartition(5), ["a", "b", "c"], "y", ["id"], how)
+    assert all(np.array_equal(x, y) for x, y in zip(model.trees, same.trees))  # order and files of the rows do not matter
+    few = boosting.fit_boosted(df, ["a", "b", "c"], "y", ["id"], boosting.Growth(rounds=2), most_rows=40)
+    assert len(few.trees) == 2
+    assert boosting.fit_boosted(df.limit(0), ["a"], "y", ["id"], boosting.Growth(rounds=2)).trees == []

@@ -7,13 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewire.operators.ml_prep import bounded_sample, class_weight, order_hash
+from tidewire.operators.boosting import TRAIN_ROWS, BoostedTrees, Growth, fit_boosted
+from tidewire.operators.ml_prep import bounded_sample, order_hash
 from tidewire.operators.ordered import exact_percentiles
 from tidewire.session import materialize
 
@@ -192,21 +191,17 @@ def density_noise(df: DataFrame, ids: list[str], x: str, y: str, eps: float = 0.
     )
 
 
-def train_classifier(df: DataFrame, columns: list[str], label: str, rounds: int = 600, depth: int = 8,
-                     rate: float = 0.05, seed: int = 42) -> PipelineModel:
-    """Boosted trees with row and column sampling and weighted positives."""
-    weighted = class_weight(df.withColumns({c: F.col(c).cast("double") for c in columns}), label)
-    trees = GBTClassifier(
-        labelCol=label, featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate,
-        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), trees]).fit(weighted)
+def train_classifier(df: DataFrame, columns: list[str], label: str, ids: list[str] | None = None, rounds: int = 600,
+                     depth: int = 8, rate: float = 0.05, seed: int = 42, most_rows: int = TRAIN_ROWS) -> BoostedTrees:
+    """Boosted trees with row and column sampling and weighted positives, fitted on at most ``most_rows`` rows."""
+    how = Growth(rounds=rounds, depth=depth, rate=rate, seed=seed)
+    return fit_boosted(df, columns, label, ids or ["flow_key", "flow_seq"], how, most_rows)
 
 
-def feature_importance(model: PipelineModel, columns: list[str], df: DataFrame, top: int = 15) -> DataFrame:
+def feature_importance(model: BoostedTrees, df: DataFrame, top: int = 15) -> DataFrame:
     """The ``top`` largest importances as rows."""
-    values = model.stages[-1].featureImportances.toArray()
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(float(v)).alias("importance"))
-                     for c, v in zip(columns, values)])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(v).alias("importance"))
+                     for c, v in model.importances().items()])
     one = df.sparkSession.range(1).select(F.explode(rows).alias("r")).select("r.*")
     return one.orderBy(F.col("importance").desc(), "feature").limit(top)
 
@@ -219,11 +214,8 @@ def flow_verdict(probability: Column, protocol: Column) -> Column:
     )
 
 
-def score_flows(model: PipelineModel, flows: DataFrame, columns: list[str]) -> DataFrame:
+def score_flows(model: BoostedTrees, flows: DataFrame) -> DataFrame:
     """Label flows; a missing or NaN feature counts as 0."""
-    safe = flows.withColumns({
-        c: F.coalesce(F.nanvl(F.col(c).try_cast("double"), F.lit(0.0)), F.lit(0.0)) if c in flows.columns
-        else F.lit(0.0) for c in columns})
-    scored = model.transform(safe).withColumn("probability", vector_to_array("probability")[1])
-    return scored.withColumn("label", flow_verdict(F.col("probability"), F.col("protocol"))).drop(
-        "features", "rawPrediction", "prediction")
+    features = [F.col(c) if c in flows.columns else F.lit(0.0) for c in model.columns]
+    scored = flows.withColumn("probability", model.probability(*features))
+    return scored.withColumn("label", flow_verdict(F.col("probability"), F.col("protocol")))

@@ -122,6 +122,9 @@ FROM (SELECT *, CASE
       OR dst_ip IN ('172.16.0.5', '203.0.113.9', '198.51.100.77') THEN 'MALICIOUS'
     WHEN flow_seq % 5 = 0 THEN 'MALICIOUS' ELSE 'BENIGN' END AS label FROM flows))"""
 
+RULED = """ruled AS (SELECT *, CASE WHEN y = 1 THEN 'MALICIOUS' ELSE 'BENIGN' END AS label
+FROM (SELECT *, ((packet_count >= 3) <> (syn_count >= 1))::INT AS y FROM flows))"""
+
 REFERENCE = """geo(s, e, country) AS (VALUES ('8.8.8.0', '8.8.8.255', 'United States'),
   ('1.1.1.0', '1.1.1.255', 'Australia'), ('93.184.216.0', '93.184.216.255', 'United States'),
   ('172.40.0.0', '172.40.255.255', 'Canada')),
@@ -156,6 +159,7 @@ KINDS = """kinds AS (SELECT *, CASE packet_id % 16 WHEN 0 THEN 'ARP' WHEN 1 THEN
 _ORDER = {"packets": [PACKETS], "kinds": [PACKETS, KINDS], "keyed": [PACKETS, KEYED],
           "placed": [PACKETS, KEYED, RUNS], "flows": [PACKETS, KEYED, RUNS, FLOWS],
           "risky": [PACKETS, KEYED, RUNS, FLOWS, RISKY], "labelled": [PACKETS, KEYED, RUNS, FLOWS, LABELLED],
+          "ruled": [PACKETS, KEYED, RUNS, FLOWS, RULED],
           "facts": [PACKETS, REFERENCE], "enriched": [PACKETS, KEYED, RUNS, FLOWS, REFERENCE]}
 
 

@@ -12,7 +12,7 @@ from tidewire.functions.risk import max_severity, risk_labels
 from tidewire.operators.features import flows_with_features
 from tidewire.operators.ml_prep import label_by_ip
 from tidewire.operators.sessionize import FlowRules
-from tidewire.session import materialize
+from tidewire.session import materialize, shared_folder
 
 HOUR_MS = 3_600_000
 
@@ -98,6 +98,19 @@ def stored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _STORED[key]
 
 
+_FITTED: dict[tuple, str] = {}
+
+
+def fitted(spark: SparkSession, sf_dir: str, name: str, fit) -> str:
+    """Folder of a stored model, fitted once per session and input."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _FITTED:
+        path = shared_folder(spark, "model")
+        fit().save(spark, path)
+        _FITTED[key] = path
+    return _FITTED[key]
+
+
 # Fixed values of the fixture: small reference tables.
 RISKS = {
     0: ("Known proto on non-std port", "Medium"), 1: ("TLS suspicious", "High"), 3: ("Malformed packet", "Low"),
@@ -139,6 +152,12 @@ def labelled_flows(flows: DataFrame) -> DataFrame:
     })
 
 
+def ruled_flows(flows: DataFrame) -> DataFrame:
+    """Flows labelled by two of their counts: either three packets or a SYN, not both."""
+    odd = (F.col("packet_count") >= 3) != (F.col("syn_count") >= 1)
+    return flows.withColumns({"label": F.when(odd, "MALICIOUS").otherwise("BENIGN"), "y": odd.cast("int")})
+
+
 # Fixed values of the fixture: the address the second tool alone sees, and one server as each tool spells it.
 ONLY_B, SPELLED, SPELLED_A, SPELLED_B = "198.51.100.1", "203.0.113.9", "2001:db8::9", "2001:0DB8:0:0:0:0:0:9"
 

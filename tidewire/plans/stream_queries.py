@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewire.operators.boosting import BoostedTrees
 from tidewire.plans.checks import sql
 from tidewire.plans.flow_queries import _ENRICHED, FLOW_ID
 from tidewire.plans.inputs import (
     EVENT_RULES, metric_samples, packets, reference_tables, stored_flows, table)
+from tidewire.plans.ml_queries import rule_model
 from tidewire.plans.io_queries import _METRICS_SQL, record_folder
 from tidewire.plans.registry import query, r6
 from tidewire.session import materialize, shared_folder
@@ -134,17 +136,16 @@ def _flow_files(spark, sf):
 
 @query("stream_enrich_score", sql("enriched", """
 SELECT flow_key, flow_seq, src_country, dst_org, CASE WHEN bytes % 7 = 0 THEN 'UNKNOWN'
-  WHEN ((bytes * 31 + packet_count * 17) % 1000) >= 500 THEN 'MALICIOUS' ELSE 'BENIGN' END AS label
+  WHEN (packet_count >= 3) <> (syn_count >= 1) THEN 'MALICIOUS' ELSE 'BENIGN' END AS label
 FROM enriched""", _ENRICHED))
 def _(spark, sf):
-    out, cp = shared_folder(spark, "scored"), shared_folder(spark, "cp")
-
-    def score(rows):
-        probability = ((F.col("bytes") * 31 + F.col("packet_count") * 17) % 1000) / 1000.0
-        return rows.withColumn("probability", F.when(F.col("bytes") % 7 != 0, probability))
-
-    write = jobs.enrich_and_score(reference_tables(spark), score)
-    jobs.run_available(arriving(spark, _flow_files(spark, sf), 2), out, cp, write=write)
+    out, cp, path = (shared_folder(spark, n) for n in ("scored", "cp", "flow-files"))
+    # Some flows come without their bytes: they alone cannot be judged.
+    rows = stored_flows(spark, sf).withColumn("bytes", F.expr("CASE WHEN bytes % 7 <> 0 THEN bytes END"))
+    rows.repartition(4).write.parquet(path)
+    model = BoostedTrees.load(spark, rule_model(spark, sf))
+    write = jobs.enrich_and_score(reference_tables(spark), jobs.by_model(model))
+    jobs.run_available(arriving(spark, path, 2), out, cp, write=write)
     return jobs.read_batches(spark, out).select(*FLOW_ID, "src_country", "dst_org", "label")
 
 

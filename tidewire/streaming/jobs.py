@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewire.functions.decode import decode_frames, ip_packets, quarantine_malformed
 from tidewire.operators import enrich
-from tidewire.operators.ml_models import flow_verdict
+from tidewire.operators.boosting import BoostedTrees
 from tidewire.operators.metrics import finish_sums, window_sums
+from tidewire.operators.ml_models import flow_verdict
+from tidewire.operators.ml_prep import BASE_FEATURES, log_clip, prepare
 from tidewire.sources.readers import envelope_packets
 
 
@@ -102,3 +106,15 @@ def enrich_and_score(tables: dict[str, DataFrame], score: Callable[[DataFrame],
         scored = score(facts)
         overwrite_parquet(scored.withColumn("label", flow_verdict(F.col("probability"), F.col("protocol"))), path)
     return write
+
+
+def by_model(model: BoostedTrees) -> Callable[[DataFrame], DataFrame]:
+    """Scores by a fitted model, on features prepared as for its fit; a flow that lacks one of the published base
+    features has none."""
+    def score(rows: DataFrame) -> DataFrame:
+        known = [F.col(c).isNotNull() for c in BASE_FEATURES if c in rows.columns]
+        whole = reduce(and_, known, F.lit(True))
+        judged = log_clip(prepare(rows.withColumns({"__whole": whole, "__row": F.struct(*[f"`{c}`" for c in rows.columns])})))
+        probability = F.when(F.col("__whole"), model.probability(*[F.col(c) for c in model.columns]))
+        return judged.select("__row.*", probability.alias("probability"))
+    return score

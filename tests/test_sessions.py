@@ -143,6 +143,55 @@ def test_one_flood_key_over_many_blocks(spark):
     assert run(spark, rows, rules) == flows_of(rows, 6, 40)
 
 
+@pytest.mark.parametrize("ticks", [1, 3, 8, 50])
+def test_blocks_of_any_size_give_the_same_flows(spark, monkeypatch, ticks):
+    """Step functions of blocks shorter and longer than an age, composed over up to ten levels."""
+    from tidewire.operators import sessionize
+    monkeypatch.setattr(sessionize, "BLOCK_TICKS", ticks)
+    rng = random.Random(ticks)
+    rows, at = [], {}
+    for i in range(900):
+        key = rng.choice(["1", "1", "1", "2", "3"])
+        at[key] = at.get(key, -40) + rng.choice([0, 1, 1, 2, 3, 9, 25])
+        flags = rng.choice(["", "", "", "", "", "R", "R"]) if key != "3" else ""
+        rows += named(key, [packet(i, at[key], flags=flags)])
+    for age in (7, 40, 300):
+        rules = FlowRules(same(25), same(age), 60)
+        assert run(spark, rows, rules) == flows_of(rows, 25, age)
+
+
+def test_composed_steps_equal_one_block():
+    import numpy as np
+    import pandas as pd
+    from tidewire.operators import sessionize as z
+
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        t = np.cumsum(rng.choice([1, 1, 2, 5, 30], rng.integers(2, 60)))
+        e = rng.random(len(t)) < rng.choice([0, 0.1, 0.5])
+        age, k = int(rng.integers(1, 60)), int(rng.integers(1, len(t)))
+
+        def steps(a, b):
+            return z._block_steps(pd.Series([t[a:b]]), pd.Series([e[a:b]]), pd.Series([age])).iloc[0]
+
+        left, right, whole = steps(0, k), steps(k, len(t)), steps(0, len(t))
+        both = z._compose(pd.Series([t[0]]), *(pd.Series([f[c]]) for f in (left, right) for c in ("bounds", "values"))).iloc[0]
+        entering = np.append(np.arange(t[0] - age - 5, t[0]), z.NONE)
+        assert (z._leaving(both.bounds, both["values"], entering) == z._leaving(whole.bounds, whole["values"], entering)).all()
+        assert len(both.bounds) <= (t < t[0] + age).sum() + 1
+
+
+def test_busy_slices_are_cut_further(spark, monkeypatch):
+    from tidewire.operators import sessionize
+    monkeypatch.setattr(sessionize, "PACKETS_AT_ONCE", 7)
+    rng = random.Random(4)
+    rows = [packet(i, rng.randrange(-200, 3000), flags=rng.choice(["", "", "R"])) for i in range(500)]
+    df, rules = spark.createDataFrame(rows, COLUMNS), FlowRules(same(90), same(200), 100)
+    flows = sessionize_flows(df, rules)
+    placed = assign_packets(df, flows, rules).groupBy("flow_seq").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
+    assert {(r.flow_seq, r.n, r.bytes) for r in placed.collect()} == {(f.flow_seq, f.n, f.bytes) for f in flows.collect()}
+
+
 def test_packets_find_their_flow(spark):
     rows = histories(11, keys=25)
     rules = FlowRules(same(10), same(25), 20)

@@ -17,15 +17,18 @@ How it scales. No step sorts or holds a whole key:
    key. Sessions that cannot break inside are flows already.
 4. The other sessions (older than ``max_age``, or with a close in their first
    millisecond) need a walk, because every start depends on the one before.
-   It is done per (session, block of eight ages): each block says, for every
-   tick at which a flow could enter it, which flow leaves it. One small row per
-   block is then chained over the session, and the blocks are walked in
-   parallel with their entry known.
+   Sessions are cut into blocks of ``BLOCK_TICKS`` ticks. What a block does to the
+   live flow is a monotone step function: from the start of the flow that
+   enters (or none) to the start of the flow that leaves. Functions of
+   neighbours are composed in pairs, level by level, then entries are handed
+   down the same tree, and all blocks are walked in parallel with their entry
+   known. A flow that enters began within one age before the block, so a
+   function, of a block or of any number of them, has at most as many steps as
+   there are ticks within one age.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,7 +43,12 @@ from tidewire.session import materialize
 IDLE, AGE, RST, FIN, DONE = (
     "Inactivity Timeout", "Max Age Exceeded", "TCP RST", "TCP FIN", "PCAP_DONE")
 
-BLOCK_AGES = 8
+#: Ticks of a session that one array holds and one call walks.
+BLOCK_TICKS = 65_536
+#: No live flow.
+NONE = -(1 << 62)
+#: Packets of a key that ``assign_packets`` sorts at once, about.
+PACKETS_AT_ONCE = 500_000
 
 # Protocol classes as small numbers: limits are looked up without taking the key text apart.
 CLASSES = {"TCP": 0, "UDP": 1, "OTHER": 2}
@@ -241,44 +249,83 @@ def _next_starts(ts: np.ndarray, ends: np.ndarray, max_age: int) -> np.ndarray:
     return np.where(ends, here, nxt)
 
 
-def _block_exits(ts: pd.Series, ends: pd.Series, age: pd.Series) -> pd.DataFrame:
-    """Per block: entry ticks, and the start of the flow that is live at the end (-1: none)."""
-    entries, exits = [], []
+def _steps(bounds: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same function with one step per run of equal values."""
+    last = np.append(values[1:] != values[:-1], True)
+    return bounds[last], values[last]
+
+
+def _block_steps(ts: pd.Series, ends: pd.Series, age: pd.Series) -> pd.DataFrame:
+    """What a block does to the live flow: a flow that began at or before ``bounds[i]`` (but after the bound before) is
+    over within the block, and ``values[i]`` is the start of the flow that leaves; a later one leaves as it came."""
+    bounds, values = [], []
     for t, e, a in zip(ts, ends, age):
         t, e, a = np.asarray(t, dtype=np.int64), np.asarray(e, dtype=bool), int(a)
         nxt = _next_starts(t, e, a)
-        here = np.arange(len(t))
-        jump = np.where(nxt < len(t), nxt, here)
-        while True:
-            far = jump[jump]
-            if np.array_equal(far, jump):
-                break
+        jump = np.where(nxt < len(t), nxt, np.arange(len(t)))
+        while not np.array_equal(far := jump[jump], jump):
             jump = far
-        block = t[0] // (BLOCK_AGES * a) * (BLOCK_AGES * a)
-        k = max(1, int(np.searchsorted(t, block + a, side="left")) + 1)
-        out = np.where(e[jump], -1, t[jump])[:k]
-        # Flows that enter at neighbouring ticks mostly leave as one: keep the last tick of each run.
-        last = np.append(out[1:] != out[:-1], True)
-        entries.append(t[:k][last])
-        exits.append(out[last])
-    return pd.DataFrame({"entry": entries, "exit": exits})
-
-
-def _chain_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Carry the live flow over the blocks of each session: its start on entry to each (-1: none).
-
-    Blocks come sorted and pass one by one; only the start of the live flow is kept between them."""
-    at_session, live = None, -1
-    for pdf in batches:
-        out = []
-        for row in pdf.itertuples(index=False):
-            if at_session != (row.flow_key, row.session):
-                at_session, live = (row.flow_key, row.session), -1
-            out.append(live)
-            at = 0 if live < 0 else int(np.searchsorted(row.entry, live + row.max_age, side="left"))
-            if at < len(row.entry):
-                live = int(row.exit[at])
-        yield pdf[["flow_key", "session", "block"]].assign(live=out)
+        k = int(np.searchsorted(t - a, t[0] - 1)) + 1  # a flow that enters began before the block
+        b, v = _steps((t - a)[:k], np.where(e[jump], NONE, t[jump])[:k])
+        bounds.append(b)
+        values.append(v)
+    return pd.DataFrame({"bounds": bounds, "values": values})
+
+
+def _leaving(bounds: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(bounds, starts)
+    return np.where(at < len(bounds), values[np.minimum(at, len(bounds) - 1)], starts)
+
+
+def _compose(first: pd.Series, bounds: pd.Series, values: pd.Series, then_bounds: pd.Series, then_values: pd.Series
+             ) -> pd.DataFrame:
+    """The function of two neighbours from those of each; ``first``: the first tick of the left one."""
+    out_b, out_v = [], []
+    for t, b, v, gb, gv in zip(first, bounds, values, then_bounds, then_values):
+        b, v = np.asarray(b, np.int64), np.asarray(v, np.int64)
+        if gb is not None:
+            gb, gv = np.asarray(gb, np.int64), np.asarray(gv, np.int64)
+            v = _leaving(gb, gv, v)
+            if b[-1] < t - 1:  # flows that pass through the left one untouched
+                more = slice(int(np.searchsorted(gb, b[-1], "right")), int(np.searchsorted(gb, t - 1)) + 1)
+                b, v = np.concatenate([b, gb[more]]), np.concatenate([v, gv[more]])
+            b, v = _steps(b, v)
+        out_b.append(b)
+        out_v.append(v)
+    return pd.DataFrame({"bounds": out_b, "values": out_v})
+
+
+def _leaves(bounds: pd.Series, values: pd.Series, live: pd.Series) -> pd.Series:
+    return pd.Series([int(_leaving(np.asarray(b), np.asarray(v), np.int64(s))) for b, v, s in zip(bounds, values, live)],
+                     dtype="int64")
+
+
+def _entries(functions: DataFrame) -> DataFrame:
+    """``flow_key, session, block, live``: the start of the flow that enters each block (``NONE``: none).
+
+    ``functions``: ``flow_key, session, node`` (blocks of a session from 0), ``first, bounds, values``."""
+    key = ["flow_key", "session"]
+    compose = F.pandas_udf(_compose, "bounds array<long>, values array<long>")
+    leaves = F.pandas_udf(_leaves, "long")
+    levels = [materialize(functions, "steps")]
+    last = levels[0].agg(F.max("node")).first()[0] or 0
+    while last:
+        side = F.struct("node", "first", "bounds", "values")
+        pairs = levels[-1].groupBy(*key, F.floor(F.col("node") / 2).alias("pair")).agg(
+            F.sort_array(F.collect_list(side)).alias("c"))  # one or two
+        left, right = F.col("c")[0], F.get("c", 1)
+        pairs = pairs.select(*key, F.col("pair").alias("node"), left["first"].alias("first"), compose(
+            left["first"], left["bounds"], left["values"], right["bounds"], right["values"]).alias("f"))
+        levels.append(materialize(pairs.select(*key, "node", "first", "f.bounds", "f.values"), "steps"))
+        last //= 2
+    entry = levels[-1].select(*key, "node", F.lit(NONE).cast("long").alias("live"))
+    for level in reversed(levels[:-1]):
+        left = level.where(F.col("node") % 2 == 0).select(*key, (F.col("node") / 2).cast("long").alias("node"), "bounds", "values")
+        both = entry.join(left, [*key, "node"]).select(*key, F.explode(F.array(
+            F.struct((2 * F.col("node")).alias("node"), F.col("live").alias("live")),
+            F.struct((2 * F.col("node") + 1).alias("node"), leaves("bounds", "values", "live").alias("live")))).alias("e"))
+        entry = materialize(both.select(*key, "e.*"), "entries")
+    return entry.withColumnRenamed("node", "block")
 
 
 def _flow_starts(ts: pd.Series, ends: pd.Series, age: pd.Series, live: pd.Series) -> pd.Series:
@@ -287,7 +334,7 @@ def _flow_starts(ts: pd.Series, ends: pd.Series, age: pd.Series, live: pd.Series
     for t, e, a, s in zip(ts, ends, age, live):
         t, e = np.asarray(t, dtype=np.int64), np.asarray(e, dtype=bool)
         nxt = _next_starts(t, e, int(a))
-        at = 0 if s < 0 else int(np.searchsorted(t, s + int(a), side="left"))
+        at = 0 if s == NONE else int(np.searchsorted(t, s + int(a), side="left"))
         starts = np.empty(len(t), dtype=np.int64)
         starts[:at] = s
         while at < len(t):
@@ -301,44 +348,47 @@ def _flow_starts(ts: pd.Series, ends: pd.Series, age: pd.Series, live: pd.Series
 def _ticks_of(sessions: DataFrame, t: DataFrame, rules: FlowRules) -> DataFrame:
     slices = sessions.select(
         "flow_key", "session", F.col("first_ms").alias("s_first"), F.col("last_ms").alias("s_last"), "is_last",
-        F.explode(F.sequence(F.floor(F.col("first_ms") / rules.slice_ms).cast("long"),
+        "n_ticks", F.explode(F.sequence(F.floor(F.col("first_ms") / rules.slice_ms).cast("long"),
                              F.floor(F.col("last_ms") / rules.slice_ms).cast("long"))).alias("slice"))
     return t.join(slices, ["flow_key", "slice"]).where(F.col("ts_ms").between(F.col("s_first"), F.col("s_last")))
 
 
-def _place_ticks(inside: DataFrame, rules: FlowRules) -> DataFrame:
-    """Ticks of sessions that may break, with the start ``flow_ms`` of the flow each belongs to."""
+def _place_ticks(inside: DataFrame, rules: FlowRules, long_ones: bool) -> DataFrame:
+    """Ticks of sessions that may break, with the start ``flow_ms`` of the flow each belongs to.
+
+    ``long_ones``: some session has more than one block."""
+    key = ["flow_key", "session"]
     age = rules.max_age(F.col("kind"))
-    block = F.floor(F.col("ts_ms") / (F.lit(BLOCK_AGES) * age)).cast("long")
+    ticks_ = inside.select(*key, "slice", "ts_ms", "ends", "kind", "n_ticks")
+    cut = ticks_.where(F.col("n_ticks") <= BLOCK_TICKS).withColumn("block", F.lit(0).cast("long"))
+    if long_ones:
+        ranked = sliced_rank(ticks_.where(F.col("n_ticks") > BLOCK_TICKS), key, "slice", ["ts_ms"], "at")
+        cut = cut.unionByName(ranked.withColumn("block", F.floor(F.col("at") / BLOCK_TICKS).cast("long")).drop("at"))
     blocks = (
-        inside.groupBy("flow_key", "session", block.alias("block"))
-        .agg(F.sort_array(F.collect_list(F.struct("ts_ms", "ends"))).alias("t"),
-             F.min("s_first").alias("s_first"), F.max("s_last").alias("s_last"), F.min("kind").alias("kind"))
-        .select("flow_key", "session", "block", F.col("t.ts_ms").alias("ts"), F.col("t.ends").alias("ends"),
-                age.alias("max_age"),
-                (F.floor(F.col("s_first") / (F.lit(BLOCK_AGES) * age))
-                 < F.floor(F.col("s_last") / (F.lit(BLOCK_AGES) * age))).alias("several"))
+        cut.groupBy(*key, "block")
+        .agg(F.sort_array(F.collect_list(F.struct("ts_ms", "ends"))).alias("t"), F.min("kind").alias("kind"),
+             F.max("n_ticks").alias("n_ticks"))
+        .select(*key, "block", "n_ticks", F.col("t.ts_ms").alias("ts"), F.col("t.ends").alias("ends"), age.alias("max_age"))
     )
-    exits = F.pandas_udf(_block_exits, "entry array<long>, exit array<long>")
+    if long_ones:
+        blocks = materialize(blocks, "blocks")
+        steps = F.pandas_udf(_block_steps, "bounds array<long>, values array<long>")
+        functions = blocks.where(F.col("n_ticks") > BLOCK_TICKS).select(
+            *key, F.col("block").alias("node"), F.col("ts")[0].alias("first"), steps("ts", "ends", "max_age").alias("f"))
+        entries = _entries(functions.select(*key, "node", "first", "f.bounds", "f.values"))
+        blocks = blocks.join(entries, [*key, "block"], "left")
+    else:
+        blocks = blocks.withColumn("live", F.lit(None).cast("long"))
     starts_of = F.pandas_udf(_flow_starts, "array<long>")
-    entries = (
-        blocks.where("several")
-        .select("flow_key", "session", "block", "max_age", exits("ts", "ends", "max_age").alias("f"))
-        .select("flow_key", "session", "block", "max_age", "f.entry", "f.exit")
-        .repartition("flow_key", "session").sortWithinPartitions("flow_key", "session", "block")
-        .mapInPandas(_chain_blocks, "flow_key string, session long, block long, live long")
-    )
     starts = (
-        blocks.join(entries, ["flow_key", "session", "block"], "left")
-        .select("flow_key", "ts",
-                starts_of("ts", "ends", "max_age", F.coalesce("live", F.lit(-1).cast("long"))).alias("starts"))
+        blocks.select("flow_key", "ts", starts_of("ts", "ends", "max_age", F.coalesce("live", F.lit(NONE).cast("long"))).alias("starts"))
         .select("flow_key", F.explode(F.arrays_zip("ts", "starts")).alias("z"))
         .select("flow_key", F.col("z.ts").alias("ts_ms"), F.col("z.starts").alias("flow_ms"))
     )
     return inside.join(starts, ["flow_key", "ts_ms"])
 
 
-def _split_sessions(packets: DataFrame, inside: DataFrame, rules: FlowRules) -> DataFrame:
+def _split_sessions(packets: DataFrame, inside: DataFrame, rules: FlowRules, long_ones: bool) -> DataFrame:
     """Flows of the sessions that may break inside."""
     with_fin = _has_numbers(packets)
     last_close = F.col("last_rst")
@@ -350,7 +400,7 @@ def _split_sessions(packets: DataFrame, inside: DataFrame, rules: FlowRules) ->
         last_close = F.greatest(F.col("last_rst"), F.col("last_fin"))
     inside = inside.withColumn("closes", last_close.isNotNull()).withColumn(
         "ends", F.coalesce(last_close == F.col("last_id"), F.lit(False)))
-    placed = materialize(_place_ticks(inside, rules), "placed-ticks")
+    placed = materialize(_place_ticks(inside, rules, long_ones), "placed-ticks")
     at_start = F.col("ts_ms") == F.col("flow_ms")
     mixed = at_start & F.col("closes") & (F.col("n") > 1)
 
@@ -411,13 +461,14 @@ def flow_sums(packets: DataFrame, rules: FlowRules | None = None) -> DataFrame:
         old = F.col("last_ms") - F.col("first_ms") >= rules.max_age(F.col("kind"))
         reason = F.when(F.col("start_rst") & (F.col("n") == 1), RST).when(F.col("is_last"), DONE).otherwise(IDLE)
         sessions = materialize(
-            sessions.select(*SESSION_COLUMNS, "session", "is_last", reason.alias("end_reason"),
+            sessions.select(*SESSION_COLUMNS, "session", "is_last", "n_ticks", reason.alias("end_reason"),
                             F.when(close_at_start | old, "breaks").otherwise("whole").alias("fate")),
             "sessions", "fate")
         flows = sessions.where("fate = 'whole'").select(*SESSION_COLUMNS, "end_reason")
         broken = sessions.where("fate = 'breaks'")
-        if not broken.isEmpty():
-            flows = flows.unionByName(_split_sessions(packets, _ticks_of(broken, t, rules), rules))
+        longest = broken.agg(F.max("n_ticks")).first()[0]
+        if longest:
+            flows = flows.unionByName(_split_sessions(packets, _ticks_of(broken, t, rules), rules, longest > BLOCK_TICKS))
         return flows
     finally:
         t.unpersist()
@@ -451,7 +502,7 @@ def assign_packets(packets: DataFrame, flows: DataFrame, rules: FlowRules | None
     The flows of a key are runs of its packets in the order (time, id), so a packet belongs
     to the last flow that started at or before it. Flow starts are laid between the packets,
     once per time slice the flow covers, and carried forward inside the slice. Slices are as short
-    as the idle limit, to keep what is sorted at once of a busy key small."""
+    as the idle limit; a slice of a busy key is cut further, into parts of about ``PACKETS_AT_ONCE`` packets."""
     rules = rules or FlowRules()
     slice_ms = max(rules.idle_ms.values())
     packets = keyed_packets(packets)
@@ -460,21 +511,35 @@ def assign_packets(packets: DataFrame, flows: DataFrame, rules: FlowRules | None
     def slice_of(c) -> Column:
         return F.floor(F.col(c) / slice_ms).cast("long")
 
+    counts = packets.groupBy("flow_key", slice_of("ts_ms").alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+    busy = counts.where(F.col("n") > PACKETS_AT_ONCE).select(
+        "flow_key", "slice", F.ceil(F.col("n") / PACKETS_AT_ONCE).cast("long").alias("parts"))
+    busy = materialize(busy, "busy-slices")
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.join(busy, ["flow_key", "slice"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+
+    def part_of(c: str) -> Column:
+        return F.floor(F.pmod(F.col(c), F.lit(slice_ms)) * F.col("parts") / slice_ms).cast("long")
+
     begun = slice_of("first_seen_ms")
-    marks = flows.select(
-        "flow_key", "flow_seq", "first_seen_ms", "first_packet_id", begun.alias("begun"),
-        F.explode(F.sequence(begun, slice_of("last_seen_ms"))).alias("slice"))
-    first = F.col("slice") == F.col("begun")
+    marks = cut(flows.select(
+        "flow_key", "flow_seq", "first_seen_ms", "last_seen_ms", "first_packet_id", begun.alias("begun"),
+        F.explode(F.sequence(begun, slice_of("last_seen_ms"))).alias("slice")))
+    first_part = F.when(F.col("slice") == F.col("begun"), part_of("first_seen_ms")).otherwise(0)
+    last_part = F.when(F.col("slice") == slice_of("last_seen_ms"), part_of("last_seen_ms")).otherwise(F.col("parts") - 1)
+    marks = marks.withColumn("first_part", first_part).withColumn("part", F.explode(F.sequence("first_part", last_part)))
+    first = (F.col("slice") == F.col("begun")) & (F.col("part") == F.col("first_part"))
     marks = marks.select(
-        "flow_key", "slice",
+        "flow_key", "slice", "part",
         F.when(first, F.col("first_seen_ms")).otherwise(F.col("slice") * slice_ms).alias("at_ms"),
         F.when(first, F.col("first_packet_id")).otherwise(-1).alias("at_id"),
         "flow_seq", F.lit(None).cast(packets.select(F.struct(*columns)).schema[0].dataType).alias("p"))
-    rows = packets.select(
-        "flow_key", slice_of("ts_ms").alias("slice"), F.col("ts_ms").alias("at_ms"),
+    rows = cut(packets.withColumn("slice", slice_of("ts_ms"))).select(
+        "flow_key", "slice", part_of("ts_ms").alias("part"), F.col("ts_ms").alias("at_ms"),
         F.col("packet_id").alias("at_id"), F.lit(None).cast("long").alias("flow_seq"),
         F.struct(*columns).alias("p"))
-    w = (Window.partitionBy("flow_key", "slice").orderBy("at_ms", "at_id", F.col("p").isNotNull())
+    w = (Window.partitionBy("flow_key", "slice", "part").orderBy("at_ms", "at_id", F.col("p").isNotNull())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
         marks.unionByName(rows)

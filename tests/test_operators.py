@@ -413,3 +413,45 @@ def test_boosted_trees_learn_are_stored_and_score_alike(spark, tmp_path):
     few = boosting.fit_boosted(df, ["a", "b", "c"], "y", ["id"], boosting.Growth(rounds=2), most_rows=40)
     assert len(few.trees) == 2
     assert boosting.fit_boosted(df.limit(0), ["a"], "y", ["id"], boosting.Growth(rounds=2)).trees == []
+
+
+def test_ranges_of_any_length(spark):
+    import ipaddress
+    import random
+
+    rng, taken, ranges = random.Random(6), [], []
+    for i in range(120):
+        bits = rng.choice([3, 8, 13, 20, 31, 60, 100, 127, 128])
+        low = rng.getrandbits(bits) << (128 - bits)
+        high = min(2 ** 128 - 1, low + rng.choice([0, 1, 6, 2 ** (128 - bits) - 1, rng.getrandbits(129 - bits)]))
+        if low >> 32 != 0xFFFF and all(high < a or b < low for a, b in taken):
+            taken.append((low, high))
+            ranges.append((str(ipaddress.IPv6Address(low)), str(ipaddress.IPv6Address(high)), f"six{i}"))
+    four = []
+    for i in range(60):
+        low = rng.getrandbits(32)
+        high = min(2 ** 32 - 1, low + rng.choice([0, 5, 255, 2 ** 16, 2 ** 26]))
+        if all(high < a or b < low for a, b, _ in four):
+            four.append((low, high, f"four{i}"))
+    ranges += [(str(ipaddress.IPv4Address(a)), str(ipaddress.IPv4Address(b)), v) for a, b, v in four]
+    asked = {}
+    for a, b, v in ranges:
+        for at in {0, 1, -1}:
+            for end in (a, b):
+                ip = ipaddress.ip_address(end)
+                if 0 <= int(ip) + at < 2 ** ip.max_prefixlen:
+                    asked[str(type(ip)(int(ip) + at))] = None
+    for ip in asked:
+        n = ipaddress.ip_address(ip)
+        asked[ip] = next((v for a, b, v in ranges if type(n) is type(ipaddress.ip_address(a))
+                          and ipaddress.ip_address(a) <= n <= ipaddress.ip_address(b)), None)
+    got = enrich.range_lookup(spark.createDataFrame([(ip,) for ip in asked] + [("no address",), (None,)], "ip string"),
+                              spark.createDataFrame(ranges + [(None, "1.1.1.1", "x"), ("bad", "1.1.1.1", "x")],
+                                                    "start_ip string, end_ip string, country string"), "country")
+    assert {r.ip: r.country for r in got.collect()} == asked
+    nested = spark.createDataFrame([("10.0.0.0", "10.255.255.255", "wide"), ("10.1.0.0", "10.1.255.255", "narrow"),
+                                    ("10.1.0.0", "10.1.255.255", "a twin")], "start_ip string, end_ip string, country string")
+    got = enrich.range_lookup(spark.createDataFrame([("10.1.2.3",), ("10.2.0.0",)], "ip string"), nested, "country")
+    assert {r.ip: r.country for r in got.collect()} == {"10.1.2.3": "narrow", "10.2.0.0": "wide"}
+    assert got.where("country = 'none'").count() == 0
+    assert enrich.range_lookup(got.select("ip"), nested.limit(0), "country").where("country is not null").count() == 0

@@ -5,7 +5,10 @@ reference table, and the answers join back."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewire.functions.addresses import ip_sort_key, is_private_ip, is_valid_ip
 from tidewire.functions.text import parse_whois_org
@@ -14,44 +17,69 @@ from tidewire.session import materialize
 INVALID, PRIVATE, MISSING = "Invalid IP", "Private IP", "N/A"
 
 V4_PREFIX = "0" * 20 + "ffff"
-V4_BUCKET, V6_BUCKET = 28, 8
-
-
-def _bucket_length(key: Column) -> Column:
-    return F.when(key.startswith(V4_PREFIX), V4_BUCKET).otherwise(V6_BUCKET)
+HEX = "0123456789abcdef"
+#: Prefixes of at most so many bits of their family are few by their number alone: below 2 ** (SHORT_BITS + 1).
+SHORT_BITS = 12
+
+
+def _cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Splits each range into the fewest blocks that are prefixes: ``v4, bits, prefix, value``."""
+    for pdf in batches:
+        out = []
+        for start, end, value in zip(pdf["start"], pdf["end"], pdf["value"]):
+            v4 = start.startswith(V4_PREFIX) and end.startswith(V4_PREFIX)
+            low, high = int(start, 16), int(end, 16)
+            while low <= high:
+                size = low & -low or 1 << 128
+                while low + size - 1 > high:
+                    size >>= 1
+                bits = 129 - size.bit_length()
+                out.append((v4, bits, f"{low:032x}"[:-(-bits // 4)], value))
+                low += size
+        yield pd.DataFrame(out, columns=["v4", "bits", "prefix", "value"])
+
+
+def _prefix(key: Column, bits: int) -> Column:
+    """The first ``bits`` bits of a key, as hex digits; what is left of the last digit is zero."""
+    whole, rest = divmod(bits, 4)
+    if not rest:
+        return F.left(key, F.lit(whole))
+    kept = "".join(HEX[i >> (4 - rest) << (4 - rest)] for i in range(16))
+    return F.concat(F.left(key, F.lit(whole)), F.translate(F.substring(key, whole + 1, 1), HEX, kept))
 
 
 def range_lookup(ips: DataFrame, ranges: DataFrame, value: str, ip: str = "ip") -> DataFrame:
     """Distinct addresses ``ip`` with the ``value`` of the range that holds them (null: none).
 
-    ``ranges`` has ``start_ip, end_ip, value``; ranges do not overlap. Instead of comparing every
-    address with every range, both are laid in one order inside buckets (/16 for IPv4, /32 for IPv6)
-    and the last range start is carried forward, so the cost is linear in both."""
-    keyed = ips.select(F.col(ip).alias("ip"), ip_sort_key(ip).alias("at")).where(F.col("at").isNotNull())
-    keyed = keyed.withColumn("bucket", F.left("at", _bucket_length(F.col("at"))))
-
-    def number(key: Column) -> Column:
-        return F.conv(F.right(F.left(key, _bucket_length(key)), F.lit(8)), 16, 10).cast("long")
-
+    ``ranges`` has ``start_ip, end_ip, value``. Each range becomes the few prefixes that cover it, at most 254 of any
+    length from 0 to 128 bits. An address is looked up once per prefix length that occurs, by equality; the longest match
+    wins, of equal ones the greatest value. Short prefixes, which very many addresses share, are few by their number of
+    bits and broadcast; the others meet by hash."""
+    key = F.col("at")
+    keyed = ips.select(F.col(ip).alias("ip"), ip_sort_key(ip).alias("at")).where(key.isNotNull()).select(
+        "ip", "at", key.startswith(V4_PREFIX).alias("v4"))
     bounds = ranges.select(ip_sort_key("start_ip").alias("start"), ip_sort_key("end_ip").alias("end"),
-                           F.col(value).alias("value")).where("start is not null and end is not null")
-    head = F.when(F.col("start").startswith(V4_PREFIX), F.lit("0" * 20)).otherwise("")
-    marks = bounds.select(
-        "start", "end", "value", head.alias("head"),
-        F.explode(F.sequence(number(F.col("start")), number(F.col("end")))).alias("b")
-    ).select(
-        F.concat("head", F.lpad(F.lower(F.hex("b")), 8, "0")).alias("bucket"), "start", "end", "value")
-    marks = marks.select("bucket", F.greatest("start", F.rpad("bucket", 32, "0")).alias("at"),
-                         F.lit(None).cast("string").alias("ip"), F.struct("end", "value").alias("r"))
-    rows = keyed.select("bucket", "at", "ip", F.lit(None).cast("struct<end:string,value:string>").alias("r"))
-    w = (Window.partitionBy("bucket").orderBy("at", F.col("ip").isNotNull())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (
-        marks.unionByName(rows)
-        .withColumn("r", F.last("r", ignorenulls=True).over(w))
-        .where(F.col("ip").isNotNull())
-        .select("ip", F.when(F.col("at") <= F.col("r.end"), F.col("r.value")).alias(value))
-    )
+                           F.col(value).cast("string").alias("value")).where("start is not null and end is not null")
+    blocks = bounds.mapInPandas(_cover, "v4 boolean, bits int, prefix string, value string")
+    blocks = materialize(blocks.groupBy("v4", "bits", "prefix").agg(F.max("value").alias("value")), "prefixes")
+    lengths = [(r.v4, r.bits) for r in blocks.select("v4", "bits").distinct().collect()]  # at most 129 for each family
+
+    def hits(short: bool) -> DataFrame | None:
+        wanted = [(v4, bits) for v4, bits in lengths if (bits - 96 * v4 <= SHORT_BITS) == short]
+        if not wanted:
+            return None
+        probes = F.array(*[F.struct(F.lit(v4).alias("v4"), F.lit(bits).alias("bits"), _prefix(key, bits).alias("prefix"))
+                           for v4, bits in sorted(wanted)])
+        probed = keyed.select("ip", "v4", F.explode(probes).alias("p")).where("v4 = p.v4").select("ip", "p.*")
+        few = (F.col("bits") - F.when(F.col("v4"), 96).otherwise(0) <= SHORT_BITS) == short
+        side = blocks.where(few)
+        return probed.join(F.broadcast(side) if short else side, ["v4", "bits", "prefix"]).select("ip", "bits", "value")
+
+    found = keyed.select("ip", F.lit(-1).alias("bits"), F.lit(None).cast("string").alias("value"))
+    for part in (hits(True), hits(False)):
+        found = found if part is None else found.unionByName(part)
+    best = found.groupBy("ip").agg(F.max(F.struct("bits", "value"))["value"].alias("v"))
+    return best.select("ip", F.col("v").alias(value))
 
 
 def _geo_answer(ip: Column, found: Column) -> Column:

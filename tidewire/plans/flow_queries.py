@@ -361,6 +361,67 @@ def _(spark, sf):
     return enrich.enrich_org(_ips(spark, sf), reference_tables(spark)["asn"])
 
 
+# Fixed values of the fixture: multipliers that spread keys over 32 bits.
+SPREAD = (2654435761, 2246822519, 3266489917, 668265263)
+
+
+def _spread_sql(key: str) -> str:
+    return ", ".join(f"({key} * {m}) % 4294967296 AS p{i}" for i, m in enumerate(SPREAD))
+
+
+def _spelled_sql(v6: str, parts: list[str]) -> str:
+    hexed = ", ".join(f"printf('%x', ({p}) >> 16), printf('%x', ({p}) & 65535)" for p in parts)
+    return (f"CASE WHEN {v6} THEN concat_ws(':', {hexed}) ELSE concat_ws('.', ({parts[0]}) >> 24, (({parts[0]}) >> 16) & 255, "
+            f"(({parts[0]}) >> 8) & 255, ({parts[0]}) & 255) END")
+
+
+# Ranges of /4 to /32 (IPv4) and /3 to /128 (IPv6) from the customers, addresses from those who caused events.
+_PREFIXED = (
+    f"""ranged AS (SELECT k, v6, bits, {', '.join(f'p{i} >> (32 - m{i}) << (32 - m{i}) AS s{i}' for i in range(4))},
+  {', '.join(f'(p{i} >> (32 - m{i}) << (32 - m{i})) + (1::BIGINT << (32 - m{i})) - 1 AS e{i}' for i in range(4))}
+FROM (SELECT *, {', '.join(f'least(greatest(bits - {32 * i}, 0), 32) AS m{i}' for i in range(4))}
+  FROM (SELECT c_custkey AS k, c_custkey % 2 = 0 AS v6, CASE WHEN c_custkey % 2 = 0 THEN 3 + (c_custkey // 2) % 126
+    ELSE 4 + c_custkey % 29 END AS bits, {_spread_sql('c_custkey')} FROM customer)))""",
+    f"""asked AS (SELECT DISTINCT user_id % 2 = 0 AS v6, p0, p1, p2, p3 FROM (SELECT user_id, p0, p1, p2,
+  CASE WHEN event_id % 3 = 0 THEN p3 ELSE (p3 + event_id) % 4294967296 END AS p3
+  FROM (SELECT user_id, event_id, {_spread_sql('user_id')} FROM events)))""")
+
+
+@query("range_prefixes", sql("packets", f"""
+SELECT {_spelled_sql('a.v6', ['p0', 'p1', 'p2', 'p3'])} AS ip,
+  coalesce(arg_max('net' || k, (bits, 'net' || k)), 'none') AS net
+FROM (SELECT DISTINCT v6, p0, CASE WHEN v6 THEN p1 END AS p1, CASE WHEN v6 THEN p2 END AS p2, CASE WHEN v6 THEN p3 END AS p3
+  FROM asked) a
+LEFT JOIN ranged r ON a.v6 = r.v6 AND p0 BETWEEN s0 AND e0 AND (NOT a.v6 OR (p1 BETWEEN s1 AND e1 AND p2 BETWEEN s2 AND e2
+  AND p3 BETWEEN s3 AND e3)) GROUP BY ALL""", *_PREFIXED))
+def _(spark, sf):
+    def spread(key, i):
+        return (F.col(key) * F.lit(SPREAD[i])) % F.lit(1 << 32)
+
+    def spelled(v6, parts):
+        groups = [F.lower(F.hex(g)) for p in parts for g in (F.shiftright(p, 16), p.bitwiseAND(0xFFFF))]
+        octets = [F.shiftright(parts[0], n).bitwiseAND(255).cast("string") for n in (24, 16, 8, 0)]
+        return F.when(v6, F.concat_ws(":", *groups)).otherwise(F.concat_ws(".", *octets))
+
+    k = F.col("c_custkey").cast("long")
+    v6 = k % 2 == 0
+    bits = F.when(v6, 3 + F.floor(k / 2) % 126).otherwise(4 + k % 29).cast("int")
+    masks = [F.least(F.greatest(bits - 32 * i, F.lit(0)), F.lit(32)) for i in range(4)]
+    rows = table(spark, sf, "customer").select("c_custkey", v6.alias("v6"), *[
+        F.pow(F.lit(2.0), 32 - m).cast("long").alias(f"w{i}") for i, m in enumerate(masks)], *[
+        spread("c_custkey", i).alias(f"p{i}") for i in range(4)])
+    starts = [F.col(f"p{i}") - F.col(f"p{i}") % F.col(f"w{i}") for i in range(4)]
+    ranges = rows.select(spelled(F.col("v6"), starts).alias("start_ip"),
+                         spelled(F.col("v6"), [s + F.col(f"w{i}") - 1 for i, s in enumerate(starts)]).alias("end_ip"),
+                         F.concat(F.lit("net"), F.col("c_custkey")).alias("net"))
+    parts = [spread("user_id", i).alias(f"p{i}") for i in range(3)]
+    last = spread("user_id", 3)
+    last = F.when(F.col("event_id") % 3 == 0, last).otherwise((last + F.col("event_id")) % F.lit(1 << 32))
+    asked = table(spark, sf, "events").select((F.col("user_id") % 2 == 0).alias("v6"), *parts, last.alias("p3"))
+    ips = asked.select(spelled(F.col("v6"), [F.col(f"p{i}") for i in range(4)]).alias("ip")).distinct()
+    return enrich.range_lookup(ips, ranges, "net").select("ip", F.coalesce("net", F.lit("none")).alias("net"))
+
+
 @query("enrich_domain", sql("facts", "SELECT ip, domain FROM facts"))
 def _(spark, sf):
     return enrich.enrich_domain(_ips(spark, sf), reference_tables(spark)["rdns"])

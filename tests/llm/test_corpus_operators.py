@@ -118,6 +118,34 @@ def test_mix(docs, rows):
     assert mixed.columns == docs.columns
 
 
+NAMES = ["rank", "target", "source_size", "taken", "times", "shard", "Size", "size", "keep_id", "n_words", "kept",
+         "component_id", "n_shingles", "round", "held"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    names = [n for n in NAMES if n != "size"]  # a table cannot have both spellings
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(*r[:5], *(f"{n} of {r[0]}" for n in names)) for r in rows], schema)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert all(getattr(r, n) == f"{n} of {r.doc_id}" for r in out.collect() for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
+
+
+def test_rows_without_an_id_are_spread_over_the_ring(spark):
+    rows = [(None, f"w{i} x", "hot") for i in range(400)] + [(i, "a b", "small") for i in range(30)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        assert r["taken"] <= 2 * r["size"]
+    assert len({r["shard"] for r in got if r["source"] == "hot"}) > 5 and len(got) == 430 and taken["small"] > 0
+
+
 def test_mix_meets_small_sources_beside_a_very_large_one(spark):
     sizes = {"hot": [10_000] * 320, "tiny": [1] * 10, "under": [7] * 6, "over": [8] * 10, "mid": [30] * 100}
     assert sum(sizes["tiny"]) * 200_000 < sum(map(sum, sizes.values()))

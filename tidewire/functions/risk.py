@@ -40,3 +40,9 @@ def max_severity(mask: Column | str, risks: RiskTable) -> Column:
           for bit, (_, severity) in sorted(risks.items())])
     names = F.array(F.lit(NO_RISK), F.lit(UNKNOWN_SEVERITY), *[F.lit(s) for s in SEVERITIES])
     return F.get(names, top + 1)
+
+
+def highest_severity(severity: Column | str) -> Column:
+    """Aggregate: the highest severity of a group's rows; "No risk" when none has a known name."""
+    name = F.col(severity) if isinstance(severity, str) else severity
+    return F.coalesce(F.max_by(name, severity_rank(name)), F.lit(NO_RISK))

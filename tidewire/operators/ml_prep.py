@@ -81,6 +81,11 @@ def log_clip(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         c: F.log1p(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(CLIP))) for c in columns or MODEL_FEATURES})
 
 
+def log_v1(df: DataFrame) -> DataFrame:
+    """The first preparation: log1p of three columns, nothing clipped."""
+    return df.withColumns({c: F.log1p(F.col(c)) for c in V1_LOG_COLUMNS})
+
+
 def prepare(flows: DataFrame) -> DataFrame:
     """Published flow features to model features, one shared list for fitting and scoring."""
     named = flows.withColumn("flow_duration_ms", F.col("duration_ms"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.addresses import normalize_ip
 from tidewire.functions.keys import flow_signature
+from tidewire.functions.risk import highest_severity
 from tidewire.functions.text import format_ts_ms, row_contains
 from tidewire.operators import compare, enrich, rollups
 from tidewire.operators.features import FEATURES, flow_lists, flows_with_features
@@ -166,6 +167,18 @@ def _(spark, sf):
     return risky_flows(stored_flows(spark, sf)).select(*FLOW_ID, "risk_severity")
 
 
+_RANKS = """ranks(risk_severity, place) AS (VALUES ('Unknown severity', 0), ('Low', 1), ('Medium', 2), ('High', 3),
+  ('Severe', 4), ('Critical', 5), ('Emergency', 6))"""
+
+
+@query("highest_severity", sql("risky", """
+SELECT src_ip, coalesce(arg_max(risk_severity, place), 'No risk') AS severity, count(*) AS flows
+FROM risky LEFT JOIN ranks USING (risk_severity) GROUP BY src_ip""", _RANKS))
+def _(spark, sf):
+    return risky_flows(stored_flows(spark, sf)).groupBy("src_ip").agg(
+        highest_severity("risk_severity").alias("severity"), F.count(F.lit(1)).alias("flows"))
+
+
 @query("label_by_ip", sql("labelled", "SELECT flow_key, flow_seq, label, label AS label_by_table FROM labelled"))
 def _(spark, sf):
     flows = stored_flows(spark, sf)

@@ -69,6 +69,19 @@ def _(spark, sf):
     return out.select(*FLOW_ID, r6("duration_ms").alias("duration_ms"), r6("bytes").alias("bytes"))
 
 
+@query("log_v1", sql("flows", """
+SELECT flow_key, flow_seq, round(ln(1 + bytes_per_second), 6) AS bytes_per_second,
+  round(ln(1 + packets_per_second), 6) AS packets_per_second, round(ln(1 + avg_packet_interval_ms), 4) AS avg_packet_interval_ms
+FROM (SELECT c.*, d.avg_packet_interval_ms FROM clean c JOIN derived d USING (flow_key, flow_seq))""", _CLEAN,
+    "derived AS (" + _derived("1.0", ml_prep.ZERO_RULES["v1"][1]).replace(", 4) AS avg_packet", ", 12) AS avg_packet") + ")"))
+def _(spark, sf):
+    rows = stored_flows(spark, sf).withColumn("flow_duration_ms", F.col("duration_ms"))
+    out = ml_prep.log_v1(ml_prep.derived_features(ml_prep.clean_features(rows), "v1"))
+    return out.select(*FLOW_ID, r6("bytes_per_second").alias("bytes_per_second"),
+                      r6("packets_per_second").alias("packets_per_second"),
+                      F.round("avg_packet_interval_ms", 4).alias("avg_packet_interval_ms"))
+
+
 _SPLIT = """split AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', flow_key,
     flow_seq::VARCHAR, '42')), flow_key, flow_seq) <= floor(count(*) OVER (PARTITION BY label) * 0.7::DOUBLE)
   THEN 'train' ELSE 'test' END AS part FROM labelled)"""

@@ -41,7 +41,7 @@ WIDTH = 16
 ROUNDS = 2
 BATCH = 8192
 RATE = 0.5
-BYTES_AT_ONCE = 16_000_000
+BYTES_AT_ONCE = 24_000_000
 PARAMETERS = 8192  # of a block
 FEW = 1024  # a batch divided by this: rows of a word in it that count as one
 

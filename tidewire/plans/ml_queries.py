@@ -323,3 +323,9 @@ def _(spark, sf):
     rows = ml_prep.log_clip(ml_prep.prepare(stored_flows(spark, sf).withColumn("y", (F.col("min_packet_length") >= 200).cast("int"))))
     path = fitted(spark, sf, "length", lambda: ml_models.train_classifier(rows, ml_prep.MODEL_FEATURES, "y", FLOW_ID))
     return ml_models.feature_importance(BoostedTrees.load(spark, path), rows, top=1).select("feature")
+
+
+@query("feature_importances")
+def _(spark, sf):
+    model, split = _classifier(spark, sf)
+    return ml_models.feature_importance(model, split)

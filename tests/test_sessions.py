@@ -218,7 +218,7 @@ def stream(spark, steps, rules, lateness=0):
         packets = spark.readStream.schema(COLUMNS).parquet(source)
         jobs.run_available(sessions.stream_sessionize(packets, rules, lateness), out, cp)
     closed = jobs.read_batches(spark, out).drop("batch_id")
-    return closed.unionByName(sessions.live_flows(spark, cp))
+    return sessions.number_flows(closed.unionByName(sessions.live_flows(spark, cp)))
 
 
 def test_stream_equals_batch(spark):
@@ -242,3 +242,88 @@ def test_late_packet_joins_its_flow(spark, lateness):
     f = sessions.state_to_flows(flows.where("flow_key like '10.0.0%'")).first()
     assert (f.packet_count, f.first_seen_ms, f.last_seen_ms) == (2, 1000, 3000)
     assert (f.inter_arrival_time_min, f.inter_arrival_time_max) == (2000, 2000)
+
+
+def run_stream(spark, steps, rules, lateness, folders):
+    source, out, cp = folders
+    for rows in steps:
+        spark.createDataFrame(rows, COLUMNS).write.mode("append").parquet(source)
+        packets = spark.readStream.schema(COLUMNS).parquet(source)
+        jobs.run_available(sessions.stream_sessionize(packets, rules, lateness), out, cp)
+
+
+@pytest.mark.parametrize("lateness", [0, 5])
+def test_state_is_empty_when_all_flows_have_closed(spark, lateness):
+    folders = [shared_folder(spark, n) for n in ("src", "out", "cp")]
+    rules = FlowRules(same(10), same(25), 40)
+    rows = sorted(histories(31, keys=15), key=lambda r: r[2])
+    steps = [rows[:len(rows) // 2], rows[len(rows) // 2:]]
+    run_stream(spark, steps, rules, lateness, folders)
+    # A packet of far later times closes all; it is the only one left.
+    run_stream(spark, [[packet(10 ** 6, 10 ** 9, a="10.250.0.1", **U)]], rules, lateness, folders)
+    left = [r.flow_key for r in sessions.live_flows(spark, folders[2]).collect()]
+    assert left == ([] if lateness else ["10.0.0.2_10.250.0.1_80_1000_UDP"])
+    def state(option, value):
+        return spark.read.format("statestore").option("path", folders[2]).option(option, value).load()
+
+    assert state("stateVarName", "early").count() == (1 if lateness else 0)
+    assert state("readRegisteredTimers", True).count() == 1
+    closed = sorted((f.flow_key, f.first_ms, f.last_ms, f.n, f.bytes) for f in jobs.read_batches(spark, folders[1]).collect())
+    assert closed == sorted(f[:5] for f in flows_of(rows, 10, 25))
+
+
+@pytest.mark.parametrize("lateness", [0, 300])
+def test_a_hot_key_in_many_chunks(spark, monkeypatch, lateness):
+    """All packets of one key, out of order, in Arrow batches of 50 rows; pieces are cut and taken out in order."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    monkeypatch.setattr(sessions, "PIECE_ROWS", 4)
+    try:
+        rnd = random.Random(5)
+        ts, rows = 0, []
+        for i in range(1500):
+            ts += rnd.choice([0, 0, 1, 2, 5, 30])
+            rows.append(packet(i, ts, length=60 + i % 9, flags=rnd.choice(["", "A", "R", "S"])))
+        near = [rows[i] for i in sorted(range(len(rows)), key=lambda i: i + rnd.randrange(40))]
+        end = [packet(10 ** 6, 10 ** 8, a="10.250.0.1", **U)]
+        folders = [shared_folder(spark, n) for n in ("src", "out", "cp")]
+        steps = [near[:700], near[700:], end, [packet(10 ** 6 + 1, 10 ** 8 + 1, a="10.250.0.1", **U)]] if lateness else [near, end]
+        run_stream(spark, steps, FlowRules(same(25), same(200), 40), lateness, folders)
+        got = jobs.read_batches(spark, folders[1]).where("flow_key like '10.0.0.1%'").collect()
+        want = [f[:5] for f in flows_of(rows, 25, 200)]
+        assert sorted((f.flow_key, f.first_ms, f.last_ms, f.n, f.bytes) for f in got) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pieces_keep_all_packets_in_order():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows = np.zeros(3000, sessions.PACKET)
+    rows["ts_ms"], rows["packet_id"] = np.sort(rng.integers(0, 900, 3000)), np.arange(3000)
+    parts = sessions.pieces(rows, 50)
+    assert (np.concatenate(parts) == rows).all() and min(map(len, parts[:-1])) >= sessions.PIECE_ROWS
+    assert all(a["ts_ms"][-1] // 50 < b["ts_ms"][0] // 50 for a, b in zip(parts, parts[1:]))
+    assert sessions.pieces(rows[:0], 50) == []
+
+
+def test_changed_flows_between_batches(spark):
+    setting = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+    spark.conf.set(setting, "true")
+    try:
+        folders = [shared_folder(spark, n) for n in ("src", "out", "cp")]
+        rules = FlowRules(same(1000), same(10 ** 6), 10 ** 5)
+        first = [packet(0, 0, a="10.1.0.1", **U), packet(1, 0, a="10.1.0.2", **U), packet(2, 0, a="10.1.0.3", **U)]
+        run_stream(spark, [first], rules, 0, folders)
+        before = jobs.last_batch(spark, folders[2])
+        # One grows, one is new, one ends by its own next packet and begins again, one is left as it is.
+        run_stream(spark, [[packet(3, 900, a="10.1.0.1", **U), packet(4, 900, a="10.1.0.4", **U)]], rules, 0, folders)
+        middle = jobs.last_batch(spark, folders[2])
+        got = {r.flow_key.split("_")[1]: (r.live, r.n) for r in
+               sessions.changed_flows(spark, folders[2], before + 1, middle).collect()}
+        assert got == {"10.1.0.1": (True, 2), "10.1.0.4": (True, 1)}
+        run_stream(spark, [[packet(5, 1500, a="10.1.0.1", **U)]], rules, 0, folders)
+        got = {r.flow_key.split("_")[1]: (r.live, r.n) for r in
+               sessions.changed_flows(spark, folders[2], middle + 1, jobs.last_batch(spark, folders[2])).collect()}
+        assert got == {"10.1.0.1": (True, 3), "10.1.0.2": (False, None), "10.1.0.3": (False, None)}
+    finally:
+        spark.conf.unset(setting)

@@ -51,7 +51,8 @@ def run_sessions(spark, sf, out, checkpoint, lateness_ms=0):
 def _sessionized(spark, sf, lateness_ms=0):
     out, cp = shared_folder(spark, "closed"), shared_folder(spark, "cp")
     run_sessions(spark, sf, out, cp, lateness_ms)
-    return jobs.read_batches(spark, out).drop("batch_id"), sessions.live_flows(spark, cp)
+    closed, live = jobs.read_batches(spark, out).drop("batch_id"), sessions.live_flows(spark, cp)
+    return sessions.number_flows(closed.unionByName(live))
 
 
 # At the end of the stream the clock is the last packet of all: flows whose idle limit has passed by then are
@@ -75,20 +76,19 @@ def _shown(rows, *more):
 @query("stream_sessionize", sql("flows", f"SELECT {_STREAM_SHOWN}, reason FROM streamed WHERE reason <> 'PCAP_DONE' ORDER BY flow_key, flow_seq",
                                 _STREAMED))
 def _(spark, sf):
-    closed, _live = _sessionized(spark, sf)
+    closed = _sessionized(spark, sf).where("end_reason <> 'PCAP_DONE'")
     return _shown(closed, F.col("end_reason").alias("reason"))
 
 
 @query("end_of_input_flush", sql("flows", f"SELECT {_STREAM_SHOWN}, reason FROM streamed ORDER BY flow_key, flow_seq", _STREAMED))
 def _(spark, sf):
-    closed, live = _sessionized(spark, sf)
-    return _shown(closed.unionByName(live), F.col("end_reason").alias("reason"))
+    return _shown(_sessionized(spark, sf), F.col("end_reason").alias("reason"))
 
 
 @query("current_flows_snapshot", sql("flows", """
 SELECT flow_key, flow_seq, last_seen_ms, packet_count, bytes FROM streamed WHERE reason = 'PCAP_DONE' ORDER BY flow_key, flow_seq""", _STREAMED))
 def _(spark, sf):
-    _closed, live = _sessionized(spark, sf)
+    live = _sessionized(spark, sf).where("end_reason = 'PCAP_DONE'")
     return sessions.state_to_flows(live).select(*FLOW_ID, "last_seen_ms", "packet_count", "bytes")
 
 
@@ -97,8 +97,7 @@ SELECT reason, protocol, count(*) AS flows, sum(packet_count)::BIGINT AS packets
 WHERE reason IN ('Inactivity Timeout', 'Max Age Exceeded') GROUP BY ALL""", _STREAMED))
 def _(spark, sf):
     # Packets wait in the state until the watermark passes them, so late ones are counted in order.
-    closed, _live = _sessionized(spark, sf, lateness_ms=1)
-    rows = sessions.state_to_flows(closed).where(
+    rows = sessions.state_to_flows(_sessionized(spark, sf, lateness_ms=1)).where(
         F.col("end_reason").isin("Inactivity Timeout", "Max Age Exceeded"))
     return rows.groupBy(F.col("end_reason").alias("reason"), "protocol").agg(
         F.count(F.lit(1)).alias("flows"), F.sum("packet_count").alias("packets"))

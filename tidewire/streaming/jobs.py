@@ -16,18 +16,7 @@ from tidewire.operators.metrics import finish_sums, window_sums
 from tidewire.operators.ml_models import flow_verdict
 from tidewire.operators.ml_prep import BASE_FEATURES, log_clip, prepare
 from tidewire.sources.readers import envelope_packets
-
-
-
-def batch_folder(path: str, batch_id: int) -> str:
-    return f"{path}/batch_id={batch_id}"
-
-
-def write_once(write: Callable[[DataFrame, str], None], path: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that writes each batch to its own folder and replaces it on a replay."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        write(batch, batch_folder(path, batch_id))
-    return run
+from tidewire.streaming.commits import read_batches, write_once
 
 
 def overwrite_parquet(batch: DataFrame, path: str) -> None:
@@ -45,8 +34,11 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return query
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path)
+def last_batch(spark: SparkSession, checkpoint: str) -> int | None:
+    """Number of the last finished batch of a stream, from its checkpoint."""
+    files = spark.read.format("binaryFile").load(f"{checkpoint}/commits").select(
+        F.regexp_extract("path", r"/(\d+)$", 1).alias("n")).where("n <> ''")
+    return files.agg(F.max(F.col("n").cast("int"))).first()[0]
 
 
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
@@ -67,8 +59,8 @@ def split_malformed(good_path: str, bad_path: str) -> Callable[[DataFrame, int],
         decoded = decode_frames(batch).persist()
         try:
             good, bad = quarantine_malformed(decoded)
-            overwrite_parquet(good.drop("frame"), batch_folder(good_path, batch_id))
-            overwrite_parquet(bad, batch_folder(bad_path, batch_id))
+            write_once(overwrite_parquet, good_path)(good.drop("frame"), batch_id)
+            write_once(overwrite_parquet, bad_path)(bad, batch_id)
         finally:
             decoded.unpersist()
     return run

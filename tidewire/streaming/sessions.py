@@ -8,10 +8,16 @@ ones are put in order before they are counted. A flow ends
 * when the watermark passes its idle limit: an event-time timer closes it, so the cost
   does not depend on the number of live flows.
 
+A key without a live flow and without waiting packets has no state and no timer. Flows are known by key and first
+packet; their numbers are given where they are read (``number_flows``).
+
 A flow that is over age but silent is judged like in batch: by its own next packet, or by
 the idle limit, whichever is first. So flows and reasons do not depend on other keys' packets
 or on how the input is cut into micro-batches.
 
+Packets that wait, and packets of a key that come in several Arrow batches, lie in the state store as pieces of like
+times, each written once and taken out once. A task holds the pieces around one point in time, not a whole key.
+
 Event time is packet time. No packet is dropped for being late: it joins the live
 flow, as far back as it may lie. What is still live at the end is read from the state.
 """
@@ -26,28 +32,52 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewire.operators.features import flow_features
+from tidewire.operators.ordered import time_rank
 from tidewire.operators.sessionize import AGE, DONE, FIN, IDLE, RST, FlowRules, key_part, keyed_packets, protocol_of_key
 
-PACKET = ("ts_ms long, packet_id long, length long, fwd long, syn boolean, fin boolean, rst boolean, "
-          "ack boolean, psh boolean, tcp boolean, udp boolean, seq long, ack_no long, same_host boolean")
-PACKET_COLUMNS = [c.split()[0] for c in PACKET.split(", ")]
+_WHOLE = ["ts_ms", "packet_id", "length", "fwd", "seq", "ack_no"]
+_FLAGS = ["syn", "fin", "rst", "ack", "psh", "tcp", "udp", "same_host"]
+#: A packet as it waits in the state.
+PACKET = np.dtype([(c, np.int64) for c in _WHOLE] + [(c, np.bool_) for c in _FLAGS])
+PIECE_ROWS = 256  # a piece of a chunk is not cut before it has so many packets
 SUM_COLUMNS = ["n", "bytes", "fwd_n", "fwd_bytes", "syn", "fin", "rst", "ack", "psh", "tcp_n", "udp_n"]
 STATE = (", ".join(f"{c} long" for c in SUM_COLUMNS)
          + ", sumsq double, min_len long, max_len long, gap_sumsq double, gap_min long, gap_max long, many boolean,"
-           " first_ms long, last_ms long, first_code long, flow_seq long, fin0 long, fin1 long, acked0 boolean,"
-           " acked1 boolean, live boolean")
+           " first_ms long, last_ms long, first_code long, fin0 long, fin1 long, acked0 boolean, acked1 boolean")
 STATE_COLUMNS = [c.split()[0] for c in STATE.split(", ")]
 OUTPUT = "flow_key string, " + STATE + ", end_reason string"
 
 
-def _new_flow(seq: int) -> dict:
+def _new_flow() -> dict:
     flow = dict.fromkeys(SUM_COLUMNS, 0)
     flow.update(sumsq=0.0, min_len=1 << 62, max_len=0, gap_sumsq=0.0, gap_min=-1, gap_max=-1, many=False,
-                first_ms=-1, last_ms=-1, first_code=0, flow_seq=seq, fin0=-1, fin1=-1, acked0=False,
-                acked1=False, live=True)
+                first_ms=-1, last_ms=-1, first_code=0, fin0=-1, fin1=-1, acked0=False, acked1=False)
     return flow
 
 
+def in_order(*parts: np.ndarray) -> np.ndarray:
+    """Packets of the parts by time and id."""
+    rows = np.concatenate(parts) if parts else np.empty(0, PACKET)
+    return rows[np.lexsort((rows["packet_id"], rows["ts_ms"]))]
+
+
+def packet_array(rows: pd.DataFrame) -> np.ndarray:
+    out = np.empty(len(rows), PACKET)
+    for c in PACKET.names:
+        out[c] = rows[c].to_numpy()
+    return out
+
+
+def pieces(rows: np.ndarray, width: int) -> list[np.ndarray]:
+    """Ordered packets, cut where time steps over a multiple of ``width`` and PIECE_ROWS have gathered."""
+    out, at = [], 0
+    for step in (np.flatnonzero(np.diff(rows["ts_ms"] // width)) + 1).tolist():
+        if step - at >= PIECE_ROWS:
+            out.append(rows[at:step])
+            at = step
+    return [*out, rows[at:]] if at < len(rows) else out
+
+
 class FlowProcessor(StatefulProcessor):
     """Keeps one live flow per key."""
 
@@ -57,7 +87,7 @@ class FlowProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.flow = handle.getValueState("flow", STATE)
-        self.early = handle.getListState("early", PACKET)
+        self.early = handle.getMapState("early", "start long, part long", "packets binary")
 
     def close(self) -> None:
         pass
@@ -118,29 +148,21 @@ class FlowProcessor(StatefulProcessor):
         flow["first_ms"] = min(flow["first_ms"], int(ts.min()))
         flow["last_ms"] = max(flow["last_ms"], int(ts.max()))
 
-    def _fold(self, key: str, flow: dict | None, rows: pd.DataFrame, seq: int) -> tuple[dict | None, int, list]:
-        """Apply packets in order; returns the live flow, the next number and the closed flows."""
+    def _fold(self, key: str, flow: dict | None, rows: np.ndarray, closed: list) -> dict | None:
+        """Apply ordered packets; adds the flows that end to ``closed`` and returns the live one."""
         idle, age = self._limits(key)
-        rows = rows.sort_values(["ts_ms", "packet_id"], kind="stable")
-        p = {c: rows[c].to_numpy() for c in PACKET_COLUMNS}
-        ts = p["ts_ms"].astype(np.int64)
+        p = {c: np.ascontiguousarray(rows[c]) for c in PACKET.names}
+        ts = p["ts_ms"]
         breaks = np.flatnonzero(np.diff(ts) >= idle) + 1
-        closed, at = [], 0
-
-        def end(reason: str) -> None:
-            closed.append({"flow_key": key, **flow, "live": False, "end_reason": reason})
-
+        at = 0
         while at < len(ts):
             if flow is not None:
                 if ts[at] - flow["last_ms"] >= idle:
-                    end(IDLE)
-                    flow = None
+                    flow = self._end(key, flow, IDLE, closed)
                 elif ts[at] - flow["first_ms"] >= age:
-                    end(AGE)
-                    flow = None
+                    flow = self._end(key, flow, AGE, closed)
             if flow is None:
-                flow = _new_flow(seq)
-                seq += 1
+                flow = _new_flow()
             first = flow["first_ms"] if flow["n"] else int(ts[at])
             k = int(np.searchsorted(breaks, at, side="right"))
             stop = min(int(breaks[k]) if k < len(breaks) else len(ts),
@@ -154,45 +176,87 @@ class FlowProcessor(StatefulProcessor):
             self._add(flow, p, at, stop)
             at = stop
             if reason:
-                end(reason)
-                flow = None
-        return flow, seq, closed
+                flow = self._end(key, flow, reason, closed)
+        return flow
+
+    @staticmethod
+    def _end(key: str, flow: dict, reason: str, closed: list) -> None:
+        closed.append({"flow_key": key, **flow, "end_reason": reason})
 
     # -- state
 
-    def _load(self) -> tuple[dict | None, int]:
-        if not self.flow.exists():
-            return None, 0
-        state = dict(zip(STATE_COLUMNS, self.flow.get()))
-        return (state, state["flow_seq"] + 1) if state["live"] else (None, state["flow_seq"] + 1)
-
-    def _advance(self, key: str, rows: pd.DataFrame | None, watermark: int) -> list:
-        flow, seq = self._load()
-        if self.lateness_ms:
-            held = [list(r) for r in self.early.get()] if self.early.exists() else []
-            held = pd.DataFrame(held, columns=PACKET_COLUMNS)
-            rows = held if rows is None else pd.concat([held, rows], ignore_index=True) if len(held) else rows
-            wait = rows["ts_ms"] > watermark
-            keep, rows = rows[wait], rows[~wait]
-            self.early.clear()
-            if len(keep):
-                self.early.put([tuple(r) for r in keep.astype(object).itertuples(index=False)])
-                self.handle.registerTimer(int(keep["ts_ms"].min()))
-        closed = []
-        if rows is not None and len(rows):
-            flow, seq, closed = self._fold(key, flow, rows, seq)
+    def _put(self, parts: list[np.ndarray], taken: set) -> None:
+        """Pieces into the store, under names that are not ``taken``."""
+        for rows in parts:
+            start, part = int(rows["ts_ms"][0]), 0
+            while (start, part) in taken:
+                part += 1
+            taken.add((start, part))
+            self.early.updateValue((start, part), (rows.tobytes(),))
+
+    def _due(self, names: set, watermark: int | None) -> Iterator[np.ndarray]:
+        """Packets up to the watermark (None: all) in order, taken out of the store piece after piece; holds the pieces
+        that overlap. What is left of a piece goes back."""
+        held, order = np.empty(0, PACKET), sorted(names)
+        for i, name in enumerate(order):
+            if watermark is not None and name[0] > watermark:
+                break
+            rows = np.frombuffer(bytes(self.early.getValue(name)[0]), PACKET)
+            self.early.removeKey(name)
+            names.discard(name)
+            following = order[i + 1][0] if i + 1 < len(order) else None
+            until = watermark + 1 if watermark is not None else None
+            if following is not None:
+                until = following if until is None else min(until, following)
+            held = in_order(held, rows)
+            cut = len(held) if until is None else int(np.searchsorted(held["ts_ms"], until))
+            if cut:
+                yield held[:cut]
+                held = held[cut:]
+        if len(held):
+            self._put([held], names)
+
+    def _load(self) -> dict | None:
+        state = self.flow.get()
+        return None if state is None else dict(zip(STATE_COLUMNS, state))
+
+    def _advance(self, key: str, chunks: Iterator[pd.DataFrame], watermark: int) -> Iterator[pd.DataFrame]:
+        before = self._load()
+        flow, closed, waits = dict(before) if before else None, [], None
+        head = next(chunks, None)
+        more = next(chunks, None) if head is not None else None
+        if not self.lateness_ms and more is None:
+            if head is not None:
+                flow = self._fold(key, flow, in_order(packet_array(head)), closed)
+        else:
+            names = {(int(start), int(part)) for start, part in self.early.keys()}
+            width = max(1, self.lateness_ms // 16 or min(self.idle_ms.values()) // 4)
+            while head is not None:
+                self._put(pieces(in_order(packet_array(head)), width), names)
+                head, more = more, next(chunks, None) if more is not None else None
+            for rows in self._due(names, watermark if self.lateness_ms else None):
+                flow = self._fold(key, flow, rows, closed)
+                yield from self._rows(closed)
+                closed.clear()
+            waits = min(names)[0] if names else None
+        idle_at = None
         if flow is not None:
             idle_at = flow["last_ms"] + self._limits(key)[0]
             if idle_at <= watermark:
-                closed.append({"flow_key": key, **flow, "live": False, "end_reason": IDLE})
-                flow = None
-            else:
-                self.handle.registerTimer(idle_at)
-        if flow is None and seq:
-            flow = {**_new_flow(seq - 1), "live": False}
-        if flow is not None:
+                flow = self._end(key, flow, IDLE, closed)
+                idle_at = None
+        if flow is None and before is not None:
+            self.flow.clear()
+        elif flow is not None and flow != before:
             self.flow.update(tuple(flow[c] for c in STATE_COLUMNS))
-        return closed
+        wanted = {int(t) for t in (waits, idle_at) if t is not None}
+        there = {int(t) for t in self.handle.listTimers()}
+        for timer in there - wanted:
+            if timer > watermark:  # Spark deletes those that fire
+                self.handle.deleteTimer(timer)
+        for timer in wanted - there:
+            self.handle.registerTimer(timer)
+        yield from self._rows(closed)
 
     @staticmethod
     def _rows(closed: list) -> Iterator[pd.DataFrame]:
@@ -200,11 +264,10 @@ class FlowProcessor(StatefulProcessor):
             yield pd.DataFrame(closed, columns=["flow_key", *STATE_COLUMNS, "end_reason"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        whole = pd.concat([r[PACKET_COLUMNS] for r in rows], ignore_index=True)
-        yield from self._rows(self._advance(key[0], whole, timerValues.getCurrentWatermarkInMs()))
+        yield from self._advance(key[0], iter(rows), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._rows(self._advance(key[0], None, timerValues.getCurrentWatermarkInMs()))
+        yield from self._advance(key[0], iter(()), timerValues.getCurrentWatermarkInMs())
 
 
 def stream_sessionize(packets: DataFrame, rules: FlowRules | None = None, lateness_ms: int = 0) -> DataFrame:
@@ -226,25 +289,52 @@ def stream_sessionize(packets: DataFrame, rules: FlowRules | None = None, latene
         outputStructType=OUTPUT, outputMode="append", timeMode="EventTime")
 
 
+def number_flows(rows: DataFrame, slice_ms: int = 86_400_000) -> DataFrame:
+    """Output or state rows with ``flow_seq``, the number of the flow within its key, as in batch.
+
+    Needs all flows of the keys so far: those that ended come before the live one."""
+    known = rows.withColumn("__id", F.floor(F.col("first_code") / 2).cast("long"))
+    return time_rank(known, ["flow_key"], "first_ms", "__id", slice_ms, "flow_seq").drop("__id")
+
+
 def state_to_flows(rows: DataFrame) -> DataFrame:
-    """Output or state rows with endpoints and all features."""
+    """Output or state rows with endpoints and all features; ``flow_seq`` is null where it is not known."""
     fwd = F.pmod(F.col("first_code"), F.lit(2)) == 1
 
     def end(a: int, b: int):
         return F.when(fwd, key_part(a)).otherwise(key_part(b))
 
     gap = {c: F.when(F.col(c) >= 0, F.col(c)) for c in ("gap_min", "gap_max")}
+    number = F.col("flow_seq") if "flow_seq" in rows.columns else F.lit(None)
     return flow_features(rows.withColumns({
         "src_ip": end(0, 1), "dst_ip": end(1, 0), "src_port": end(2, 3).try_cast("int"),
-        "dst_port": end(3, 2).try_cast("int"), "protocol": protocol_of_key(),
+        "dst_port": end(3, 2).try_cast("int"), "protocol": protocol_of_key(), "flow_seq": number.cast("long"),
         "first_seen_ms": F.col("first_ms"), "last_seen_ms": F.col("last_ms"),
         "first_packet_id": F.floor(F.col("first_code") / 2).cast("long"), "first_fwd": fwd, **gap}))
 
 
+def _state(spark: SparkSession, checkpoint: str, **options) -> DataFrame:
+    reader = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "flow")
+    return reader.options(**options).load()
+
+
 def live_flows(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Flows that are live in the state of a stopped or running query, as flow rows.
 
     This is the live snapshot, and after the end of input the rows to flush."""
-    state = (spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "flow").load())
-    rows = state.select(F.col("key.flow_key").alias("flow_key"), "value.*").where("live")
+    rows = _state(spark, checkpoint).select(F.col("key.flow_key").alias("flow_key"), "value.*")
     return rows.withColumn("end_reason", F.lit(DONE))
+
+
+def changed_flows(spark: SparkSession, checkpoint: str, first_batch: int, last_batch: int) -> DataFrame:
+    """What the batches ``first_batch`` to ``last_batch`` did to the live flows: one row per key whose live flow is another
+    one, or another size, than before. ``live`` is false where the key has no live flow any more; the sums are null
+    then.
+
+    Read from the change feed of the state store, so the cost follows the changes and not the live flows. The store
+    must keep change logs: ``spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled``."""
+    feed = _state(spark, checkpoint, readChangeFeed=True, changeStartBatchId=first_batch, changeEndBatchId=last_batch)
+    rows = feed.select(F.col("key.flow_key").alias("flow_key"), "batch_id",
+                       F.struct((F.col("change_type") != "delete").alias("live"), "value.*").alias("r"))
+    # Within a batch a key is written once: no timer is left that could fire after its packets.
+    return rows.groupBy("flow_key").agg(F.max_by("r", "batch_id").alias("r")).select("flow_key", "r.*")

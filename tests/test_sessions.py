@@ -327,3 +327,33 @@ def test_changed_flows_between_batches(spark):
         assert got == {"10.1.0.1": (True, 3), "10.1.0.2": (False, None), "10.1.0.3": (False, None)}
     finally:
         spark.conf.unset(setting)
+
+
+def test_a_job_that_dies_before_the_commit_adds_and_loses_nothing(spark, monkeypatch):
+    from tidewire.streaming import commits
+    source, out, cp, cp2 = (shared_folder(spark, n) for n in ("src", "out", "cp", "cp"))
+    spark.range(60).repartition(3).write.parquet(source)
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(source)
+    whole, died = commits.commit, []
+
+    def dies(spark, path, query, batch_id, attempt):
+        # Once before the commit and once after it.
+        if batch_id == 1 and len(died) < 2:
+            died.append(query)
+            if len(died) == 2:
+                whole(spark, path, query, batch_id, attempt)
+            raise RuntimeError("lost")
+        whole(spark, path, query, batch_id, attempt)
+
+    monkeypatch.setattr(commits, "commit", dies)
+    for _ in range(2):
+        with pytest.raises(Exception):
+            jobs.run_available(stream, out, cp)
+        half = [r.id for r in jobs.read_batches(spark, out).collect()]
+        assert len(half) == len(set(half)) and 20 * len(died) == len(half)
+    jobs.run_available(stream, out, cp)
+    assert sorted(r.id for r in jobs.read_batches(spark, out).collect()) == list(range(60))
+    assert len(set(died)) == 1 and died[0] != "batch"
+    # Another stream into the same folder counts its batches for itself.
+    jobs.run_available(stream, out, cp2)
+    assert jobs.read_batches(spark, out).count() == 120

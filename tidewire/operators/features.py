@@ -84,11 +84,12 @@ def flows_with_features(packets: DataFrame, rules: FlowRules | None = None) -> D
 
 
 def arp_flows(decoded: DataFrame) -> DataFrame:
-    """Every ARP frame is its own flow: MAC endpoints, ports 0, reason and label ARP."""
+    """Every ARP frame is its own flow: MAC endpoints, one key for both directions, ports 0, reason and label ARP."""
+    ends = [F.concat_ws("_", a, b, F.lit("0_0_ARP")) for a, b in (("src_mac", "dst_mac"), ("dst_mac", "src_mac"))]
     zero, none = F.lit(0).cast("long"), F.lit(0.0)
     length = F.col("length").cast("long")
     return decoded.where(F.col("frame_class") == "ARP").select(
-        F.concat_ws("_", "src_mac", "dst_mac", F.lit("0"), F.lit("0"), F.lit("ARP")).alias("flow_key"),
+        F.least(*ends).alias("flow_key"),
         F.col("packet_id"),
         F.col("src_mac").alias("src_ip"), F.col("dst_mac").alias("dst_ip"),
         F.lit(0).alias("src_port"), F.lit(0).alias("dst_port"), F.lit("ARP").alias("protocol"),

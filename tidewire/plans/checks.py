@@ -156,10 +156,15 @@ facts AS (SELECT ips.ip,
 KINDS = """kinds AS (SELECT *, CASE packet_id % 16 WHEN 0 THEN 'ARP' WHEN 1 THEN 'IPv6' WHEN 2 THEN 'VLAN'
   WHEN 3 THEN 'odd' WHEN 4 THEN 'short' ELSE 'IPv4' END AS kind FROM packets)"""
 
+# One frame in sixteen is ARP, the others are the packets.
+ARRIVED = PACKETS.replace("packets AS (", "arrived AS (", 1) + """,
+packets AS (SELECT * FROM arrived WHERE packet_id % 16 <> 0)"""
+
 _ORDER = {"packets": [PACKETS], "kinds": [PACKETS, KINDS], "keyed": [PACKETS, KEYED],
           "placed": [PACKETS, KEYED, RUNS], "flows": [PACKETS, KEYED, RUNS, FLOWS],
           "risky": [PACKETS, KEYED, RUNS, FLOWS, RISKY], "labelled": [PACKETS, KEYED, RUNS, FLOWS, LABELLED],
           "ruled": [PACKETS, KEYED, RUNS, FLOWS, RULED],
+          "arrived": [ARRIVED, KEYED, RUNS, FLOWS, REFERENCE],
           "facts": [PACKETS, REFERENCE], "enriched": [PACKETS, KEYED, RUNS, FLOWS, REFERENCE]}
 
 

@@ -18,6 +18,8 @@ from tidewire.plans.inputs import (
     ATTACKERS, EVENT_RULES, first_tool, labelled_flows, packets, reference_tables, risky_flows, second_tool, stored_flows,
     table)
 from tidewire.plans.registry import query, r6, text
+from tidewire.session import shared_folder
+from tidewire.sources import sinks
 
 DOUBLES = ["mean_packet_length", "stddev_packet_length", "bytes_per_second", "packets_per_second",
            "ratio_bytes_up_down", "ratio_packets_up_down", "flow_symmetry", "inter_arrival_time_mean",
@@ -105,6 +107,22 @@ def _(spark, sf):
     return per_part.join(means, FLOW_ID).select(*FLOW_ID, "part", "delays", r6("mean_delay").alias("mean_delay"))
 
 
+@query("stored_flow_lists", sql("placed", """
+SELECT flow_key, flow_seq, part, string_agg(concat_ws('_', 'P', src_ip, dst_ip, protocol,
+  CASE WHEN rst THEN 'RST' WHEN fin THEN 'FIN' WHEN syn THEN 'SYN' WHEN ack THEN 'ACK' ELSE '' END,
+  ts_ms::VARCHAR), ',' ORDER BY rn) AS "packetSummaries",
+  string_agg((60 - packet_id % 50)::VARCHAR, ',' ORDER BY rn) AS "treatmentDelay"
+FROM parts GROUP BY flow_key, flow_seq, part""", _PARTS))
+def _(spark, sf):
+    # Packets are taken in up to 49 ms after their time and are done with 60 ms after it.
+    rows = packets(spark, sf).withColumn("ingested_at_ms", F.col("ts_ms") + F.col("packet_id") % 50)
+    path = shared_folder(spark, "flow-lists")
+    sinks.stored_flow_lists(rows, EVENT_RULES, F.col("ts_ms") + 60).write.parquet(path)
+    return spark.read.parquet(path).select(
+        *FLOW_ID, "part", F.array_join("packetSummaries", ",").alias("packetSummaries"),
+        F.array_join(F.col("treatmentDelay").cast("array<string>"), ",").alias("treatmentDelay"))
+
+
 @query("live_delay_mean", sql("placed", """
 SELECT count(*) AS flows, round(avg(mean_delay), 6) AS mean_delay
 FROM (SELECT * FROM delays ORDER BY last_seen_ms DESC, flow_key, flow_seq LIMIT 30)""", _DELAYS))

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
+from tidewire.functions.decode import decode_frames
 from tidewire.operators.boosting import BoostedTrees
 from tidewire.plans.checks import sql
 from tidewire.plans.flow_queries import _ENRICHED, FLOW_ID
 from tidewire.plans.inputs import (
-    EVENT_RULES, metric_samples, packets, reference_tables, stored_flows, table)
+    DST_MAC, EVENT_RULES, SRC_MAC, frames, metric_samples, packets, reference_tables, stored_flows, table)
 from tidewire.plans.ml_queries import rule_model
 from tidewire.plans.io_queries import _METRICS_SQL, record_folder
+from tidewire.plans.packet_queries import _mac
 from tidewire.plans.registry import query, r6
 from tidewire.session import materialize, shared_folder
-from tidewire.sources import readers
+from tidewire.sources import readers, sinks
 from tidewire.streaming import jobs, sessions
 
 SETTINGS = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGE_LOGS = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 STEPS = 3
 
 
@@ -34,18 +39,27 @@ def arriving(spark, path, per_trigger=None):
     return reader.parquet(path)
 
 
-def run_sessions(spark, sf, out, checkpoint, lateness_ms=0):
-    """Packets arrive in time steps; after each step the stream resumes from its checkpoint."""
-    spark.conf.set(SETTINGS, ROCKSDB)
-    rows = packets(spark, sf)
+def in_steps(rows):
+    """Rows with ``step``, the part of the whole time they lie in, from 0; written once."""
     ends = rows.agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi")).first()
     step = F.floor((F.col("ts_ms") - ends["lo"]) * STEPS / (ends["hi"] - ends["lo"] + 1)).cast("int")
-    stepped = materialize(rows.withColumn("step", step), "steps", "step")
-    path = shared_folder(spark, "arrivals")
+    return materialize(rows.withColumn("step", step), "steps", "step")
+
+
+def run_sessions(spark, sf, out, checkpoint, lateness_ms=0):
+    """Packets arrive in time steps; after each step the stream resumes from its checkpoint.
+
+    Returns the last batch of each step."""
+    spark.conf.set(SETTINGS, ROCKSDB)
+    spark.conf.set(CHANGE_LOGS, "true")
+    stepped = in_steps(packets(spark, sf))
+    path, last = shared_folder(spark, "arrivals"), []
     for i in range(STEPS):
         stepped.where(F.col("step") == i).drop("step").write.mode("append").parquet(path)
         closed = sessions.stream_sessionize(arriving(spark, path), EVENT_RULES, lateness_ms)
         jobs.run_available(closed, out, checkpoint)
+        last.append(jobs.last_batch(spark, checkpoint))
+    return last
 
 
 def _sessionized(spark, sf, lateness_ms=0):
@@ -92,6 +106,26 @@ def _(spark, sf):
     return sessions.state_to_flows(live).select(*FLOW_ID, "last_seen_ms", "packet_count", "bytes")
 
 
+# The live flow of each key after the steps up to ``s``: its last flow, unless it was closed or its idle limit has passed.
+_LIVE = """stepped AS (SELECT *, (ts_ms - (SELECT min(ts_ms) FROM packets)) * 3
+  // (SELECT max(ts_ms) - min(ts_ms) + 1 FROM packets) AS step FROM placed),
+living AS MATERIALIZED (SELECT s, flow_key, flow_seq, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, count(*) AS packets,
+  sum(length)::BIGINT AS bytes FROM stepped JOIN (VALUES (1), (2)) v(s) ON step <= s GROUP BY s, flow_key, flow_seq
+  HAVING NOT bool_or(closed) AND max(ts_ms) + any_value(idle) > (SELECT max(ts_ms) FROM stepped w WHERE w.step <= s)
+  QUALIFY flow_seq = max(flow_seq) OVER (PARTITION BY s, flow_key))"""
+
+
+@query("changed_current_flows", sql("placed", """
+SELECT b.flow_key, b.first_ms, b.last_ms, b.packets, b.bytes
+FROM living b LEFT JOIN living a ON a.s = 1 AND a.flow_key = b.flow_key AND a.flow_seq = b.flow_seq
+WHERE b.s = 2 AND a.packets IS DISTINCT FROM b.packets ORDER BY 1""", _LIVE))
+def _(spark, sf):
+    out, cp = shared_folder(spark, "closed"), shared_folder(spark, "cp")
+    last = run_sessions(spark, sf, out, cp)
+    changed = sessions.changed_flows(spark, cp, last[-2] + 1, last[-1])
+    return changed.where("live").select("flow_key", "first_ms", "last_ms", F.col("n").alias("packets"), "bytes")
+
+
 @query("event_time_expiry", sql("flows", """
 SELECT reason, protocol, count(*) AS flows, sum(packet_count)::BIGINT AS packets FROM streamed
 WHERE reason IN ('Inactivity Timeout', 'Max Age Exceeded') GROUP BY ALL""", _STREAMED))
@@ -148,6 +182,53 @@ def _(spark, sf):
     return jobs.read_batches(spark, out).select(*FLOW_ID, "src_country", "dst_org", "label")
 
 
+def arriving_records(spark, sf, folder):
+    """Envelopes of packets and ARP frames, step by step as text files."""
+    rows = packets(spark, sf)
+    kind = F.when(F.col("packet_id") % 16 == 0, "ARP").otherwise("IPv4")
+    stepped = in_steps(frames(rows, kind).withColumn("ingested_at_ms", F.col("ts_ms") + 5))
+    for i in range(STEPS):
+        readers.to_envelopes(stepped.where(F.col("step") == i), F.col("flow_key")).write.mode("append").text(folder)
+        yield i
+
+
+@query("stream_flow_store", sql("arrived", f"""
+SELECT sha256(concat_ws('|', flow_key, first_seen_ms::VARCHAR, 'p' || first_packet_id::VARCHAR)) AS id, flow_key AS "flowKey",
+  first_seen_ms, reason AS "reasonOfFlowEnd", packet_count::BIGINT AS packets, bytes, ack_count::BIGINT AS "ackCount",
+  src_country AS "srcCountry", dst_org AS "dstOrg",
+  CASE WHEN (packet_count >= 3) <> (syn_count >= 1) THEN 'MALICIOUS' ELSE 'BENIGN' END AS label
+FROM (SELECT streamed.*, s.country AS src_country, d.org AS dst_org FROM streamed
+  JOIN facts s ON s.ip = src_ip JOIN facts d ON d.ip = dst_ip)
+UNION ALL
+SELECT sha256(concat_ws('|', arp_key, ts_ms::VARCHAR, 'p' || packet_id::VARCHAR)), arp_key, ts_ms, 'ARP', 1, length, 0,
+  'Invalid IP', 'Invalid IP', 'ARP'
+FROM (SELECT *, '{_mac(DST_MAC)}_{_mac(SRC_MAC)}_0_0_ARP' AS arp_key FROM arrived WHERE packet_id % 16 = 0)
+ORDER BY id""", _STREAMED))
+def _(spark, sf):
+    # The whole way: envelopes, frames, flows, facts, a fitted model, the store; flows still live at the end go last.
+    spark.conf.set(SETTINGS, ROCKSDB)
+    out, cp, folder = (shared_folder(spark, n) for n in ("flow-store", "cp", "envelopes"))
+    write = jobs.judged_flows(reference_tables(spark), BoostedTrees.load(spark, rule_model(spark, sf)))
+    for _step in arriving_records(spark, sf, folder):
+        jobs.run_available(jobs.closed_flows(readers.text_stream(spark, folder), EVENT_RULES), out, cp, write=write)
+    jobs.flush_live(spark, cp, out, write)
+    return jobs.read_batches(spark, out).select(
+        "id", "flowKey", F.unix_millis("firstSeen").alias("first_seen_ms"), "reasonOfFlowEnd", "packets", "bytes",
+        "ackCount", "srcCountry", "dstOrg", "label")
+
+
+@query("stream_packet_store", sql("packets", """
+SELECT concat_ws('_', 'P', src_ip, dst_ip, protocol,
+    CASE WHEN rst THEN 'RST' WHEN fin THEN 'FIN' WHEN syn THEN 'SYN' WHEN ack THEN 'ACK' ELSE '' END, ts_ms::VARCHAR) AS id,
+  ts_ms AS timestamp_ms, src_ip AS "srcIp", dst_ip AS "dstIp", protocol, length::BIGINT AS bytes FROM packets"""))
+def _(spark, sf):
+    out, cp = shared_folder(spark, "packet-store"), shared_folder(spark, "cp")
+    decoded = decode_frames(readers.envelope_packets(readers.text_stream(spark, record_folder(spark, sf), 4)))
+    jobs.run_available(decoded, out, cp, write=partial(sinks.write_packets, mode="overwrite"))
+    return jobs.read_batches(spark, out).select(
+        "id", F.unix_millis("timestamp").alias("timestamp_ms"), "srcIp", "dstIp", "protocol", "bytes")
+
+
 @query("stream_rollups", sql("flows", "SELECT protocol, end_reason, count(*) AS flows FROM flows GROUP BY ALL"))
 def _(spark, sf):
     out, cp = shared_folder(spark, "rollup"), shared_folder(spark, "cp")

@@ -64,11 +64,15 @@ def write_packets(decoded: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def stored_flow_rows(flows: DataFrame, now_ms: Column | None = None) -> DataFrame:
-    """Stored flow columns by their published names; ``id`` is the same on a replay."""
+    """Stored flow columns by their published names; ``id`` is the same on a replay.
+
+    A flow is known by its number in its key, or where a stream does not know that by its first packet."""
     now_ms = F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms
     filled = flow_defaults(flows, now_ms)
-    identity = F.sha2(F.concat_ws("|", "flow_key", F.col("first_seen_ms").cast("string"),
-                                  F.col("flow_seq").cast("string")), 256)
+    number = F.col("flow_seq").cast("string")
+    if "first_packet_id" in flows.columns:
+        number = F.coalesce(number, F.concat(F.lit("p"), F.col("first_packet_id").cast("string")))
+    identity = F.sha2(F.concat_ws("|", "flow_key", F.col("first_seen_ms").cast("string"), number), 256)
     return filled.select(
         identity.alias("id"),
         *[F.timestamp_millis(c).alias(n) if c in ("first_seen_ms", "last_seen_ms")

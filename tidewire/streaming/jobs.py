@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,10 +12,15 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewire.functions.decode import decode_frames, ip_packets, quarantine_malformed
 from tidewire.operators import enrich
 from tidewire.operators.boosting import BoostedTrees
+from tidewire.operators.features import arp_flows
 from tidewire.operators.metrics import finish_sums, window_sums
 from tidewire.operators.ml_models import flow_verdict
 from tidewire.operators.ml_prep import BASE_FEATURES, log_clip, prepare
+from tidewire.operators.sessionize import FlowRules
+from tidewire.session import materialize
 from tidewire.sources.readers import envelope_packets
+from tidewire.sources.sinks import write_flows
+from tidewire.streaming import sessions
 from tidewire.streaming.commits import read_batches, write_once
 
 
@@ -86,9 +91,9 @@ def stream_rollup(flows: DataFrame, *keys: str) -> DataFrame:
     return flows.groupBy(*keys).agg(F.count(F.lit(1)).alias("flows"))
 
 
-def enrich_and_score(tables: dict[str, DataFrame], score: Callable[[DataFrame], DataFrame]
-                     ) -> Callable[[DataFrame, str], None]:
-    """Enrich a batch of closed flows, label it and store it.
+def enrich_and_score(tables: dict[str, DataFrame], score: Callable[[DataFrame], DataFrame],
+                     store: Callable[[DataFrame, str], None] = overwrite_parquet) -> Callable[[DataFrame, str], None]:
+    """Enrich a batch of closed flows, label it and ``store`` it.
 
     ``score`` adds ``probability``, null for a flow it cannot judge: that flow alone reads UNKNOWN, and a flow
     without facts N/A. Any other failure, of a task, a table or the store, fails the batch, which is then replayed:
@@ -96,10 +101,32 @@ def enrich_and_score(tables: dict[str, DataFrame], score: Callable[[DataFrame],
     def write(batch: DataFrame, path: str) -> None:
         facts = enrich.enrich_flows(batch, tables["geo"], tables["asn"], tables["rdns"], tables["whois"])
         scored = score(facts)
-        overwrite_parquet(scored.withColumn("label", flow_verdict(F.col("probability"), F.col("protocol"))), path)
+        store(scored.withColumn("label", flow_verdict(F.col("probability"), F.col("protocol"))), path)
     return write
 
 
+def closed_flows(records: DataFrame, rules: FlowRules, lateness_ms: int = 0) -> DataFrame:
+    """Envelope records of a stream to flows: those that close, with their features, and every ARP frame as one."""
+    decoded = decode_frames(envelope_packets(records))
+    flows = sessions.state_to_flows(sessions.stream_sessionize(ip_packets(decoded), rules, lateness_ms))
+    arp = arp_flows(decoded).withColumnRenamed("packet_id", "first_packet_id").drop("label")
+    return flows.unionByName(arp, allowMissingColumns=True)
+
+
+def judged_flows(tables: dict[str, DataFrame], model: BoostedTrees) -> Callable[[DataFrame, str], None]:
+    """A store of a batch of flows, enriched and labelled, in the published columns.
+
+    The batch is written down first: it is used several times, and its flows come out of the state once."""
+    enriched = enrich_and_score(tables, by_model(model), partial(write_flows, mode="overwrite"))
+    return lambda batch, path: enriched(materialize(batch, "closed"), path)
+
+
+def flush_live(spark: SparkSession, checkpoint: str, path: str, write: Callable[[DataFrame, str], None]) -> None:
+    """After the end of input: the flows that are still live go the way of the closed ones, as a batch of their own."""
+    live = sessions.state_to_flows(sessions.live_flows(spark, checkpoint))
+    write_once(write, path)(live, last_batch(spark, checkpoint) + 1)
+
+
 def by_model(model: BoostedTrees) -> Callable[[DataFrame], DataFrame]:
     """Scores by a fitted model, on features prepared as for its fit; a flow that lacks one of the published base
     features has none."""

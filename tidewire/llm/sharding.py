@@ -151,7 +151,7 @@ def reshard(rows: DataFrame, size: str, old: str, capacities: Callable[[int], li
     ranked = sliced_rank(placed, ["shard"], "__part", ["__at", row_id, size], "slot")
     return ranked.select(*[f"`{c}`" for c in names], F.col("shard").cast("int").alias("shard"),
                          F.col("slot").cast("long").alias("slot"),
-                         (F.col("__tier") * 100_000 + F.col("__slice")).alias("block"))
+                         (F.col("__tier") * (1 << 40) + F.col("__slice")).alias("block"))
 
 
 def place_documents(docs: DataFrame, shards: int = 40, old_shards: int = 32, text: str = "text",

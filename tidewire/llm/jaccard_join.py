@@ -337,10 +337,22 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def common_shingles(described: DataFrame) -> np.ndarray:
-    """The COMMON most frequent of the shingles seen often in a batch, sorted: at most one megabyte."""
-    rows = described.where("row_key IS NULL").groupBy("k1").agg(F.sum("n").alias("n")).orderBy(
-        F.desc("n"), "k1").limit(COMMON).select("k1").toPandas()
+def common_shingles(described: DataFrame, most: int = COMMON) -> np.ndarray:
+    """Nearly the ``most`` most frequent of the shingles seen often in a batch, sorted: at most one megabyte.
+
+    Levels of like counts are counted first (some hundreds of rows); the lowest level that still has room gives
+    a part of its shingles, by their hash. So the driver sees only the shingles it keeps."""
+    counts = materialize(described.where("row_key IS NULL").groupBy("k1").agg(F.sum("n").alias("n")).select(
+        "k1", F.floor(F.log2("n") * 8).cast("int").alias("level")), "often")
+    room, floor, share = most, 1 << 30, 0.0
+    for row in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
+        floor = row["level"]
+        if row["count"] > room:
+            share = max(0.0, room - 4 * room ** 0.5) / row["count"]  # drawn by chance: four deviations below the room
+            break
+        room, share = room - row["count"], 1.0
+    drawn = F.pmod(F.xxhash64("k1"), F.lit(1 << 20)) < int(share * (1 << 20))
+    rows = counts.where((F.col("level") > floor) | ((F.col("level") == floor) & drawn)).select("k1").toPandas()
     return np.sort(rows["k1"].to_numpy(np.int64).view(np.uint64))
 
 

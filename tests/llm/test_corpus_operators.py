@@ -597,3 +597,29 @@ def test_pipeline_stages(spark, tmp_path, rows):
     assert set(texts) <= want and max(texts.values(), default=0) <= 2
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert Counter(r["doc_id"] for r in pieces.where("piece = 0").collect()) == Counter(r["doc_id"] for r in docs.collect())
+
+
+def test_sample_of_islands_counts_copies_once_and_holds_every_kind(spark):
+    rng = random.Random(8)
+    texts = [f"call +49 30 {rng.randrange(10 ** 6, 10 ** 7)} now" for _ in range(30)]
+    texts += ["year 1999 again"] * 3000 + [f"room {i}" for i in range(900)] + ["mail a@b.example today"] * 5 + [None, ""]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    rows = pii.labelled_islands(docs, limit=80).collect()
+    islands = [r["island"] for r in rows]
+    assert len(islands) == len(set(islands))
+    of_kind = Counter(r["spans"][0].split(":")[2] if r["spans"] else "" for r in rows)
+    assert of_kind == {"": 40, "phone": 10, "email": 1}
+    every = {r["island"] for r in pii.labelled_islands(docs, limit=80_000).collect()
+             if not r["spans"]}
+    # The first by hash, whatever the number of tasks.
+    assert sorted(i for r, i in zip(rows, islands) if not r["spans"]) == sorted(sorted(every, key=pii.sample_hash)[:40])
+
+
+def test_common_shingles_take_the_most_frequent(spark):
+    rows = [(None, k, n) for k, n in [(i, 1000 - i) for i in range(100)] + [(1000 + i, 2) for i in range(5000)]] + [(7, 1, 9)]
+    described = spark.createDataFrame(rows, "row_key long, k1 long, n long")
+    got = jaccard_join.common_shingles(described, most=600)
+    assert set(range(100)) <= set(got.tolist()) and 450 <= len(got) <= 600
+    assert len(jaccard_join.common_shingles(described, most=10 ** 6)) == 5100
+    assert len(jaccard_join.common_shingles(described.where("n > 5000"))) == 0

@@ -16,16 +16,21 @@ result; extra columns are not carried."""
 
 from __future__ import annotations
 
+import hashlib
 import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidewire.operators.ml_prep import bounded_sample
+from tidewire.session import materialize
+
 KINDS = ("email", "ip", "card", "phone")
 SPAN_WORDS = 6
 TRAIN_ISLANDS = 4000
@@ -279,13 +284,22 @@ def spoilt(text: str, spans: list[tuple[str, int, int]]) -> Iterator[str]:
         yield text[:begin] + s[1:4] + text[end:]
 
 
+def sample_hash(island: str) -> str:
+    """The order in which ``bounded_sample`` takes islands."""
+    return hashlib.md5(f"{island}|42".encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def labelled_islands(docs: DataFrame, text: str = "text", limit: int = TRAIN_ISLANDS) -> DataFrame:
-    """A bounded sample of islands (``island`` of at most 400 characters, ``spans`` as start, end and kind, ``n``: how
-    many of the sampled rows are alike in shape)."""
+    """A bounded sample of distinct islands (``island`` of at most 400 characters, ``spans`` as start, end and kind).
+
+    Half of the ``limit`` goes to islands without a span, an eighth to each kind, by the kind of the first span. A task keeps
+    the first of its own islands of each sort; copies count once, and the driver sees no more than the sample."""
+    quota = {"": limit // 2, **{kind: limit // 8 for kind in KINDS}}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[str, dict[str, tuple]] = {sort: {} for sort in quota}
+        bound = dict.fromkeys(quota, "g")
         for frame in frames:
-            rows = []
             for value in frame["text"]:
                 if not value:
                     continue
@@ -299,12 +313,27 @@ def labelled_islands(docs: DataFrame, text: str = "text", limit: int = TRAIN_ISL
                     doubt = any(m not in good and (m[0] == "phone" or len(only_digits(value[m[1]:m[2]])) >= 14) for m in own)
                     inside = all(b >= begin and e <= end for _, b, e in good)
                     apart = all(a[2] <= b[1] for a, b in zip(ordered(good), ordered(good)[1:]))
-                    if inside and apart and not doubt:
-                        rows.append((value[begin:end], [f"{b - begin}:{e - begin}:{k}" for k, b, e in good]))
-            yield pd.DataFrame(rows, columns=["island", "spans"])
-
-    rows = docs.select(F.col(text).alias("text")).mapInPandas(run, "island string, spans array<string>")
-    return rows.orderBy(F.xxhash64("island"), "island").limit(limit)
+                    if not (inside and apart and not doubt):
+                        continue
+                    island, sort = value[begin:end], good[0][0] if good else ""
+                    place = sample_hash(island)
+                    if place >= bound[sort]:
+                        continue
+                    here = kept[sort]
+                    here[place] = island, [f"{b - begin}:{e - begin}:{k}" for k, b, e in good]
+                    if len(here) >= 2 * quota[sort] + 100:
+                        kept[sort] = {p: here[p] for p in sorted(here)[:quota[sort]]}
+                        bound[sort] = max(kept[sort], default="")
+        rows = [(sort, *here[p]) for sort, here in kept.items() for p in sorted(here)[:quota[sort]]]
+        yield pd.DataFrame(rows, columns=["sort", "island", "spans"])
+
+    rows = docs.select(F.col(text).alias("text")).mapInPandas(run, "sort string, island string, spans array<string>")
+    rows = materialize(rows, "islands")
+    # The same island in other surroundings can have other spans: the first of them counts.
+    rows = materialize(rows.groupBy("sort", "island").agg(F.min("spans").alias("spans")), "islands")
+    parts = [bounded_sample(rows.where(F.col("sort") == sort).select("island", "spans"), ["island"], k)
+             for sort, k in quota.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fit(docs: DataFrame, text: str = "text", limit: int = TRAIN_ISLANDS) -> Field:

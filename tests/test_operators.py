@@ -8,6 +8,7 @@ import random
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,14 @@ def test_isolation_forest_finds_the_far_rows(spark):
     assert {400, 401, 402} <= flagged and len(flagged) <= 5
 
 
+def test_isolation_cuts_leave_rows_on_both_sides():
+    for low, high in ((1.0, float(np.nextafter(1.0, 2.0))), (-1.7e308, 1.7e308)):
+        for tree in range(8):
+            rows = pd.DataFrame({"tree": [tree] * 2, "slot": [0, 1], "x": [[low], [high]]})
+            grown = ml_models._grow_tree(rows, 42)
+            assert low <= grown["cut"][0] < high and grown["depth"].tolist() == [0.0, 1.0, 1.0]
+
+
 def test_split_has_exact_shares(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") % 10 == 0, "m").otherwise("b").alias("label"))
     once = ml_prep.stratified_split(df, ["id"], "label")

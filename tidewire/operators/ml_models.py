@@ -44,7 +44,9 @@ def _grow_tree(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
             nodes[node][5] = depth + _average_path(len(rows))
             continue
         feature = int(rng.choice(usable))
-        cut = float(rng.uniform(low[feature], high[feature]))
+        cut = float(low[feature] + (high[feature] - low[feature]) * rng.random())
+        if not cut < high[feature]:  # rounded up between neighbours, or a width beyond the numbers: both sides get rows
+            cut = float(low[feature])
         left_side = x[rows, feature] <= cut
         left, right = len(nodes), len(nodes) + 1
         nodes += [[left, -1, 0.0, -1, -1, 0.0], [right, -1, 0.0, -1, -1, 0.0]]

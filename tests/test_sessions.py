@@ -295,6 +295,27 @@ def test_a_hot_key_in_many_chunks(spark, monkeypatch, lateness):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_packets_and_flows_travel_packed():
+    import numpy as np
+    import pandas as pd
+    rows = np.zeros(9, sessions.PACKET)
+    rows["packet_id"] = np.arange(9)
+    pdf = pd.DataFrame({c: rows[c] for c in sessions.PACKET.names}).assign(flow_key=list("abacbaabc"))
+    packed = next(sessions.pack_packets(iter([pdf])))
+    back = {k: np.frombuffer(b, sessions.PACKET)["packet_id"].tolist() for k, b in zip(packed["flow_key"], packed["packets"])}
+    assert back == {"a": [0, 2, 5, 6], "b": [1, 4, 7], "c": [3, 8]}
+    flow, closed = {**sessions._new_flow(), "n": 7, "sumsq": 0.5, "acked0": True}, []
+    sessions.FlowProcessor._end("k", flow, sessions.AGE, closed)
+    row = next(sessions.FlowProcessor._rows("k", closed))
+    out = next(sessions.unpack_flows(iter([pd.DataFrame([row.asDict()])])))
+    assert out.to_dict("records") == [{"flow_key": "k", **flow, "end_reason": sessions.AGE}]
+
+
+def test_a_key_in_chunks_has_no_other_flows(spark, monkeypatch):
+    monkeypatch.setattr(sessions, "CHUNK_ROWS", 50)
+    test_a_hot_key_in_many_chunks(spark, monkeypatch, 300)
+
+
 def test_pieces_keep_all_packets_in_order():
     import numpy as np
     rng = np.random.default_rng(3)

@@ -15,9 +15,12 @@ A flow that is over age but silent is judged like in batch: by its own next pack
 the idle limit, whichever is first. So flows and reasons do not depend on other keys' packets
 or on how the input is cut into micro-batches.
 
-Packets that wait, and packets of a key that come in several Arrow batches, lie in the state store as pieces of like
+Packets that wait, and packets of a key that come in several chunks, lie in the state store as pieces of like
 times, each written once and taken out once. A task holds the pieces around one point in time, not a whole key.
 
+Most keys have few packets, so what counts is the cost per key. Packets come to the state, and flows leave it, packed
+as bytes; whole Arrow batches are packed and unpacked at a time.
+
 Event time is packet time. No packet is dropped for being late: it joins the live
 flow, as far back as it may lie. What is still live at the end is read from the state.
 """
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewire.operators.features import flow_features
@@ -40,12 +43,17 @@ _FLAGS = ["syn", "fin", "rst", "ack", "psh", "tcp", "udp", "same_host"]
 #: A packet as it waits in the state.
 PACKET = np.dtype([(c, np.int64) for c in _WHOLE] + [(c, np.bool_) for c in _FLAGS])
 PIECE_ROWS = 256  # a piece of a chunk is not cut before it has so many packets
+CHUNK_ROWS = 10_000  # packets of a key come in chunks of about so many
 SUM_COLUMNS = ["n", "bytes", "fwd_n", "fwd_bytes", "syn", "fin", "rst", "ack", "psh", "tcp_n", "udp_n"]
 STATE = (", ".join(f"{c} long" for c in SUM_COLUMNS)
          + ", sumsq double, min_len long, max_len long, gap_sumsq double, gap_min long, gap_max long, many boolean,"
            " first_ms long, last_ms long, first_code long, fin0 long, fin1 long, acked0 boolean, acked1 boolean")
 STATE_COLUMNS = [c.split()[0] for c in STATE.split(", ")]
 OUTPUT = "flow_key string, " + STATE + ", end_reason string"
+REASONS = [IDLE, AGE, FIN, RST]
+_TYPES = {"long": np.int64, "double": np.float64, "boolean": np.bool_}
+#: A closed flow as it leaves the state; ``reason`` is the place in REASONS.
+FLOW = np.dtype([(c, _TYPES[kind]) for c, kind in (f.split() for f in STATE.split(", "))] + [("reason", np.int64)])
 
 
 def _new_flow() -> dict:
@@ -68,6 +76,37 @@ def packet_array(rows: pd.DataFrame) -> np.ndarray:
     return out
 
 
+def pack_packets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per key of a batch: its packets as bytes."""
+    for pdf in batches:
+        codes, keys = pd.factorize(pdf["flow_key"], use_na_sentinel=False)
+        data = packet_array(pdf)[np.argsort(codes, kind="stable")].tobytes()
+        ends = (np.cumsum(np.bincount(codes, minlength=len(keys))) * PACKET.itemsize).tolist()
+        yield pd.DataFrame({"flow_key": np.asarray(keys, object),
+                            "packets": [data[a:b] for a, b in zip([0, *ends], ends)]})
+
+
+def packet_chunks(rows: Iterator[Row]) -> Iterator[np.ndarray]:
+    held, n = [], 0
+    for row in rows:
+        held.append(np.frombuffer(bytes(row["packets"]), PACKET))
+        n += len(held[-1])
+        if n >= CHUNK_ROWS:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def unpack_flows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = np.frombuffer(b"".join(pdf["flows"]), FLOW)
+        out = pd.DataFrame({c: rows[c] for c in STATE_COLUMNS})
+        out.insert(0, "flow_key", np.repeat(pdf["flow_key"].to_numpy(), [len(f) // FLOW.itemsize for f in pdf["flows"]]))
+        out["end_reason"] = np.array(REASONS, object)[rows["reason"]]
+        yield out
+
+
 def pieces(rows: np.ndarray, width: int) -> list[np.ndarray]:
     """Ordered packets, cut where time steps over a multiple of ``width`` and PIECE_ROWS have gathered."""
     out, at = [], 0
@@ -88,6 +127,7 @@ class FlowProcessor(StatefulProcessor):
         self.handle = handle
         self.flow = handle.getValueState("flow", STATE)
         self.early = handle.getMapState("early", "start long, part long", "packets binary")
+        self.names = handle.getValueState("names", "names binary")
 
     def close(self) -> None:
         pass
@@ -181,7 +221,7 @@ class FlowProcessor(StatefulProcessor):
 
     @staticmethod
     def _end(key: str, flow: dict, reason: str, closed: list) -> None:
-        closed.append({"flow_key": key, **flow, "end_reason": reason})
+        closed.append((*[flow[c] for c in STATE_COLUMNS], REASONS.index(reason)))
 
     # -- state
 
@@ -216,28 +256,45 @@ class FlowProcessor(StatefulProcessor):
         if len(held):
             self._put([held], names)
 
+    def _waiting(self) -> set:
+        """Names of the pieces in the store. They are kept beside them: a call that lists costs far more than one that gets."""
+        known = self.names.get() if self.lateness_ms else None
+        return set() if known is None else set(map(tuple, np.frombuffer(bytes(known[0]), np.int64).reshape(-1, 2).tolist()))
+
+    def _remember(self, names: set, before: set) -> None:
+        if not names and before:
+            self.names.clear()
+        elif names != before:
+            self.names.update((np.array(sorted(names), np.int64).tobytes(),))
+
     def _load(self) -> dict | None:
         state = self.flow.get()
         return None if state is None else dict(zip(STATE_COLUMNS, state))
 
-    def _advance(self, key: str, chunks: Iterator[pd.DataFrame], watermark: int) -> Iterator[pd.DataFrame]:
+    def _advance(self, key: str, chunks: Iterator[np.ndarray], watermark: int) -> Iterator[Row]:
         before = self._load()
         flow, closed, waits = dict(before) if before else None, [], None
+        # The timers follow from the state as it was left.
+        there = set() if before is None else {before["last_ms"] + self._limits(key)[0]}
         head = next(chunks, None)
         more = next(chunks, None) if head is not None else None
         if not self.lateness_ms and more is None:
             if head is not None:
-                flow = self._fold(key, flow, in_order(packet_array(head)), closed)
+                flow = self._fold(key, flow, in_order(head), closed)
         else:
-            names = {(int(start), int(part)) for start, part in self.early.keys()}
+            names = self._waiting()
+            waited = set(names)
+            if waited:
+                there.add(min(waited)[0])
             width = max(1, self.lateness_ms // 16 or min(self.idle_ms.values()) // 4)
             while head is not None:
-                self._put(pieces(in_order(packet_array(head)), width), names)
+                self._put(pieces(in_order(head), width), names)
                 head, more = more, next(chunks, None) if more is not None else None
             for rows in self._due(names, watermark if self.lateness_ms else None):
                 flow = self._fold(key, flow, rows, closed)
-                yield from self._rows(closed)
+                yield from self._rows(key, closed)
                 closed.clear()
+            self._remember(names, waited)
             waits = min(names)[0] if names else None
         idle_at = None
         if flow is not None:
@@ -250,23 +307,22 @@ class FlowProcessor(StatefulProcessor):
         elif flow is not None and flow != before:
             self.flow.update(tuple(flow[c] for c in STATE_COLUMNS))
         wanted = {int(t) for t in (waits, idle_at) if t is not None}
-        there = {int(t) for t in self.handle.listTimers()}
         for timer in there - wanted:
             if timer > watermark:  # Spark deletes those that fire
                 self.handle.deleteTimer(timer)
         for timer in wanted - there:
             self.handle.registerTimer(timer)
-        yield from self._rows(closed)
+        yield from self._rows(key, closed)
 
     @staticmethod
-    def _rows(closed: list) -> Iterator[pd.DataFrame]:
+    def _rows(key: str, closed: list) -> Iterator[Row]:
         if closed:
-            yield pd.DataFrame(closed, columns=["flow_key", *STATE_COLUMNS, "end_reason"])
+            yield Row(flow_key=key, flows=np.array(closed, FLOW).tobytes())
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key[0], iter(rows), timerValues.getCurrentWatermarkInMs())
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        yield from self._advance(key[0], packet_chunks(rows), timerValues.getCurrentWatermarkInMs())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield from self._advance(key[0], iter(()), timerValues.getCurrentWatermarkInMs())
 
 
@@ -284,9 +340,11 @@ def stream_sessionize(packets: DataFrame, rules: FlowRules | None = None, latene
         (F.col("l4_kind") == "TCP").alias("tcp"), (F.col("l4_kind") == "UDP").alias("udp"),
         *[F.coalesce(number[c], F.lit(-1)).cast("long").alias(c) for c in ("seq", "ack_no")],
         F.coalesce(F.col("src_ip") == F.col("dst_ip"), F.lit(False)).alias("same_host"))
-    return narrow.groupBy("flow_key").transformWithStateInPandas(
+    packed = narrow.mapInPandas(pack_packets, "flow_key string, packets binary")
+    closed = packed.groupBy("flow_key").transformWithState(
         statefulProcessor=FlowProcessor(rules.idle_ms, rules.max_age_ms, lateness_ms),
-        outputStructType=OUTPUT, outputMode="append", timeMode="EventTime")
+        outputStructType="flow_key string, flows binary", outputMode="append", timeMode="EventTime")
+    return closed.mapInPandas(unpack_flows, OUTPUT)
 
 
 def number_flows(rows: DataFrame, slice_ms: int = 86_400_000) -> DataFrame:

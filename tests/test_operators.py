@@ -464,3 +464,15 @@ def test_ranges_of_any_length(spark):
     assert {r.ip: r.country for r in got.collect()} == {"10.1.2.3": "narrow", "10.2.0.0": "wide"}
     assert got.where("country = 'none'").count() == 0
     assert enrich.range_lookup(got.select("ip"), nested.limit(0), "country").where("country is not null").count() == 0
+
+
+def test_prefixes_are_spelled_in_whole_digits():
+    low = int(ipaddress.ip_address("2001:db8::"))
+    rows = [(f"{low >> n << n:032x}", f"{(low >> n << n) + (1 << n) - 1:032x}", str(n)) for n in range(129)]
+    out = next(enrich._cover(iter([pd.DataFrame(rows, columns=["start", "end", "value"])])))
+    assert out["digits"].nunique() == 33 and (out["prefix"].str.len() == out["digits"]).all()
+    assert out.groupby("value").size().max() == 8
+    for n, block in out.groupby(out["value"].astype(int)):
+        assert (block["bits"] == 128 - n).all()
+        starts = sorted(int(p.ljust(32, "0"), 16) for p in block["prefix"])
+        assert starts[0] == low >> n << n and len(starts) * (1 << (128 - 4 * int(block["digits"].iloc[0]))) == 1 << n

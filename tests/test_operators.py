@@ -291,6 +291,21 @@ def test_failures_of_enrichment_and_scoring(spark, tmp_path):
         jobs.enrich_and_score(tables, score)(flows, str(tmp_path / "out2"))
 
 
+def test_ranges_are_made_ready_once_for_all_batches(spark, tmp_path, monkeypatch):
+    from tidewire.plans.inputs import reference_tables
+    from tidewire.streaming import jobs
+    made, prefixes = [], enrich.prefixes
+    monkeypatch.setattr(enrich, "prefixes", lambda ranges, value: made.append(value) or prefixes(ranges, value))
+    flows = spark.createDataFrame([("8.8.8.8", "172.40.0.5", "TCP", 0.1)],
+                                  "src_ip string, dst_ip string, protocol string, probability double")
+    write = jobs.enrich_and_score(reference_tables(spark), lambda rows: rows)
+    for i in range(3):
+        write(flows, str(tmp_path / f"out{i}"))
+        row = spark.read.parquet(str(tmp_path / f"out{i}")).first()
+        assert (row.src_country, row.dst_country, row.dst_org) == ("United States", "Canada", "ORG-D")
+    assert made == ["country", "org"]
+
+
 def test_a_failed_sink_is_replayed(spark, tmp_path):
     from pyspark.errors import StreamingQueryException
     from tidewire.streaming import jobs

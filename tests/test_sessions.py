@@ -378,3 +378,19 @@ def test_a_job_that_dies_before_the_commit_adds_and_loses_nothing(spark, monkeyp
     # Another stream into the same folder counts its batches for itself.
     jobs.run_available(stream, out, cp2)
     assert jobs.read_batches(spark, out).count() == 120
+
+
+def test_a_stream_keeps_few_stores(spark, tmp_path):
+    source, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    spark.createDataFrame([packet(i, i) for i in range(5)], COLUMNS).write.parquet(source)
+    before = spark.conf.get(jobs.PARTITIONS)
+    try:
+        spark.conf.set(jobs.PARTITIONS, "200")
+        stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+        jobs.run_available(sessions.stream_sessionize(stream), out, cp)
+        assert spark.conf.get(jobs.PARTITIONS) == "200"
+    finally:
+        spark.conf.set(jobs.PARTITIONS, before)
+    stores = [f for f in (tmp_path / "cp" / "state" / "0").iterdir() if f.name.isdigit()]
+    assert len(stores) == jobs.STORES_PER_CORE * spark.sparkContext.defaultParallelism
+    assert sessions.live_flows(spark, cp).count() == 1

@@ -118,12 +118,15 @@ def boost(codes: np.ndarray, y: np.ndarray, weight: np.ndarray, margin: np.ndarr
         rng = np.random.default_rng([how.seed, turn])
         p = 1 / (1 + np.exp(-margin))
         slopes = np.stack([weight * (p - y), weight * p * (1 - p)])
-        drawn = np.flatnonzero(rng.random(n) < how.rows)
+        taken = rng.random(n) < how.rows
+        drawn, rest = np.flatnonzero(taken), np.flatnonzero(~taken)
         features = np.sort(rng.choice(n_features, max(1, round(how.columns * n_features)), replace=False))
-        nodes, _ = grow_tree(codes[np.ix_(features, drawn)], slopes[:, drawn], how)
+        nodes, leaf = grow_tree(codes[features].take(drawn, axis=1), slopes[:, drawn], how)
         inner = nodes[:, 0] >= 0
         nodes[inner, 0] = features[nodes[inner, 0].astype(int)]
-        margin += nodes[_walk(nodes, lambda f, at: codes[f, np.arange(n)], n), 4]
+        # The leaf of a drawn row is known from the growth.
+        margin[drawn] += nodes[leaf, 4]
+        margin[rest] += nodes[_walk(nodes, lambda f, at: codes[f, rest], len(rest)), 4]
         yield turn, nodes
 
 

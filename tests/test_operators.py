@@ -414,6 +414,27 @@ def test_trees_from_histograms_equal_trees_from_rows():
         assert (leaf == boosting._walk(nodes, lambda f, at: codes[f, np.arange(400)], 400)).all()
 
 
+def test_parted_rows_reach_the_leaves_of_a_walk(monkeypatch):
+    from tidewire.operators import boosting
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 40, (5, 3000)).astype(np.uint8)
+    y = (codes[0] % 7 > 2).astype(float)
+    columns, want = codes.astype(float), np.zeros(3000)
+    trees = [n for _, n in boosting.boost(codes, y, np.ones(3000), np.zeros(3000), range(12), boosting.Growth(depth=5))]
+    for nodes in trees:
+        want += nodes[boosting._walk(nodes, lambda f, at: columns[f, np.arange(3000)], 3000), 4]
+    for per_node in (0, 10 ** 9):
+        monkeypatch.setattr(boosting, "ROWS_PER_NODE", per_node)
+        got = np.zeros(3000)
+        for nodes in trees:
+            boosting._add_leaves(nodes, columns, got)
+        assert (got == want).all()
+    # What growth moves on equals a walk of all rows.
+    margin = np.zeros(3000)
+    assert len(list(boosting.boost(codes, y, np.ones(3000), margin, range(12), boosting.Growth(depth=5)))) == 12
+    assert (margin == want).all()
+
+
 def test_boosted_trees_learn_are_stored_and_score_alike(spark, tmp_path):
     from tidewire.operators import boosting
 

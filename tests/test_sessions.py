@@ -394,3 +394,15 @@ def test_a_stream_keeps_few_stores(spark, tmp_path):
     stores = [f for f in (tmp_path / "cp" / "state" / "0").iterdir() if f.name.isdigit()]
     assert len(stores) == jobs.STORES_PER_CORE * spark.sparkContext.defaultParallelism
     assert sessions.live_flows(spark, cp).count() == 1
+
+
+def test_flow_files_grow_in_number_and_not_in_size(spark, monkeypatch):
+    from tidewire.plans import stream_queries
+    rows = shared_folder(spark, "rows")
+    spark.range(4000).repartition(3).write.parquet(rows)
+    rows = spark.read.parquet(rows)
+    assert stream_queries.flow_files(rows)[1] == 1
+    monkeypatch.setattr(stream_queries, "FILE_BYTES", 500)
+    path, files = stream_queries.flow_files(rows)
+    back = spark.read.parquet(path)
+    assert files > 1 and len(back.inputFiles()) == 4 * files and back.distinct().count() == 4000

@@ -25,6 +25,7 @@ from tidewire.session import materialize
 
 #: Labelled rows that a fit looks at; bins per feature; rounds between two writes; quantile sketch.
 TRAIN_ROWS, BINS, ROUNDS_AT_ONCE, SKETCH = 200_000, 256, 100, 20_000
+ROWS_PER_NODE = 64
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, value double, gain double"
 
 
@@ -142,6 +143,27 @@ def _walk(nodes: np.ndarray, value, n: int) -> np.ndarray:
         at = np.where(inner, left[at] + (value(np.maximum(f, 0), at) > cut[at]), at)
 
 
+def _add_leaves(nodes: np.ndarray, columns: np.ndarray, margin: np.ndarray) -> None:
+    """Adds to ``margin`` the leaf value of each row; ``columns``: one line per feature.
+
+    Where a tree has few nodes for its rows, they are parted node by node, which reads each value once."""
+    if len(nodes) * ROWS_PER_NODE > len(margin):
+        each = np.arange(len(margin))
+        margin += nodes[_walk(nodes, lambda f, at: columns[f, each], len(margin)), 4]
+        return
+    todo = [(0, np.arange(len(margin)))]
+    while todo:
+        at, rows = todo.pop()
+        feature, cut, left, _, value = nodes[at, :5].tolist()
+        if feature < 0:
+            margin[rows] += value
+            continue
+        above = columns[int(feature)].take(rows) > cut
+        for child, side in ((int(left), rows[~above]), (int(left) + 1, rows[above])):
+            if len(side):
+                todo.append((child, side))
+
+
 @dataclass
 class BoostedTrees:
     """Trees as arrays (feature, cut, left, right, value, gain): a row goes left if its value is not above the cut."""
@@ -156,10 +178,12 @@ class BoostedTrees:
 
         @F.pandas_udf("double")
         def score(rows: pd.Series) -> pd.Series:
-            x = np.nan_to_num(np.vstack(rows.to_list()).astype(float), nan=0.0, posinf=np.inf, neginf=-np.inf) if len(rows) else None
-            margin, each = np.zeros(len(rows)), np.arange(len(rows))
-            for nodes in trees.value if len(rows) else ():
-                margin += nodes[_walk(nodes, lambda f, at: x[each, f], len(rows)), 4]
+            margin = np.zeros(len(rows))
+            if len(rows):
+                x = np.nan_to_num(np.vstack(rows.to_list()).astype(float), nan=0.0, posinf=np.inf, neginf=-np.inf)
+                columns = np.ascontiguousarray(x.T)
+                for nodes in trees.value:
+                    _add_leaves(nodes, columns, margin)
             return pd.Series(1 / (1 + np.exp(-margin)))
 
         return score(F.array(*[F.coalesce(f.try_cast("double"), F.lit(0.0)) for f in features]))

@@ -211,6 +211,23 @@ def test_long_lists_go_on_in_parts(spark):
     assert [i for p in parts for i in p.ids] == list(range(50))
 
 
+def test_only_packets_of_long_flows_are_numbered(spark, monkeypatch):
+    from tidewire.operators import features
+    ranked, time_rank = [], features.time_rank
+    monkeypatch.setattr(features, "time_rank", lambda df, *more: ranked.append(df.count()) or time_rank(df, *more))
+    rows = [packet(i, 10 - i // 3, **U) for i in range(30)] + [packet(100 + i, i // 2, bp=90 + i % 2) for i in range(9)]
+    df, rules = spark.createDataFrame(rows, COLUMNS), FlowRules(same(20), same(1000), 20)
+    for size, numbered in ((100, []), (7, [30])):
+        parts = flow_lists(df, rules, F.col("packet_id"), "ids", part_size=size).collect()
+        got = {}
+        for p in sorted(parts, key=lambda p: p.part):
+            assert len(p.ids) <= size
+            got.setdefault((p.flow_key, p.flow_seq), []).extend(p.ids)
+        assert ranked == numbered and sorted(map(len, got.values())) == [4, 5, 30]
+        order = {r[1]: (r[2], r[1]) for r in rows}
+        assert all(ids == sorted(ids, key=order.get) for ids in got.values())
+
+
 def stream(spark, steps, rules, lateness=0):
     source, out, cp = (shared_folder(spark, n) for n in ("src", "out", "cp"))
     for rows in steps:

@@ -32,3 +32,15 @@ def test_query(spark, name):
 
 def test_every_check_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_numbers_of_odd_events(spark, tmp_path):
+    rows = [(None, 1.5, "view"), (None, None, None), (-1, 2.5, "view"), (-2, None, "view"), (-6, 2.5, "view"), (0, 3.0, "view"),
+            (1, None, "view"), (1, 4.0, "view"), (7, float("inf"), "view"), (13, 1e-7, "view"), (2, 1.0, "view"),
+            (3, 1.0, "view"), (4, 1.0, "12"), (4, 1.0, None), (5, 1.0, "view")]
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame(rows, "event_id long, value double, event_type string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    got = entry.queries()["safe_double"](spark, str(tmp_path)).toPandas()
+    assert check.compare(got, con.execute(entry.oracle_sql()["safe_double"]).df()) is None

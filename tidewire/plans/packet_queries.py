@@ -109,10 +109,13 @@ SELECT event_id, CASE event_id % 6 WHEN 0 THEN 7.5::DOUBLE WHEN 1 THEN value WHE
   WHEN 3 THEN '-Infinity'::DOUBLE WHEN 4 THEN 7.5::DOUBLE ELSE 'Infinity'::DOUBLE END AS number FROM events""")
 def _(spark, sf):
     slot = F.col("event_id") % 6
-    raw = (F.when(slot == 1, F.concat(F.lit(" "), F.col("value").cast("string"), F.lit(" ")))
-           .when(slot == 2, "NaN").when(slot == 3, "-infinity").when(slot == 4, F.col("event_type"))
-           .when(slot == 5, "INFINITY"))
-    return table(spark, sf, "events").select("event_id", safe_double(raw, 7.5).alias("number"))
+    raw = (F.when(slot == 0, None)
+           .when(slot == 1, F.concat(F.lit(" "), F.col("value").cast("string"), F.lit(" ")))
+           .when(slot == 2, "NaN").when(slot == 3, "-infinity")
+           .when(slot == 4, F.concat(F.lit("type "), "event_type")).otherwise("INFINITY"))
+    # Where there is no value there is no text to read; ids below 0 and rows without one are of the last kind.
+    number = F.when((slot == 1) & F.col("value").isNull(), None).otherwise(safe_double(raw, 7.5))
+    return table(spark, sf, "events").select("event_id", number.alias("number"))
 
 
 @query("split_summaries", sql("packets", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import math
+import os
 import random
 import struct
 
@@ -22,6 +23,8 @@ from tidewire.plans.inputs import RISKS
 from tidewire.session import shared_folder
 from tidewire.sources import captures, readers, sinks
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_sliced_rank_on_one_hot_group(spark):
     rnd = random.Random(1)
@@ -512,3 +515,32 @@ def test_prefixes_are_spelled_in_whole_digits():
         assert (block["bits"] == 128 - n).all()
         starts = sorted(int(p.ljust(32, "0"), 16) for p in block["prefix"])
         assert starts[0] == low >> n << n and len(starts) * (1 << (128 - 4 * int(block["digits"].iloc[0]))) == 1 << n
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+@pytest.mark.parametrize("name", ["reconstruction_anomaly", "pca_2d", "isolation_scores"])
+def test_flows_are_prepared_once(spark, monkeypatch, name):
+    from tidewire.plans import QUERIES, ml_queries
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(size):
+        seen.add(1)
+        return size
+
+    flows = ml_queries.stored_flows(spark, SF)
+    counted = flows.withColumn("bytes", F.udf(count, "long").asNondeterministic()("bytes"))
+    monkeypatch.setattr(ml_queries, "stored_flows", lambda spark, sf: counted)
+    rows = QUERIES[name](spark, "").collect()
+    assert len(rows) == flows.count() and seen.value == len(rows)
+
+
+def test_reconstruction_error_by_hand(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3)) @ rng.normal(size=(3, 5)) + rng.normal(size=(60, 5)) / 10
+    names = list("abcde")
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["i", *names])
+    got = {r.i: r.error for r in ml_models.reconstruction_error(df.where("i < 40"), df, names, k=2).collect()}
+    centered = x - x[:40].mean(axis=0)
+    parts = np.linalg.svd(centered[:40])[2][:2]
+    wanted = ((centered - centered @ parts.T @ parts) ** 2).mean(axis=1)
+    assert np.allclose([got[i] for i in range(60)], wanted, rtol=1e-9)

@@ -128,17 +128,18 @@ def _vector(df: DataFrame, columns: list[str]) -> DataFrame:
 def reconstruction_error(train: DataFrame, rows: DataFrame, columns: list[str], k: int = 8) -> DataFrame:
     """Mean squared error after projection on ``k`` principal components of the training rows and back.
 
-    The components (columns x k) and the means are small; each row's error is a JVM-side sum."""
+    The components (columns x k) and the means are small; tasks project whole batches of rows. The training rows are read
+    several times, so they should be stored ones."""
     means_row = train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first()
-    model = PCA(k=k, inputCol="features", outputCol="p").fit(_vector(train, columns))
-    pc = model.pc.toArray()
-    centered = [F.col(c).cast("double") - F.lit(float(means_row[c])) for c in columns]
-    projected = rows.withColumns({
-        f"__p{j}": sum((centered[i] * float(pc[i, j]) for i in range(len(columns))), F.lit(0.0)) for j in range(k)})
-    error = sum((
-        F.pow(centered[i] - sum((F.col(f"__p{j}") * float(pc[i, j]) for j in range(k)), F.lit(0.0)), 2)
-        for i in range(len(columns))), F.lit(0.0)) / len(columns)
-    return projected.withColumn("error", error).drop(*[f"__p{j}" for j in range(k)])
+    pc = PCA(k=k, inputCol="features", outputCol="p").fit(_vector(train, columns)).pc.toArray()
+    means = np.array([means_row[c] for c in columns], dtype=float)
+
+    @F.pandas_udf("double")
+    def error(batch: pd.DataFrame) -> pd.Series:
+        centered = batch.to_numpy(dtype=float) - means
+        return pd.Series(((centered - centered @ pc @ pc.T) ** 2).mean(axis=1))
+
+    return rows.withColumn("error", error(F.struct(*[F.col(c).cast("double").alias(c) for c in columns])))
 
 
 def pca_2d(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[float]]:
